@@ -9,8 +9,16 @@ grows, so that long texts cost one draw a shingle and little more.
 
 Bands of registers propose pairs; the multiset overlap of the pair's texts decides. Members of a band's bucket are
 compared with one pivot, not with each other; classes are the connected components of the links so far; then only
-members of one bucket that are still in different classes are compared, until no such pair is left untested. So no
-link between two texts of a bucket is lost for the classes, and groups of copies cost their size, not its square.
+members of one bucket that are still in different classes are compared. So no link between two texts of a bucket is
+lost for the classes, and groups of copies cost their size, not its square.
+
+Where many such pairs are left (a large family whose outer members resemble its pivot but not closely enough), most
+are ruled out without being formed. A bucket's centre is the multiset of the shingles that most of the texts of its
+pivot hold; against it a member x has gained G(x) shingles and lost L(x). Two members that gained nothing in common
+differ in G(x) + G(y) + |L(x) - L(y)| shingles at least, and a link allows (n(x) + n(y)) * (1 - s) / (1 + s) at
+similarity s. Members that pass this bound are compared; members that gained a shingle in common meet in that
+shingle's group, again first with one of it and then, within the same bound less what they can have in common, across
+classes.
 
 Defined results: texts with equal words are copies and share a signature; a text without words (null, empty, blank)
 is alone in its class; a text of fewer words than a shingle is one shingle; rows of a null id are alone; rows that
@@ -24,7 +32,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.shared import MULTIPLIER, hashed, map_batches, materialise, mixed, windows, words_of
@@ -37,8 +45,7 @@ class Settings:
     #: At the least similarity, all bands of a pair differ with probability (1 - 0.8**5)**26, about 0.00003.
     bands: int = 26
     rows: int = 5
-    #: Rounds with another pivot, while more pairs than ``open_pairs`` a document are left.
-    pivot_rounds: int = 4
+    #: Up to so many pairs a document, pairs left in buckets are all compared; beyond, the bound picks among them.
     open_pairs: int = 4
     #: Ids of texts to compare are broadcast up to so many (8 bytes each); else they meet the texts by a shuffle.
     broadcast_rows: int = 500_000
@@ -129,28 +136,89 @@ def signatures(docs: DataFrame, settings: Settings = Settings(), id_col: str = "
     return map_batches(docs, [id_col, text_col], run, "_id long, _copy binary, _keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+def with_texts(pairs: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """a, b and their texts ``_a``, ``_b``."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct(), "needed")
     few = ids.count() <= settings.broadcast_rows
     texts = docs.select(F.col(id_col).cast("long").alias("_need"), F.col(text_col).alias("_text")).join(F.broadcast(ids) if few else ids, "_need")
     texts = materialise(texts, "texts")
-    both = pairs.join(texts.select(F.col("_need").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("_need").alias("b"), F.col("_text").alias("_b")), "b")
+    return pairs.join(texts.select(F.col("_need").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("_need").alias("b"), F.col("_text").alias("_b")), "b")
+
+
+class Bags(dict):
+    """Shingles of texts, some kept: one text stands in many pairs."""
+
+    def __init__(self, words: int):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > 500:
+            self.clear()
+        found = self[text] = shingles(words_of(text), self.words)
+        return found
+
+
+def compared(pairs: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """Each pair (a, b) and whether it is ``linked``."""
 
     def run(a: list, b: list, left: list, right: list) -> dict:
-        kept: dict[str, tuple] = {}
+        bags = Bags(settings.words)
+        return {"a": a, "b": b, "linked": [similarity(bags[x], bags[y]) >= settings.similarity for x, y in zip(left, right, strict=True)]}
+
+    return materialise(map_batches(with_texts(pairs, docs, settings, id_col, text_col), ["a", "b", "_a", "_b"], run, "a long, b long, linked boolean"), "compared")
+
+
+def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set: the k-th copy of a shingle is an element of its own."""
+    items, counts = np.repeat(bag[0], bag[1]), np.cumsum(bag[1])
+    copy = np.arange(len(items)) - np.repeat(counts - bag[1], bag[1])
+    return mixed(items + copy.astype(np.uint64) * STEP)
+
 
-        def of(text: str) -> tuple:
-            if text not in kept:
-                if len(kept) > 500:
-                    kept.clear()
-                kept[text] = shingles(words_of(text), settings.words)
-            return kept[text]
+GAIN, LOSS = 0, 1
 
-        linked = [similarity(of(x), of(y)) >= settings.similarity for x, y in zip(left, right, strict=True)]
-        return {"a": [x for x, yes in zip(a, linked, strict=True) if yes], "b": [x for x, yes in zip(b, linked, strict=True) if yes]}
 
-    return materialise(map_batches(both, ["a", "b", "_a", "_b"], run, "a long, b long").distinct(), "links")
+def around_centres(groups: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Members of groups (``a``: the pivot, ``_id``) measured against their group's centre, and what they share beyond it.
+
+    The centre is the set of elements that more than half of the members hold. First: a, _id, n, gained, lost.
+    Second: a, _gain, _id, _one: the elements outside the centre that several members hold, with the first of these.
+    """
+
+    def run(a: list, b: list, left: list, right: list) -> dict:
+        bags = Bags(settings.words)
+        out: dict[str, list] = {"a": a, "_id": b, "n": [], "_gains": [], "_losses": []}
+        for x, y in zip(left, right, strict=True):
+            own, other = elements(bags[x]), elements(bags[y])
+            out["n"].append(len(other))
+            out["_gains"].append(np.setdiff1d(other, own).view(np.int64).tolist())
+            out["_losses"].append(np.setdiff1d(own, other).view(np.int64).tolist())
+        return out
+
+    whole = groups.select("a", F.col("_id").alias("b")).distinct()
+    rows = map_batches(with_texts(whole, docs, settings, id_col, text_col), ["a", "b", "_a", "_b"], run, "a long, _id long, n long, _gains array<long>, _losses array<long>")
+    rows = materialise(rows, "differences")
+    sizes = rows.groupBy("a").agg(F.count("*").alias("_size"))
+    each = [rows.select("a", "_id", F.lit(kind).alias("_kind"), F.explode(column).alias("_element")) for kind, column in ((GAIN, "_gains"), (LOSS, "_losses"))]
+    each = materialise(each[0].unionByName(each[1]), "elements")
+    counts = each.groupBy("a", "_kind", "_element").agg(F.count("*").alias("_n"))
+    # where most differ from the pivot, the centre does
+    flips = materialise(counts.join(sizes, "a").filter(2 * F.col("_n") > F.col("_size")).select("a", "_kind", "_element"), "flips")
+    of_group = flips.groupBy("a").agg(F.count_if(F.col("_kind") == GAIN).alias("_fg"), F.count_if(F.col("_kind") == LOSS).alias("_fl"))
+    of_member = each.join(flips, ["a", "_kind", "_element"]).groupBy("a", "_id").agg(F.count_if(F.col("_kind") == GAIN).alias("_kg"), F.count_if(F.col("_kind") == LOSS).alias("_kl"))
+    measured = rows.select("a", "_id", "n", F.size("_gains").cast("long").alias("_g"), F.size("_losses").cast("long").alias("_l"))
+    measured = measured.join(of_group, "a", "left").join(of_member, ["a", "_id"], "left").fillna(0, ["_fg", "_fl", "_kg", "_kl"])
+    gained = F.col("_g") - F.col("_kg") + F.col("_fl") - F.col("_kl")
+    lost = F.col("_l") - F.col("_kl") + F.col("_fg") - F.col("_kg")
+    measured = materialise(measured.select("a", "_id", "n", gained.alias("gained"), lost.alias("lost")), "measured")
+    beyond = each.filter(F.col("_kind") == GAIN).join(flips, ["a", "_kind", "_element"], "left_anti").select("a", "_id", "_element")
+    # elements that the pivot and a minority hold, but not the centre
+    holds = rows.select("a", "_id").join(flips.filter(F.col("_kind") == LOSS).select("a", "_element"), "a")
+    holds = holds.join(each.filter(F.col("_kind") == LOSS).select("a", "_id", "_element"), ["a", "_id", "_element"], "left_anti")
+    beyond = beyond.unionByName(holds).withColumnRenamed("_element", "_gain")
+    several = beyond.groupBy("a", "_gain").agg(F.count("*").alias("_n"), F.min("_id").alias("_one")).filter("_n > 1").drop("_n")
+    return measured, materialise(beyond.join(several, ["a", "_gain"]), "shared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,9 +239,22 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("_id", "_class")
 
 
+def with_class(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "_id", "left").withColumn("_class", F.coalesce("_class", "_id"))
+
+
+def across(rows: DataFrame, others: DataFrame, keys: list[str], bound: Column | None = None, measures: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pairs (a < b) of a row and another of the same key and another class. ``measures``: columns for ``bound``."""
+    renamed = others.select(*(F.col(k).alias(f"_by_{k}") for k in keys), F.col("_id").alias("_other"), F.col("_class").alias("_theirs"), *(F.col(m).alias(f"_{m}") for m in measures))
+    same = [F.col(k) == F.col(f"_by_{k}") for k in keys] + [F.col("_class") != F.col("_theirs")] + ([bound] if bound is not None else [])
+    where = same[0]
+    for part in same[1:]:
+        where &= part
+    return rows.join(renamed, where).select(F.least("_id", "_other").alias("a"), F.greatest("_id", "_other").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``class_id`` (the least id of the class) and ``copy_of`` (the least id with equal words) for each row."""
-    spark = docs.sparkSession
     rows = materialise(signatures(docs, settings, id_col, text_col), "signatures")
     named = rows.filter(F.col("_id").isNotNull() & F.col("_copy").isNotNull())
     copies = named.groupBy("_copy").agg(F.min(F.struct("_id", "_keys")).alias("_one"))
@@ -181,37 +262,48 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     bands = copies.select(F.explode("_keys").alias("_key"), F.col("_first").alias("_id")).distinct()
     crowded = bands.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_pivot")).filter("_n > 1")
     bands = materialise(bands.join(crowded, "_key").select("_key", "_id", "_pivot"), "bands")
-    number = max(1, copies.count())
 
-    pairs = bands.filter("_id <> _pivot").select(F.col("_pivot").alias("a"), F.col("_id").alias("b")).distinct()
-    tested = materialise(pairs, "pairs")
-    links = verified(tested, docs, settings, id_col, text_col)
-    round_ = 0
-    while True:
-        labels = components(links)
-        labelled = materialise(bands.select("_key", "_id").join(labels, "_id", "left").select("_key", "_id", F.coalesce("_class", "_id").alias("_class")), "labelled")
-        groups = labelled.groupBy("_key", "_class").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_own"), F.count("*").alias("_classes"))
-        mixed_ = materialise(groups.filter("_classes > 1").select("_key", ((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("_pairs")), "mixed")
-        left = mixed_.agg(F.sum("_pairs")).first()[0] or 0
-        if not left:
-            break
-        members = labelled.join(mixed_.select("_key"), "_key")
-        last = left <= settings.open_pairs * number or round_ >= settings.pivot_rounds
-        if last:
-            others = members
+    def compare(pairs: DataFrame) -> DataFrame:
+        return compared(materialise(pairs, "pairs"), docs, settings, id_col, text_col)
+
+    tested = compare(bands.filter("_id <> _pivot").select(F.col("_pivot").alias("a"), F.col("_id").alias("b")).distinct())
+    links = tested.filter("linked").select("a", "b")
+    labels = components(links)
+    labelled = materialise(with_class(bands, labels).select("_key", "_id", "_class", "_pivot"), "labelled")
+    groups = labelled.groupBy("_key", "_class").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_own"), F.count("*").alias("_classes"))
+    open_keys = materialise(groups.filter("_classes > 1").select("_key", ((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("_pairs")), "open")
+    left = open_keys.agg(F.sum("_pairs")).first()[0] or 0
+    if left:
+        members = labelled.join(open_keys.select("_key"), "_key")
+        known = tested.select("a", "b")
+        if left <= settings.open_pairs * max(1, copies.count()):
+            more = [across(members, members, ["_key"])]
         else:
-            order = F.xxhash64("_id", F.lit(round_))
-            others = members.groupBy("_key").agg(F.min_by(F.struct("_id", "_class"), order).alias("_p")).select("_key", "_p._id", "_p._class")
-        others = others.select("_key", F.col("_id").alias("_other"), F.col("_class").alias("_theirs"))
-        where = F.col("_class") < F.col("_theirs") if last else F.col("_class") != F.col("_theirs")
-        pairs = members.join(others, "_key").filter(where).select(F.least("_id", "_other").alias("a"), F.greatest("_id", "_other").alias("b")).distinct()
-        fresh = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = verified(fresh, docs, settings, id_col, text_col)
-        tested, links = tested.unionByName(fresh), links.unionByName(more)
-        round_ += 1
-        if last:
+            own = members.select(F.col("_pivot").alias("a"), "_id").distinct()
+            measured, shared = around_centres(own, docs, settings, id_col, text_col)
+            placed = materialise(members.join(measured.withColumnRenamed("a", "_pivot"), ["_pivot", "_id"]), "placed")
+            lead = placed.groupBy("_key", "_class").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.max_by("_class", F.struct("_n", "_class")).alias("_lead"))
+            best = placed.groupBy("_key").agg(F.max("n").alias("_n"), F.max(F.col("lost") - F.col("gained")).alias("_back"))
+            slack = (1 - settings.similarity) / (1 + settings.similarity)
+            able = F.col("gained") + F.col("lost") - F.col("_back") <= (F.col("n") + F.col("_n")) * slack + 1e-6
+            outer = placed.join(lead.join(best, "_key"), "_key").filter((F.col("_class") != F.col("_lead")) & able).drop("_lead", "_n", "_back")
+            bound = F.col("gained") + F.col("_gained") + F.abs(F.col("lost") - F.col("_lost")) <= (F.col("n") + F.col("_n")) * slack + 1e-6
+            near = across(outer, placed, ["_key"], bound, ("n", "gained", "lost"))
+            shared = with_class(shared, labels)
+            first = near.unionByName(shared.filter("_id <> _one").select(F.least("_id", "_one").alias("a"), F.greatest("_id", "_one").alias("b"))).distinct()
+            found = compare(first.join(known, ["a", "b"], "left_anti"))
+            known, links = known.unionByName(found.select("a", "b")), links.unionByName(found.filter("linked").select("a", "b"))
             labels = components(links)
-            break
+            # of two members' common gains there are at most as many as either shares with anyone
+            several = shared.groupBy("a", "_id").agg(F.count("*").alias("several"))
+            shared = with_class(shared.drop("_class"), labels).join(measured, ["a", "_id"]).join(several, ["a", "_id"])
+            most = F.least("several", "_several")
+            bound = F.col("gained") + F.col("_gained") - 2 * most + F.abs(F.col("lost") - F.col("_lost")) <= (F.col("n") + F.col("_n")) * slack + 1e-6
+            more = [across(materialise(shared, "shared"), shared, ["a", "_gain"], bound, ("n", "gained", "lost", "several"))]
+        for pairs in more:
+            found = compare(pairs.join(known, ["a", "b"], "left_anti"))
+            links = links.unionByName(found.filter("linked").select("a", "b"))
+        labels = components(links)
     table = copies.select("_copy", "_first").join(labels.select(F.col("_id").alias("_first"), "_class"), "_first", "left")
     named = rows.select(F.col("_id").alias(id_col), "_copy")
     found = named.join(table, F.when(F.col(id_col).isNotNull(), named["_copy"]) == table["_copy"], "left")
