@@ -46,7 +46,7 @@ class Settings:
     bands: int = 26
     rows: int = 5
     #: Up to so many pairs a document, pairs left in buckets are all compared; beyond, the bound picks among them.
-    open_pairs: int = 4
+    open_pairs: float = 0.25
     #: Ids of texts to compare are broadcast up to so many (8 bytes each); else they meet the texts by a shuffle.
     broadcast_rows: int = 500_000
 
@@ -180,10 +180,11 @@ GAIN, LOSS = 0, 1
 
 
 def around_centres(groups: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members of groups (``a``: the pivot, ``_id``) measured against their group's centre, and what they share beyond it.
+    """Members of groups (``a``: the pivot, ``_id``, ``_class``) against their group's centre, and what they share beyond it.
 
     The centre is the set of elements that more than half of the members hold. First: a, _id, n, gained, lost.
-    Second: a, _gain, _id, _one: the elements outside the centre that several members hold, with the first of these.
+    Second: a, _gain, _id, _one: the elements outside the centre that members of several classes hold, with the first
+    of these members.
     """
 
     def run(a: list, b: list, left: list, right: list) -> dict:
@@ -198,9 +199,9 @@ def around_centres(groups: DataFrame, docs: DataFrame, settings: Settings, id_co
 
     whole = groups.select("a", F.col("_id").alias("b")).distinct()
     rows = map_batches(with_texts(whole, docs, settings, id_col, text_col), ["a", "b", "_a", "_b"], run, "a long, _id long, n long, _gains array<long>, _losses array<long>")
-    rows = materialise(rows, "differences")
+    rows = materialise(rows.join(groups.select("a", "_id", "_class").distinct(), ["a", "_id"]), "differences")
     sizes = rows.groupBy("a").agg(F.count("*").alias("_size"))
-    each = [rows.select("a", "_id", F.lit(kind).alias("_kind"), F.explode(column).alias("_element")) for kind, column in ((GAIN, "_gains"), (LOSS, "_losses"))]
+    each = [rows.select("a", "_id", "_class", F.lit(kind).alias("_kind"), F.explode(column).alias("_element")) for kind, column in ((GAIN, "_gains"), (LOSS, "_losses"))]
     each = materialise(each[0].unionByName(each[1]), "elements")
     counts = each.groupBy("a", "_kind", "_element").agg(F.count("*").alias("_n"))
     # where most differ from the pivot, the centre does
@@ -212,13 +213,13 @@ def around_centres(groups: DataFrame, docs: DataFrame, settings: Settings, id_co
     gained = F.col("_g") - F.col("_kg") + F.col("_fl") - F.col("_kl")
     lost = F.col("_l") - F.col("_kl") + F.col("_fg") - F.col("_kg")
     measured = materialise(measured.select("a", "_id", "n", gained.alias("gained"), lost.alias("lost")), "measured")
-    beyond = each.filter(F.col("_kind") == GAIN).join(flips, ["a", "_kind", "_element"], "left_anti").select("a", "_id", "_element")
+    beyond = each.filter(F.col("_kind") == GAIN).join(flips, ["a", "_kind", "_element"], "left_anti").select("a", "_id", "_class", "_element")
     # elements that the pivot and a minority hold, but not the centre
-    holds = rows.select("a", "_id").join(flips.filter(F.col("_kind") == LOSS).select("a", "_element"), "a")
+    holds = rows.select("a", "_id", "_class").join(flips.filter(F.col("_kind") == LOSS).select("a", "_element"), "a")
     holds = holds.join(each.filter(F.col("_kind") == LOSS).select("a", "_id", "_element"), ["a", "_id", "_element"], "left_anti")
     beyond = beyond.unionByName(holds).withColumnRenamed("_element", "_gain")
-    several = beyond.groupBy("a", "_gain").agg(F.count("*").alias("_n"), F.min("_id").alias("_one")).filter("_n > 1").drop("_n")
-    return measured, materialise(beyond.join(several, ["a", "_gain"]), "shared")
+    several = beyond.groupBy("a", "_gain").agg(F.min("_id").alias("_one"), F.min("_class").alias("_least"), F.max("_class").alias("_most")).filter("_least <> _most").select("a", "_gain", "_one")
+    return measured, materialise(beyond.drop("_class").join(several, ["a", "_gain"]), "shared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
         if left <= settings.open_pairs * max(1, copies.count()):
             more = [across(members, members, ["_key"])]
         else:
-            own = members.select(F.col("_pivot").alias("a"), "_id").distinct()
+            own = members.select(F.col("_pivot").alias("a"), "_id", "_class").distinct()
             measured, shared = around_centres(own, docs, settings, id_col, text_col)
             placed = materialise(members.join(measured.withColumnRenamed("a", "_pivot"), ["_pivot", "_id"]), "placed")
             lead = placed.groupBy("_key", "_class").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.max_by("_class", F.struct("_n", "_class")).alias("_lead"))
@@ -289,14 +290,13 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
             outer = placed.join(lead.join(best, "_key"), "_key").filter((F.col("_class") != F.col("_lead")) & able).drop("_lead", "_n", "_back")
             bound = F.col("gained") + F.col("_gained") + F.abs(F.col("lost") - F.col("_lost")) <= (F.col("n") + F.col("_n")) * slack + 1e-6
             near = across(outer, placed, ["_key"], bound, ("n", "gained", "lost"))
-            shared = with_class(shared, labels)
             first = near.unionByName(shared.filter("_id <> _one").select(F.least("_id", "_one").alias("a"), F.greatest("_id", "_one").alias("b"))).distinct()
             found = compare(first.join(known, ["a", "b"], "left_anti"))
             known, links = known.unionByName(found.select("a", "b")), links.unionByName(found.filter("linked").select("a", "b"))
             labels = components(links)
-            # of two members' common gains there are at most as many as either shares with anyone
+            # of two members' common gains there are at most as many as either shares with another class
             several = shared.groupBy("a", "_id").agg(F.count("*").alias("several"))
-            shared = with_class(shared.drop("_class"), labels).join(measured, ["a", "_id"]).join(several, ["a", "_id"])
+            shared = shared.join(materialise(with_class(measured.join(several, ["a", "_id"]), labels), "several"), ["a", "_id"])
             most = F.least("several", "_several")
             bound = F.col("gained") + F.col("_gained") - 2 * most + F.abs(F.col("lost") - F.col("_lost")) <= (F.col("n") + F.col("_n")) * slack + 1e-6
             more = [across(materialise(shared, "shared"), shared, ["a", "_gain"], bound, ("n", "gained", "lost", "several"))]
