@@ -13,8 +13,8 @@ members of one bucket that are still in different classes are compared. So no li
 lost for the classes, and groups of copies cost their size, not its square.
 
 Where many such pairs are left (a large family whose outer members resemble its pivot but not closely enough), most
-are ruled out without being formed. A bucket's centre is the multiset of the shingles that most of the texts of its
-pivot hold; against it a member x has gained G(x) shingles and lost L(x). Two members that gained nothing in common
+are ruled out without being formed. A bucket's centre is its pivot's multiset with what most of the pivot's texts
+gained; against it a member x has gained G(x) shingles and lost L(x). Two members that gained nothing in common
 differ in G(x) + G(y) + |L(x) - L(y)| shingles at least, and a link allows (n(x) + n(y)) * (1 - s) / (1 + s) at
 similarity s. Members that pass this bound are compared; members that gained a shingle in common meet in that
 shingle's group, again first with one of it and then, within the same bound less what they can have in common, across
@@ -176,48 +176,38 @@ def elements(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return mixed(items + copy.astype(np.uint64) * STEP)
 
 
-GAIN, LOSS = 0, 1
-
-
 def around_centres(groups: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Members of groups (``a``: the pivot, ``_id``, ``_class``) against their group's centre, and what they share beyond it.
 
-    The centre is the set of elements that more than half of the members hold. First: a, _id, n, gained, lost.
-    Second: a, _gain, _id, _one: the elements outside the centre that members of several classes hold, with the first
+    The centre is the pivot with what more than half of the members gained; what they lost changes no difference of
+    two members' losses and stays. First: a, _id, n, gained, lost. Second: a, _gain, _id, _one: the elements outside the centre that members of several classes hold, with the first
     of these members.
     """
 
     def run(a: list, b: list, left: list, right: list) -> dict:
         bags = Bags(settings.words)
-        out: dict[str, list] = {"a": a, "_id": b, "n": [], "_gains": [], "_losses": []}
+        out: dict[str, list] = {"a": a, "_id": b, "n": [], "_gains": [], "_l": []}
         for x, y in zip(left, right, strict=True):
             own, other = elements(bags[x]), elements(bags[y])
             out["n"].append(len(other))
-            out["_gains"].append(np.setdiff1d(other, own).view(np.int64).tolist())
-            out["_losses"].append(np.setdiff1d(own, other).view(np.int64).tolist())
+            gains = np.setdiff1d(other, own)
+            out["_gains"].append(gains.view(np.int64).tolist())
+            out["_l"].append(len(own) - len(other) + len(gains))
         return out
 
     whole = groups.select("a", F.col("_id").alias("b")).distinct()
-    rows = map_batches(with_texts(whole, docs, settings, id_col, text_col), ["a", "b", "_a", "_b"], run, "a long, _id long, n long, _gains array<long>, _losses array<long>")
+    rows = map_batches(with_texts(whole, docs, settings, id_col, text_col), ["a", "b", "_a", "_b"], run, "a long, _id long, n long, _gains array<long>, _l long")
     rows = materialise(rows.join(groups.select("a", "_id", "_class").distinct(), ["a", "_id"]), "differences")
     sizes = rows.groupBy("a").agg(F.count("*").alias("_size"))
-    each = [rows.select("a", "_id", "_class", F.lit(kind).alias("_kind"), F.explode(column).alias("_element")) for kind, column in ((GAIN, "_gains"), (LOSS, "_losses"))]
-    each = materialise(each[0].unionByName(each[1]), "elements")
-    counts = each.groupBy("a", "_kind", "_element").agg(F.count("*").alias("_n"))
-    # where most differ from the pivot, the centre does
-    flips = materialise(counts.join(sizes, "a").filter(2 * F.col("_n") > F.col("_size")).select("a", "_kind", "_element"), "flips")
-    of_group = flips.groupBy("a").agg(F.count_if(F.col("_kind") == GAIN).alias("_fg"), F.count_if(F.col("_kind") == LOSS).alias("_fl"))
-    of_member = each.join(flips, ["a", "_kind", "_element"]).groupBy("a", "_id").agg(F.count_if(F.col("_kind") == GAIN).alias("_kg"), F.count_if(F.col("_kind") == LOSS).alias("_kl"))
-    measured = rows.select("a", "_id", "n", F.size("_gains").cast("long").alias("_g"), F.size("_losses").cast("long").alias("_l"))
-    measured = measured.join(of_group, "a", "left").join(of_member, ["a", "_id"], "left").fillna(0, ["_fg", "_fl", "_kg", "_kl"])
-    gained = F.col("_g") - F.col("_kg") + F.col("_fl") - F.col("_kl")
-    lost = F.col("_l") - F.col("_kl") + F.col("_fg") - F.col("_kg")
-    measured = materialise(measured.select("a", "_id", "n", gained.alias("gained"), lost.alias("lost")), "measured")
-    beyond = each.filter(F.col("_kind") == GAIN).join(flips, ["a", "_kind", "_element"], "left_anti").select("a", "_id", "_class", "_element")
-    # elements that the pivot and a minority hold, but not the centre
-    holds = rows.select("a", "_id", "_class").join(flips.filter(F.col("_kind") == LOSS).select("a", "_element"), "a")
-    holds = holds.join(each.filter(F.col("_kind") == LOSS).select("a", "_id", "_element"), ["a", "_id", "_element"], "left_anti")
-    beyond = beyond.unionByName(holds).withColumnRenamed("_element", "_gain")
+    each = materialise(rows.select("a", "_id", "_class", F.explode("_gains").alias("_gain")), "elements")
+    counts = each.groupBy("a", "_gain").agg(F.count("*").alias("_n")).filter("_n > 1")
+    centre = materialise(counts.join(sizes, "a").filter(2 * F.col("_n") > F.col("_size")).select("a", "_gain"), "centres")
+    of_group = centre.groupBy("a").agg(F.count("*").alias("_f"))
+    of_member = each.join(centre, ["a", "_gain"]).groupBy("a", "_id").agg(F.count("*").alias("_k"))
+    measured = rows.select("a", "_id", "n", "_l", F.size("_gains").cast("long").alias("_g"))
+    measured = measured.join(of_group, "a", "left").join(of_member, ["a", "_id"], "left").fillna(0, ["_f", "_k"])
+    measured = materialise(measured.select("a", "_id", "n", (F.col("_g") - F.col("_k")).alias("gained"), (F.col("_l") + F.col("_f") - F.col("_k")).alias("lost")), "measured")
+    beyond = each.join(centre, ["a", "_gain"], "left_anti")
     several = beyond.groupBy("a", "_gain").agg(F.min("_id").alias("_one"), F.min("_class").alias("_least"), F.max("_class").alias("_most")).filter("_least <> _most").select("a", "_gain", "_one")
     return measured, materialise(beyond.drop("_class").join(several, ["a", "_gain"]), "shared")
 
