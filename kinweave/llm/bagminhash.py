@@ -230,6 +230,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("_id", "_class")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: only links between different classes count, once for each two classes."""
+    known = labels.select(F.col("_id").alias("_of"), F.col("_class").alias("_was"))
+    ends = links.join(known, F.col("a") == F.col("_of"), "left").select(F.coalesce("_was", "a").alias("_x"), "b")
+    ends = ends.join(known, F.col("b") == F.col("_of"), "left").select("_x", F.coalesce("_was", "b").alias("_y"))
+    ends = ends.filter("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    lead = components(ends).select(F.col("_id").alias("_was"), F.col("_class").alias("_now"))
+    before = labels.select("_id", F.col("_class").alias("_was"))
+    old = before.join(lead, "_was", "left").select("_id", F.coalesce("_now", "_was").alias("_class"))
+    new = lead.join(before, F.col("_id") == lead["_was"], "left_anti").select(F.col("_was").alias("_id"), F.col("_now").alias("_class"))
+    return materialise(old.unionByName(new), "merged")
+
+
 def with_class(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "_id", "left").withColumn("_class", F.coalesce("_class", "_id"))
 
@@ -258,8 +271,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
         return compared(materialise(pairs, "pairs"), docs, settings, id_col, text_col)
 
     tested = compare(bands.filter("_id <> _pivot").select(F.col("_pivot").alias("a"), F.col("_id").alias("b")).distinct())
-    links = tested.filter("linked").select("a", "b")
-    labels = components(links)
+    labels = components(tested.filter("linked").select("a", "b"))
     labelled = materialise(with_class(bands, labels).select("_key", "_id", "_class", "_pivot"), "labelled")
     groups = labelled.groupBy("_key", "_class").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_own"), F.count("*").alias("_classes"))
     open_keys = materialise(groups.filter("_classes > 1").select("_key", ((F.col("_all") * F.col("_all") - F.col("_own")) / 2).alias("_pairs")), "open")
@@ -282,8 +294,8 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
             near = across(outer, placed, ["_key"], bound, ("n", "gained", "lost"))
             first = near.unionByName(shared.filter("_id <> _one").select(F.least("_id", "_one").alias("a"), F.greatest("_id", "_one").alias("b"))).distinct()
             found = compare(first.join(known, ["a", "b"], "left_anti"))
-            known, links = known.unionByName(found.select("a", "b")), links.unionByName(found.filter("linked").select("a", "b"))
-            labels = components(links)
+            known = known.unionByName(found.select("a", "b"))
+            labels = merged(labels, found.filter("linked").select("a", "b"))
             # of two members' common gains there are at most as many as either shares with another class
             several = shared.groupBy("a", "_id").agg(F.count("*").alias("several"))
             shared = shared.join(materialise(with_class(measured.join(several, ["a", "_id"]), labels), "several"), ["a", "_id"])
@@ -292,8 +304,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
             more = [across(materialise(shared, "shared"), shared, ["a", "_gain"], bound, ("n", "gained", "lost", "several"))]
         for pairs in more:
             found = compare(pairs.join(known, ["a", "b"], "left_anti"))
-            links = links.unionByName(found.filter("linked").select("a", "b"))
-        labels = components(links)
+            labels = merged(labels, found.filter("linked").select("a", "b"))
     table = copies.select("_copy", "_first").join(labels.select(F.col("_id").alias("_first"), "_class"), "_first", "left")
     named = rows.select(F.col("_id").alias(id_col), "_copy")
     found = named.join(table, F.when(F.col(id_col).isNotNull(), named["_copy"]) == table["_copy"], "left")
