@@ -14,6 +14,7 @@ surrogate can't reach Python from a Spark string, so every text has UTF-8 bytes.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from bisect import bisect_right
@@ -58,8 +59,13 @@ class MergeReplay(PieceEncoder):
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.bytes_at = [ranks.get(bytes((b,)), -1) for b in range(256)]
         self.pairs = PairRanks(ranks, self.tokens)
+        self.bytes_at = np.array([ranks.get(bytes((b,)), -1) for b in range(256)])
+        single = [b for b in self.bytes_at.tolist() if b >= 0]
+        self.pairs_at = np.full((max(single, default=0) + 1,) * 2, -1, np.int64)
+        for left in single:
+            for right in single:
+                self.pairs_at[left, right] = ranks.get(self.tokens[left] + self.tokens[right], -1)
 
     def encode_each(self, chunks: list[str], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         pieces = [[self.split(" " + chunk) for chunk in chunks], list(map(self.split, texts))]
@@ -67,8 +73,14 @@ class MergeReplay(PieceEncoder):
         new = [p for p in met if p not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = {p: self.known[p] for p in met if p in self.known}
-        for piece, ids in zip(new, self.replay([p.encode() for p in new]), strict=True):
-            self.known[piece] = array("I", ids).tobytes()
+        collects = gc.isenabled()
+        gc.disable()  # the index is many small lists without cycles
+        try:
+            for piece, ids in zip(new, self.replay([p.encode() for p in new]), strict=True):
+                self.known[piece] = array("I", ids).tobytes()
+        finally:
+            if collects:
+                gc.enable()
         ids_of = self.known.__getitem__
         return tuple([b"".join(map(ids_of, got)) for got in part] for part in pieces)
 
@@ -78,28 +90,25 @@ class MergeReplay(PieceEncoder):
         ``ids`` holds the tokens of all words, one after the other; ``before`` and ``after`` link living positions,
         -1 at a word's ends. A position stands for the pair that starts there.
         """
-        pairs, bytes_at = self.pairs, self.bytes_at
-        ids: list[int] = []
-        starts = []
-        for word in words:
-            starts.append(len(ids))
-            ids += [bytes_at[byte] for byte in word]
-        size = len(ids)
-        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
-        for start in starts:
-            before[start] = -1
-            after[start - 1] = -1
-        if size:
-            after[size - 1] = -1
-        index: dict[int, list[int]] = {}
-        for at, follower in enumerate(after):
-            if follower >= 0 and (rank := pairs[ids[at] << 32 | ids[follower]]) >= 0:
-                if rank in index:
-                    index[rank].append(at)
-                else:
-                    index[rank] = [at]
-        order = list(index)
-        heapify(order)
+        if not words:
+            return []
+        pairs = self.pairs
+        first = self.bytes_at[np.frombuffer(b"".join(words), np.uint8)]
+        size = len(first)
+        starts = np.cumsum([0, *map(len, words)])[:-1]
+        own = np.full(size, -1, np.int64)  # rank of the pair that starts at each position
+        own[:-1] = self.pairs_at[first[:-1], first[1:]]
+        own[starts[1:] - 1] = -1
+        before, after = np.arange(-1, size - 1), np.arange(1, size + 1)
+        before[starts] = -1
+        after[starts[1:] - 1] = after[-1] = -1
+        places = np.flatnonzero(own >= 0)
+        places = places[np.argsort(own[places], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, own[places][1:] != own[places][:-1], True]) if len(places) else np.zeros(1, np.int64)
+        order = own[places[edges[:-1]]].tolist()
+        flat, edges = places.tolist(), edges.tolist()
+        index = {rank: flat[i:j] for rank, i, j in zip(order, edges[:-1], edges[1:], strict=True)}
+        ids, own, before, after, starts = first.tolist(), own.tolist(), before.tolist(), after.tolist(), starts.tolist()
         while order:
             rank = heappop(order)
             places = index.pop(rank, None)
@@ -113,13 +122,13 @@ class MergeReplay(PieceEncoder):
                 if at < until:
                     later.append(at)
                     continue
-                follower = after[at]
-                if follower < 0 or ids[at] < 0 or pairs[ids[at] << 32 | ids[follower]] != rank:
+                if own[at] != rank:
                     continue  # a merge of a neighbour took this position
-                ids[at], ids[follower] = rank, -1
+                follower = after[at]
+                ids[at], ids[follower], own[follower] = rank, -1, -1
                 end = after[at] = after[follower]
-                after[follower] = -1
                 lower = False
+                new = -1
                 if end >= 0:
                     before[end] = at
                     new = pairs[rank << 32 | ids[end]]
@@ -130,9 +139,10 @@ class MergeReplay(PieceEncoder):
                         else:
                             index[new] = [at]
                             heappush(order, new)
+                own[at] = new
                 start = before[at]
                 if start >= 0:
-                    new = pairs[ids[start] << 32 | rank]
+                    new = own[start] = pairs[ids[start] << 32 | rank]
                     if new >= 0:
                         lower = lower or new < rank
                         if new in index:
@@ -150,7 +160,7 @@ class MergeReplay(PieceEncoder):
                     index[rank] = later
                     heappush(order, rank)
         ends = [*starts[1:], len(ids)]
-        return [[x for x in ids[a:b] if x >= 0] for a, b in zip(starts, ends, strict=True)] if words else []
+        return [[x for x in ids[a:b] if x >= 0] for a, b in zip(starts, ends, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

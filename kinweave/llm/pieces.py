@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 
 
 class PieceEncoder:
