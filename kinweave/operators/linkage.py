@@ -259,7 +259,7 @@ def metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     six = lambda c, name: F.round(c, 6).alias(name)
     return rows.groupBy(*by).agg(
         F.count("*").alias("n_queries"), six(F.avg("f05"), "f05"), six(F.avg("precision"), "precision"), six(F.avg("recall"), "recall"),
-        six(F.sum("n_hit") / F.sum("n_pred"), "micro_precision"), six(F.sum("n_hit") / F.sum("n_true"), "micro_recall"),
+        six(F.try_divide(F.sum("n_hit"), F.sum("n_pred")), "micro_precision"), six(F.try_divide(F.sum("n_hit"), F.sum("n_true")), "micro_recall"),
         six(F.avg(F.when(single, (F.col("n_pred") == 0).cast("double"))), "singleton_accuracy"), six(F.avg((F.col("n_pred") > F.col("n_hit")).cast("double")), "false_merge_rate"), six(F.avg("n_pred"), "avg_pred"),
     )
 
@@ -271,7 +271,7 @@ def candidate_statistics(queries: DataFrame, pool: DataFrame, candidates: DataFr
     cross = queries.groupBy("country").agg(F.count("*").alias("a")).join(pool.groupBy("country").agg(F.count("*").alias("b")), "country").agg(F.sum(F.col("a") * F.col("b")).alias("cross"))
     own = n.agg(F.sum("n").alias("pairs"), F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("most"), F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("none"))
     rows = own.join(hit).join(truth.agg(F.count("*").alias("true_pairs"))).join(cross)  # one row each
-    return rows.select("pairs", "mean", "p50", "p95", "most", "none", "hits", "true_pairs", (F.col("true_pairs") - F.col("hits")).alias("missed"), F.round(F.col("hits") / F.col("true_pairs"), 6).alias("recall"), F.round(1 - F.col("pairs") / F.col("cross"), 6).alias("reduction"))
+    return rows.select("pairs", "mean", "p50", "p95", "most", "none", "hits", "true_pairs", (F.col("true_pairs") - F.col("hits")).alias("missed"), F.round(F.try_divide("hits", "true_pairs"), 6).alias("recall"), F.round(1 - F.try_divide("pairs", "cross"), 6).alias("reduction"))
 
 
 def auc(rows: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
@@ -280,7 +280,7 @@ def auc(rows: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
     mean_rank = F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2
     total = by.withColumn("r", mean_rank).agg(F.sum(F.col("r") * F.col("pos")).alias("r"), F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    return total.select(F.round((F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * (F.col("n") - F.col("pos"))), 6).alias("auc"))
+    return total.select(F.round(F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos"))), 6).alias("auc"))
 
 
 def expected_f05(p: np.ndarray, extra: float = 0.0, power: float = 1.0, most: int = 20) -> tuple[int, float]:
