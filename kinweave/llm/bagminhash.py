@@ -150,12 +150,15 @@ class Bags(dict):
 
     def __init__(self, words: int):
         super().__init__()
-        self.words = words
+        self.words, self.held = words, 0
 
     def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > 500:
+        found = shingles(words_of(text), self.words)
+        self.held += len(found[0])
+        if self.held > 1_000_000:
             self.clear()
-        found = self[text] = shingles(words_of(text), self.words)
+            self.held = len(found[0])
+        self[text] = found
         return found
 
 

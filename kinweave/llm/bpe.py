@@ -34,6 +34,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+#: Characters whose new words are replayed together.
+REPLAY_CHARS = 8_000_000
+
+
 class PairRanks(dict):
     """Rank of a pair's merge by ``left << 32 | right``, -1 if there is none; filled as pairs are met."""
 
@@ -208,4 +212,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             "decoded_sha256": [hashlib.sha256(replay.decode(x)).hexdigest() for x in ids],
         }
 
-    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", REPLAY_CHARS)

@@ -30,6 +30,10 @@ from kinweave.llm.shared import arrow_schema, bounded
 PARTITION_BITS = 36
 
 
+#: Characters whose documents are packed together.
+PACKED_CHARS = 8_000_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """What one sequence may hold."""
@@ -161,7 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, limits: L
         encoder = _encoders[tokenizer_path]
         sequence = TaskContext.get().partitionId() << PARTITION_BITS
         end = np.array([end_id], "<u4").tobytes()
-        for keys, texts in bounded(batches):
+        for keys, texts in bounded(batches, PACKED_CHARS):
             ids = [encoder.ids(text or "").astype("<u4", copy=False).tobytes() + end for text in texts]
             tokens = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             sizes = tokens.tolist()

@@ -13,9 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text that one step handles at a time are limited to about so many characters.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_500_000
 #: Entries that a worker's word cache may hold; it starts anew beyond them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,14 +46,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, columns: list[str], function: Callable[..., Iterable[dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], function: Callable[..., Iterable[dict]], schema: str, limit: int = BATCH_CHARS) -> DataFrame:
     """Apply ``function(lists of the columns) -> dict of lists`` to bounded batches of ``columns``.
 
     Only the named columns travel to Python, so further columns of any name do no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for values in bounded(batches):
+        for values in bounded(batches, limit):
             yield pa.RecordBatch.from_pydict(function(*values), schema=arrow)
 
     arrow = arrow_schema(df.sparkSession, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.automaton import SuffixAutomaton, long_matches
-from kinweave.llm.shared import arrow_schema, bounded, hashed, map_batches, materialise, windows, words_of
+from kinweave.llm.shared import BATCH_CHARS, arrow_schema, bounded, hashed, map_batches, materialise, windows, words_of
 
 LAST = (1 << 63) - 1
 
@@ -95,7 +95,7 @@ def propose(rows: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in bounded(batches):
+        for ids, texts in bounded(batches, 2 * BATCH_CHARS):
             order = sorted(range(len(ids)), key=ids.__getitem__)
             parts = [windows(hashed(words_of(texts[k])), n) for k in order]
             sizes = np.fromiter(map(len, parts), np.int64, len(parts))
