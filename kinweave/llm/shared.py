@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -55,11 +57,19 @@ def map_batches(df: DataFrame, columns: list[str], function: Callable[..., Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for values in bounded(batches, limit):
             yield pa.RecordBatch.from_pydict(function(*values), schema=arrow)
+        give_back()
 
     arrow = arrow_schema(df.sparkSession, schema)
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
