@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from kinweave.llm.shared import arrow_schema, bounded
+from kinweave.llm.shared import arrow_schema, bounded, give_back
 
 #: A task numbers its sequences from its partition's number shifted by so many bits.
 PARTITION_BITS = 36
@@ -148,9 +148,6 @@ def powers(held: list[tuple[int, int, int]], full: int) -> Iterator[list[tuple[i
                 room, now = 1 << (total.bit_length() - 1) if total else 0, []
 
 
-_encoders: dict[str, VocabularyIds] = {}
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, limits: Limits = Limits(), end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: where it stands in its document and in its sequence, its ids' CRC-32 and the ids.
 
@@ -160,9 +157,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, limits: L
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, n_segments long, loss_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = VocabularyIds(tokenizer_path, pattern)
-        encoder = _encoders[tokenizer_path]
+        give_back()
+        encoder = VocabularyIds(tokenizer_path, pattern)
         sequence = TaskContext.get().partitionId() << PARTITION_BITS
         end = np.array([end_id], "<u4").tobytes()
         for keys, texts in bounded(batches, PACKED_CHARS):
@@ -178,6 +174,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, limits: L
                 sequence += 1
             for k in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 20_000], strict=True), arrow, strict=True)], schema=arrow)
+        del encoder
+        give_back()
 
     arrow = arrow_schema(docs.sparkSession, schema)
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -55,6 +56,7 @@ def map_batches(df: DataFrame, columns: list[str], function: Callable[..., Itera
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for values in bounded(batches, limit):
             yield pa.RecordBatch.from_pydict(function(*values), schema=arrow)
         give_back()
@@ -64,7 +66,12 @@ def map_batches(df: DataFrame, columns: list[str], function: Callable[..., Itera
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a worker lives on after its task, beside those of later stages."""
+    """Empty the word cache and return freed memory to the system: a worker lives on, beside those of later stages.
+
+    A task calls it first, for what the task before it left, and last.
+    """
+    _hashes.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -23,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.automaton import SuffixAutomaton, long_matches
-from kinweave.llm.shared import BATCH_CHARS, arrow_schema, bounded, hashed, map_batches, materialise, windows, words_of
+from kinweave.llm.shared import BATCH_CHARS, arrow_schema, bounded, give_back, hashed, map_batches, materialise, windows, words_of
 
 LAST = (1 << 63) - 1
 
@@ -95,6 +96,7 @@ def propose(rows: DataFrame, settings: Settings, buckets: int) -> DataFrame:
         return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for ids, texts in bounded(batches, 2 * BATCH_CHARS):
             order = sorted(range(len(ids)), key=ids.__getitem__)
             parts = [windows(hashed(words_of(texts[k])), n) for k in order]
@@ -113,25 +115,29 @@ def propose(rows: DataFrame, settings: Settings, buckets: int) -> DataFrame:
                 found += sent(KNOWN, bucket_of(ids_[again]), None, ids_[again], starts[again], ids_[first[again]], starts[first[again]] - starts[again])
             for k in range(0, len(found), 2000):
                 yield made(found[k : k + 2000])
+        give_back()
 
     def compare(table: pa.Table) -> pa.Table:
-        kinds = table["kind"].to_pylist()
-        hashes, places = table["hashes"].to_pylist(), table["places"].to_pylist()
-        out = [r for r in zip(*(table[c].to_pylist() for c in message.names), strict=True) if r[1] == KNOWN]
-        asks = [k for k, kind in enumerate(kinds) if kind == ASK]
-        if asks:
-            ids, starts = np.concatenate([unpacked(places[k], 2) for k in asks], axis=1)
-            all_hashes = np.concatenate([np.frombuffer(hashes[k], np.uint64) for k in asks])
+        asks = table.filter(pc.equal(table["kind"], ASK))
+        passed = table.filter(pc.equal(table["kind"], KNOWN)).select(message.names).cast(message)
+        del table
+        out = []
+        if asks.num_rows:
+            ids, starts = np.concatenate([unpacked(p.as_py(), 2) for p in asks["places"]], axis=1)
+            all_hashes = np.concatenate([np.frombuffer(h.as_py(), np.uint64) for h in asks["hashes"]])
+            del asks
             order = np.lexsort((starts, ids))
             ids, starts = ids[order], starts[order]
             first = firsts(all_hashes[order])
             again = (first != np.arange(len(first))) & ~((ids == ids[first]) & (starts == starts[first]))
             if again.any():
                 out += sent(KNOWN, bucket_of(ids[again]), None, ids[again], starts[again], ids[first[again]], starts[first[again]] - starts[again])
-        return pa.Table.from_batches([made(out)] if out else [], message)
+        give_back()
+        return pa.concat_tables([passed, pa.Table.from_batches([made(out)] if out else [], message)])
 
     def runs(table: pa.Table) -> pa.Table:
-        ids, starts, sources, shifts = np.concatenate([unpacked(p, 4) for p in table["places"].to_pylist()], axis=1)
+        ids, starts, sources, shifts = np.concatenate([unpacked(p.as_py(), 4) for p in table["places"]], axis=1)
+        del table
         order = np.lexsort((starts, ids))
         ids, starts, sources, froms = ids[order], starts[order], sources[order], (shifts + starts)[order]
         new = np.r_[True, (ids[1:] != ids[:-1]) | (starts[1:] - starts[:-1] > 1) | (sources[1:] != sources[:-1])]
