@@ -212,4 +212,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             "decoded_sha256": [hashlib.sha256(replay.decode(x)).hexdigest() for x in ids],
         }
 
-    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", REPLAY_CHARS)
+    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", REPLAY_CHARS, collect=False)

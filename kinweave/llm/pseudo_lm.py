@@ -292,4 +292,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             at += len(part)
         return {id_col: ids, "n_tokens": counts, "log_likelihood": sums, "mean_log_likelihood": [x / n if n else None for x, n in zip(sums, counts, strict=True)]}
 
-    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, mean_log_likelihood double", collect=False)

@@ -49,17 +49,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, columns: list[str], function: Callable[..., Iterable[dict]], schema: str, limit: int = BATCH_CHARS) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], function: Callable[..., Iterable[dict]], schema: str, limit: int = BATCH_CHARS, collect: bool = True) -> DataFrame:
     """Apply ``function(lists of the columns) -> dict of lists`` to bounded batches of ``columns``.
 
     Only the named columns travel to Python, so further columns of any name do no harm.
+    Without ``collect``, a task only returns what is free already: for functions that fill no word cache.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
+        if collect:
+            give_back()
         for values in bounded(batches, limit):
             yield pa.RecordBatch.from_pydict(function(*values), schema=arrow)
-        give_back()
+        give_back() if collect else trim()
 
     arrow = arrow_schema(df.sparkSession, schema)
     return df.select(*columns).mapInArrow(run, schema)
@@ -72,6 +74,10 @@ def give_back() -> None:
     """
     _hashes.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
