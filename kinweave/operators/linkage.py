@@ -166,6 +166,38 @@ def candidate_union(passes: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("q_id", "p_id").agg(*out)
 
 
+def pass_plan(options: list[tuple[str, int | None, DataFrame]], truth: DataFrame, n_queries: int, most: float = 60.0, least_gain: float = 1e-4) -> list[dict]:
+    """Passes chosen one by one for most recall per added candidate of a query, at least 0.25 of them.
+
+    ``options``: pass, depth (None: not ranked) and pairs; a chosen pass may return with more depth. The union stays
+    within ``most`` candidates a query. The pairs are reduced to counts by the set of options that hold them, whose
+    number depends on the options alone; the choice itself needs no more than these.
+    """
+    if len(options) > 62:
+        raise ValueError("at most 62 options")
+    marked = reduce(DataFrame.unionByName, [df.select("q_id", "p_id", F.lit(1 << k).cast("long").alias("bit")) for k, (_, _, df) in enumerate(options)])
+    true = truth.select("q_id", "p_id").distinct().withColumn("y", F.lit(1))
+    sets = marked.groupBy("q_id", "p_id").agg(F.bit_or("bit").alias("held")).join(true, ["q_id", "p_id"], "left")
+    counts = [(r["held"], r["n"], r["hits"] or 0) for r in sets.groupBy("held").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).collect()]
+    n_true, chosen, taken, pairs, hits, plan = max(1, true.count()), {}, 0, 0, 0, []
+    while True:
+        best = None
+        for k, (name, depth, _) in enumerate(options):
+            if name in chosen and (depth is None or chosen[name] is None or depth <= chosen[name]):
+                continue
+            fresh = [(n, h) for held, n, h in counts if held >> k & 1 and not held & taken]
+            added, gain = sum(n for n, _ in fresh), sum(h for _, h in fresh) / n_true
+            worth = gain / max(added / max(1, n_queries), 0.25)
+            if gain >= least_gain and pairs + added <= most * n_queries and (best is None or worth > best[0]):
+                best = worth, k, added, gain
+        if best is None:
+            return plan
+        _, k, added, gain = best
+        chosen[options[k][0]] = options[k][1]
+        taken, pairs, hits = taken | 1 << k, pairs + added, hits + gain
+        plan.append({"step": len(plan) + 1, "pass": options[k][0], "depth": options[k][1], "gain": round(gain, 5), "recall": round(hits, 5), "pairs": pairs})
+
+
 def with_records(pairs: DataFrame, queries: DataFrame, pool: DataFrame, columns: list[str]) -> DataFrame:
     """Both records' columns beside each pair, with prefixes q_ and p_."""
     side = lambda df, t: df.select(F.col("id").alias(f"{t}_id"), *[F.col(c).alias(f"{t}_{c}") for c in columns])

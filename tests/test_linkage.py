@@ -141,3 +141,30 @@ def test_stream_resolves_arriving_records(spark, tmp_path):
 def test_matcher_scores_every_pair(spark):
     rows = queries.er_matcher(spark, SF)
     assert rows.filter("probability IS NULL").isEmpty() and rows.count() == queries.er_pair_measures(spark, SF).count()
+
+
+def test_pass_plan_equals_a_plan_over_sets(spark):
+    rng = np.random.default_rng(5)
+    some = lambda n: {(int(q), int(p)) for q, p in zip(rng.integers(0, 20, n), rng.integers(0, 30, n), strict=True)}
+    frame = lambda pairs: spark.createDataFrame(sorted(pairs), "q_id long, p_id long")
+    true, a, deep, wide = some(40), some(60), some(150), some(300)
+    shallow = set(sorted(deep)[::3])
+    options = [("A", None, a | set(sorted(true)[:20])), ("C", 1, shallow), ("C", 5, deep), ("D", 9, wide | true)]
+    got = L.pass_plan([(n, k, frame(p)) for n, k, p in options], frame(true), 20, most=11)
+    union, chosen, wanted = set(), {}, []
+    while True:
+        best = None
+        for name, depth, pairs in options:
+            if name in chosen and (depth is None or depth <= (chosen[name] or 0)):
+                continue
+            fresh = pairs - union
+            gain = len(fresh & true) / len(true)
+            worth = gain / max(len(fresh) / 20, 0.25)
+            if gain >= 1e-4 and len(union | pairs) <= 220 and (best is None or worth > best[0]):
+                best = worth, name, depth, pairs
+        if best is None:
+            break
+        chosen[best[1]] = best[2]
+        union |= best[3]
+        wanted.append((best[1], best[2], len(union), round(len(union & true) / len(true), 5)))
+    assert wanted and [(s["pass"], s["depth"], s["pairs"], s["recall"]) for s in got] == wanted
