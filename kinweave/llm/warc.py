@@ -7,8 +7,8 @@ the rows, so Spark broadcasts it if it is small and joins by shuffle, splitting
 their final name after they are complete; a repeated task replaces its own file by an equal one.
 
 Reader: each task has a range of bytes of an archive. It looks for gzip magic from the start of its range, accepts a
-candidate if its first bytes inflate to a WARC header and the member inflates without error up to the end of the file
-or the next magic, and owns the records that start within the range, whose rest it reads beyond it.
+candidate if its first bytes inflate to a WARC version, the member inflates without error up to the end of the file or
+the next magic and a blank line ends its header, however long, and owns the records that start within the range, whose rest it reads beyond it.
 
 Defined results: a null payload is empty; a null id can't name a record and raises; equal ids are separate records;
 an empty table gives no archive and an empty result. Further columns are ignored.
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.shared import arrow_schema, bounded, materialise, new_path
 
 MAGIC = b"\x1f\x8b\x08"
+VERSION = b"WARC/"
 URN = "urn:x-page:"
 #: Stated in each record, so that equal tables give equal archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -43,8 +44,6 @@ class Layout:
     level: int = 3
     split_bytes: int = 4 << 20
     read_bytes: int = 1 << 18
-    #: Most bytes of an inflated record header.
-    head_bytes: int = 16_384
 
 
 def record(key: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -138,7 +137,7 @@ def find_member(view: Window, at: int, stop: int) -> int:
     return -1
 
 
-def inflate(view: Window, at: int, layout: Layout) -> tuple[bytes, int] | None:
+def inflate(view: Window, at: int) -> tuple[bytes, int] | None:
     """The record of the member at ``at`` and where the member ends; None if there is no valid one."""
     engine, parts, size, place = zlib.decompressobj(31), [], 0, at
     checked, take = False, 8192
@@ -152,17 +151,19 @@ def inflate(view: Window, at: int, layout: Layout) -> tuple[bytes, int] | None:
             got = engine.decompress(chunk)
             parts.append(got)
             size += len(got)
-            if not checked and (size >= layout.head_bytes or engine.eof):
-                head = b"".join(parts)
-                if not head.startswith(b"WARC/") or b"\r\n\r\n" not in head[: layout.head_bytes]:
+            if not checked and (size >= len(VERSION) or engine.eof):
+                if not b"".join(parts).startswith(VERSION):
                     return None
                 checked = True
     except zlib.error:
         return None
+    data = b"".join(parts)
+    if b"\r\n\r\n" not in data:
+        return None
     end = place - len(engine.unused_data)
     if view.fill(end + len(MAGIC)) and view.data[end - view.start :][: len(MAGIC)] != MAGIC:
         return None
-    return b"".join(parts), end
+    return data, end
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -176,7 +177,7 @@ def records(file: BinaryIO, start: int, stop: int, layout: Layout = Layout()) ->
     """Offset, fields and block of the records that start within the range."""
     view, at = Window(file, start, layout.read_bytes), start
     while (at := find_member(view, at, stop)) >= 0:
-        got = inflate(view, at, layout)
+        got = inflate(view, at)
         if got is None:
             at += 1
             continue

@@ -240,6 +240,19 @@ def test_warc_ranges_own_each_record_once_and_pass_false_magic():
         assert got == starts
 
 
+def test_warc_reads_every_record_written_however_long_its_url(spark):
+    rng = random.Random(2)
+    url = lambda n: "http://h/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    copy = "copy " * 500
+    pages = [(k, url(n), f"page {k}") for k, n in enumerate((10, 16_000, 16_384, 20_000, 100_000))] + [(10, url(100_000), copy), (11, url(100_000), copy)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    for layout in (warc.Layout(split_bytes=1000, read_bytes=64), warc.Layout(split_bytes=5000, read_bytes=700, level=0), warc.Layout()):
+        rows = warc.read(warc.write(df, layout), layout).collect()
+        assert len(rows) == len(pages)
+        assert {r["page_id"]: r["url"] for r in rows} == {k: u for k, u, _ in pages}
+        assert {r["page_id"]: r["refers_to"] for r in rows if r["record_type"] == "revisit"} == {10: 11}
+
+
 def test_host_reputation_equals_sql_and_defined_results(spark):
     pages = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/x?y"), (4, "http://a.example.com/en/"), (5, "http://b.net/fr/1#f"), (6, "http://c.org"), (7, "http://bad.org/1"), (8, "http://bad.org/2"), (None, "x://com/"), (9, "http://notcom/en"), (9, "http://x.co.uk/en")]
     pages += [(100 + k, f"http://bad.org/{k}") for k in range(40)] + [(200 + k, f"http://s{k % 4}.fine.org/{k}") for k in range(60)]
