@@ -3,7 +3,9 @@
 The vocabulary comes from the word counts of the whole corpus: the most frequent words have ids of their own, all
 others share buckets by hash. For each position the network sees ``side`` tokens to the left and to the right, never
 the token itself: embeddings of the neighbours, one hidden layer, a softmax over the vocabulary. A document's score is
-the sum of its tokens' conditional log-probabilities.
+the sum of its tokens' conditional log-probabilities. Given the corpus's counts, a word in a bucket has the probability
+of its bucket times its share of the bucket's tokens, so that every word of the corpus has a probability of its own.
+The shares of the ``sent_words`` most frequent words go to all tasks; rarer words meet theirs in a join.
 
 Training is data-parallel: each task draws windows (one of ``stride`` positions of every document, so the sample
 grows with the corpus), takes steps from the common weights and returns its weights with the number of its windows.
@@ -11,7 +13,8 @@ Weights are averaged in groups of ``fan_in``, level by level, so that neither a
 ``fan_in`` sets of weights. Rounds repeat that on the next share of the windows.
 
 Defined results: a document without words has no token, log-probability 0 and a null mean; equal texts score equally;
-words equal in count enter the vocabulary in alphabetical order; an empty table gives an empty table; further columns
+words equal in count enter the vocabulary in alphabetical order; a word that the counts lack has a share of one in all
+tokens beside the frequent words'; an empty table gives an empty table; further columns
 are ignored. Texts are scored whole, in bounded blocks.
 """
 
@@ -49,6 +52,8 @@ class Settings:
     fan_in: int = 64
     #: Counts a task holds before it passes them on.
     counted_words: int = 400_000
+    #: Words in buckets whose shares every task holds.
+    sent_words: int = 50_000
     block: int = 65_536
 
     @property
@@ -81,6 +86,10 @@ def start(s: Settings, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
+def bucket(word: bytes, s: Settings) -> int:
+    return xxhash.xxh3_64_intdigest(word) % s.buckets
+
+
 class Vocabulary(dict):
     """Ids of words; the shared ones are added as they are met, in bounded number."""
 
@@ -92,7 +101,7 @@ class Vocabulary(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
             self.update(self.fixed)
-        found = self[word] = 1 + self.s.frequent + xxhash.xxh3_64_intdigest(word) % self.s.buckets
+        found = self[word] = 1 + self.s.frequent + bucket(word, self.s)
         return found
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -160,8 +169,8 @@ class Scorer:
 
 
 def count_words(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """word, n over the whole corpus, counted in each task first."""
-    schema = "word binary, n long"
+    """word, bucket, n over the whole corpus, counted in each task first."""
+    schema = "word binary, bucket int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -177,10 +186,10 @@ def count_words(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
         words = list(counts)
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict({"word": part, "n": [counts[w] for w in part]}, schema=arrow)
+            yield pa.RecordBatch.from_pydict({"word": part, "bucket": [bucket(w, s) for w in part], "n": [counts[w] for w in part]}, schema=arrow)
 
     arrow = arrow_schema(docs.sparkSession, schema)
-    return docs.select(text_col).mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(run, schema).groupBy("word", "bucket").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -223,9 +232,11 @@ def learner(sent: Broadcast, s: Settings, round_: int, arrow: pa.Schema) -> Call
     return learn
 
 
-def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text") -> Model:
+def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text", counted: DataFrame | None = None) -> Model:
+    """``counted``: what ``count_words`` found, if it is there already."""
     s, spark = settings, docs.sparkSession
-    counted = materialise(count_words(docs, s, text_col), "counts")
+    if counted is None:
+        counted = materialise(count_words(docs, s, text_col), "counts")
     top = counted.orderBy(F.desc("n"), "word").limit(s.frequent).collect()
     words = [bytes(r["word"]) for r in top]
     counts = np.zeros(s.size)
@@ -266,30 +277,71 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
     return Model(words, flat, s)
 
 
+class Shares(dict):
+    """Log-shares of words in their buckets, 0 for words with ids of their own; not a number: to be joined."""
+
+    def __missing__(self, word: bytes) -> float:
+        return math.nan
+
+
+def word_shares(counted: DataFrame, model: Model) -> DataFrame:
+    """word, n, share: the logarithm of each word's part of its bucket, for all words without an id of their own."""
+    spark = counted.sparkSession
+    own = spark.createDataFrame([(bytearray(w),) for w in model.words], "word binary")
+    rest = counted.join(F.broadcast(own), "word", "left_anti")
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))  # a row per bucket
+    return rest.join(F.broadcast(totals), "bucket").select("word", "n", (F.log("n") - F.log("total")).alias("share"))
+
+
 _loaded: dict[int, tuple[Vocabulary, Scorer]] = {}
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_tokens``, ``log_likelihood`` (the sum), ``mean_log_likelihood``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", counted: DataFrame | None = None) -> DataFrame:
+    """``id_col``, ``n_tokens``, ``log_likelihood`` (the sum), ``mean_log_likelihood``.
 
-    def run(ids: list, texts: list) -> dict:
+    With ``counted``, of the words; without, of their ids, so that words of a bucket are one.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    head = None
+    if counted is not None:
+        shares = word_shares(counted, model)
+        top = shares.orderBy(F.desc("n"), "word").limit(model.settings.sent_words).select("word", "share").collect()
+        head = spark.sparkContext.broadcast({bytes(r["word"]): r["share"] for r in top} | dict.fromkeys(model.words, 0.0))
+
+    def run(ids: list, texts: list, rows: list) -> dict:
         model = sent.value
         if id(model) not in _loaded:
             _loaded.clear()
-            _loaded[id(model)] = Vocabulary(model.words, model.settings), Scorer(model.weights, model.settings), model
-        vocabulary, scorer, _ = _loaded[id(model)]
+            _loaded[id(model)] = Vocabulary(model.words, model.settings), Scorer(model.weights, model.settings), Shares(head.value if head else {}), model
+        vocabulary, scorer, known, _ = _loaded[id(model)]
         side = model.settings.side
-        sums, counts = [], []
-        parts = [vocabulary.ids(words_of(text)) for text in texts]
+        sums, counts, rest = [], [], []
+        words = [words_of(text) for text in texts]
+        parts = [vocabulary.ids(own) for own in words]
         # the texts of a batch in one array: the zeros after a text and before the next keep them apart
         found = scorer.log_probabilities(np.concatenate(parts)) if parts else np.empty(0)
         at = 0
-        for part in parts:
-            n = len(part) - 2 * side
+        for own, part in zip(words, parts, strict=True):
+            n = len(own)
             counts.append(n)
             sums.append(float(found[at : at + n].sum(dtype=np.float64)))
             at += len(part)
-        return {id_col: ids, "n_tokens": counts, "log_likelihood": sums, "mean_log_likelihood": [x / n if n else None for x, n in zip(sums, counts, strict=True)]}
-
-    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, mean_log_likelihood double", collect=False)
+            if head:
+                within = np.fromiter(map(known.__getitem__, own), np.float64, n)
+                lacks = np.isnan(within)
+                sums[-1] += float(within[~lacks].sum())
+                rest.append([own[k] for k in np.flatnonzero(lacks)])
+        return {id_col: ids, "n_tokens": counts, "log_likelihood": sums, "_row": rows, "_rest": rest if head else [None] * len(ids)}
+
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, _row long, _rest array<binary>"
+    got = map_batches(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row")), [id_col, text_col, "_row"], run, schema, collect=False)
+    if counted is not None:
+        got = materialise(got, "scores")
+        unseen = -math.log(1 + (shares.agg(F.sum("n")).first()[0] or 0))
+        # words beyond ``sent_words`` are rare, so no word has many of the rows
+        within = got.select("_row", F.explode("_rest").alias("word")).join(shares.select("word", "share"), "word", "left")
+        within = within.groupBy("_row").agg(F.sum(F.coalesce("share", F.lit(unseen))).alias("_within"))
+        got = got.drop("_rest").join(within, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_within", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return got.select(id_col, "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

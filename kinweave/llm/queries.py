@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import bagminhash, bpe, hosts, langid, ogg, packing, pseudo_lm, repetition, substrings, warc
+from kinweave.llm.shared import materialise
 
 HELD_OUT = 2
 
@@ -46,7 +47,8 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pseudo_lm.score(docs, pseudo_lm.fit(docs))
+    counted = materialise(pseudo_lm.count_words(docs, pseudo_lm.Settings(), "text"), "counts")
+    return pseudo_lm.score(docs, pseudo_lm.fit(docs, counted=counted), counted=counted)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,28 @@ def test_pseudo_likelihood_sums_and_defined_results(spark):
     assert pseudo_lm.score(df.limit(0), empty).count() == 0
 
 
+@pytest.mark.parametrize("sent", [0, 2, 100])
+def test_pseudo_likelihood_gives_each_word_its_share_of_its_bucket(spark, sent):
+    s = pseudo_lm.Settings(frequent=2, buckets=3, stride=1, rounds=1, sent_words=sent)
+    texts = ["a b " * 30 + "c c c c d e e f g h", "c d d i", "", "i", "a b a"]
+    df = frame(spark, texts)
+    counted = pseudo_lm.count_words(df, s, "text")
+    model = pseudo_lm.fit(df, s, counted=counted)
+    whole = {r["doc_id"]: r for r in pseudo_lm.score(df, model, counted=counted).collect()}
+    of_ids = {r["doc_id"]: r for r in pseudo_lm.score(df, model).collect()}
+    counts = Counter(w for t in texts for w in words_of(t) if w not in model.words)
+    totals = Counter()
+    for w, n in counts.items():
+        totals[pseudo_lm.bucket(w, s)] += n
+    for k, text in zip(sorted(whole), texts, strict=True):
+        shares = sum(math.log(counts[w] / totals[pseudo_lm.bucket(w, s)]) for w in words_of(text) if w not in model.words)
+        assert whole[k]["log_likelihood"] == pytest.approx(of_ids[k]["log_likelihood"] + shares, abs=1e-4)
+        assert whole[k]["n_tokens"] == len(words_of(text)) and (whole[k]["mean_log_likelihood"] is None) == (not text)
+    new = frame(spark, ["zzz"])
+    extra = pseudo_lm.score(new, model, counted=counted).first()["log_likelihood"] - pseudo_lm.score(new, model).first()["log_likelihood"]
+    assert extra == pytest.approx(-math.log(1 + sum(counts.values())), abs=1e-4)
+
+
 def test_training_lowers_the_loss_and_gradients_are_right():
     s = pseudo_lm.Settings(frequent=6, buckets=2, dims=3, hidden=4, batch=8)
     rng = np.random.default_rng(0)
