@@ -7,8 +7,9 @@ the sum of its tokens' conditional log-probabilities. Given the corpus's counts,
 of its bucket times its share of the bucket's tokens, so that every word of the corpus has a probability of its own.
 The shares of the ``sent_words`` most frequent words go to all tasks; rarer words meet theirs in a join.
 
-Training is data-parallel: each task draws windows (one of ``stride`` positions of every document, so the sample
-grows with the corpus), takes steps from the common weights and returns its weights with the number of its windows.
+Training is data-parallel: each task gets runs of ids, trains on the windows around all their positions (or one of
+``stride``), from the common weights, and returns its weights with the number of its windows. Runs overlap by ``side``
+ids, so that each position of the corpus is trained in one task of one round.
 Weights are averaged in groups of ``fan_in``, level by level, so that neither a task nor the driver meets more than
 ``fan_in`` sets of weights. Rounds repeat that on the next share of the windows.
 
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,13 @@ class Settings:
     side: int = 2
     dims: int = 16
     hidden: int = 32
-    #: One of so many positions is a training example.
-    stride: int = 16
+    #: One of so many positions is a training example; 1: all.
+    stride: int = 1
     rounds: int = 3
     #: Examples a training task handles; the number of tasks follows the corpus.
-    task_examples: int = 400_000
+    task_examples: int = 3_200_000
+    #: Positions in a run of ids on its way to training.
+    run: int = 16_384
     step_size: float = 0.15
     batch: int = 256
     fan_in: int = 64
@@ -111,6 +114,24 @@ class Vocabulary(dict):
         return out
 
 
+def kind(s: Settings) -> type:
+    """The least type that holds all ids."""
+    return np.uint8 if s.size <= 256 else np.int32
+
+
+def runs(ids: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
+    """Runs of ``ids``, which begin and end with ``side`` zeros; together they have each other place in their inside once."""
+    for at in range(s.side, len(ids) - s.side, s.run):
+        yield ids[at - s.side : at + s.run + s.side].astype(kind(s))
+
+
+def examples(ids: np.ndarray, first: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets at one of ``stride`` words inside a run, at least one."""
+    at = np.flatnonzero(ids[s.side : len(ids) - s.side]) + s.side
+    at = at[first % max(1, min(s.stride, len(at))) :: s.stride]
+    return ids[at[:, None] + offsets(s)], ids[at]
+
+
 def offsets(s: Settings) -> np.ndarray:
     return np.r_[-s.side : 0, 1 : s.side + 1]
 
@@ -225,9 +246,12 @@ def learner(sent: Broadcast, s: Settings, round_: int, arrow: pa.Schema) -> Call
     """Training on one task's examples from the weights ``sent``."""
 
     def learn(table: pa.Table) -> pa.Table:
-        found = np.concatenate([np.frombuffer(b, np.int16) for b in table["rows"].to_pylist()]).reshape(-1, 2 * s.side + 1)
-        weights = train(sent.value, found[:, :-1], found[:, -1], s, round_)
-        return pa.table({"task": [table["task"][0].as_py() // s.rounds], "n": [len(found)], "flat": [weights.astype(np.float32).tobytes()]}, schema=arrow)
+        found = [examples(np.frombuffer(b, kind(s)), slot, s) for b, slot in zip(table["rows"].to_pylist(), table["slot"].to_pylist(), strict=True)]
+        context, target = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(target):
+            return arrow.empty_table()
+        weights = train(sent.value, context, target, s, round_)
+        return pa.table({"task": [table["task"][0].as_py() // s.rounds], "n": [len(target)], "flat": [weights.astype(np.float32).tobytes()]}, schema=arrow)
 
     return learn
 
@@ -249,21 +273,13 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
         return Model(words, flat, s)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(words, s)
-        near = np.r_[offsets(s), 0]
+        vocabulary, place = Vocabulary(words, s), TaskContext.get().partitionId() << 32
         for (texts,) in bounded(batches):
-            rows = []
-            for text in texts:
-                own = words_of(text)
-                if own:
-                    # the first position drawn depends on the text, so that all positions have their turn
-                    first = xxhash.xxh3_64_intdigest(own[0] + own[-1] + str(len(own)).encode()) % s.stride
-                    at = np.arange(first, len(own), s.stride) + s.side
-                    rows.append(vocabulary.ids(own)[at[:, None] + near].astype(np.int16))
-            found = np.concatenate(rows) if rows else np.empty((0, 2 * s.side + 1), np.int16)
-            for k in range(0, len(found), 4096):
-                part = found[k : k + 4096]
-                yield pa.RecordBatch.from_pydict({"slot": [int(xxhash.xxh3_64_intdigest(part.tobytes()) >> 1)], "rows": [part.tobytes()]}, schema=drawn)
+            parts = [vocabulary.ids(own) for own in map(words_of, texts) if own]
+            for part in runs(np.concatenate(parts), s) if parts else ():
+                # the place seeds the hash, so that equal runs don't meet in one task
+                place += 1
+                yield pa.RecordBatch.from_pydict({"slot": [int(xxhash.xxh3_64_intdigest(part.tobytes(), place) >> 1)], "rows": [part.tobytes()]}, schema=drawn)
 
     drawn = arrow_schema(spark, "slot long, rows binary")
     tasks = max(1, math.ceil(total / s.stride / s.task_examples))

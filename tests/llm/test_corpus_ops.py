@@ -190,6 +190,24 @@ def test_pseudo_likelihood_sums_and_defined_results(spark):
     assert pseudo_lm.score(df.limit(0), empty).count() == 0
 
 
+def test_pseudo_likelihood_trains_every_position_once(spark, monkeypatch):
+    s = pseudo_lm.Settings()
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 15, 100):
+        texts = [rng.integers(1, s.size, rng.integers(1, 40)) for _ in range(20)]
+        padded = [np.r_[[0] * s.side, t, [0] * s.side] for t in texts]
+        small = pseudo_lm.Settings(run=size)
+        found = [pseudo_lm.examples(r, 0, small) for r in pseudo_lm.runs(np.concatenate(padded), small)]
+        got = Counter((*c, t) for cs, ts in found for c, t in zip(cs.tolist(), ts.tolist(), strict=True))
+        assert got == Counter((*(int(p[k + o]) for o in pseudo_lm.offsets(s)), int(p[k])) for p in padded for k in range(s.side, len(p) - s.side))
+    trained = []
+    average = pseudo_lm.average
+    monkeypatch.setattr(pseudo_lm, "average", lambda parts, s: (trained.append(parts.agg(F.sum("n")).first()[0]), average(parts, s))[1])
+    texts = ["one two three", "short", "", "one two three"] * 9 + ["w " * 40_000]
+    pseudo_lm.fit(frame(spark, texts))
+    assert sum(trained) == sum(len(words_of(t)) for t in texts)
+
+
 @pytest.mark.parametrize("sent", [0, 2, 100])
 def test_pseudo_likelihood_gives_each_word_its_share_of_its_bucket(spark, sent):
     s = pseudo_lm.Settings(frequent=2, buckets=3, stride=1, rounds=1, sent_words=sent)
