@@ -223,8 +223,10 @@ def pair_measures(pairs: DataFrame) -> DataFrame:
 
 
 def string_measures(pairs: DataFrame) -> DataFrame:
+    """Edit-distance measures of pairs, each distinct pair of names measured once."""
     q, p = F.col("q_n_core"), F.col("p_n_core")
-    return pairs.withColumns({"n_ratio": S.ratio(q, p), "n_jw": S.jaro_winkler_similarity(q, p), "n_tsort": S.token_sort_ratio(q, p), "n_tset": S.token_set_ratio(q, p), "n_partial": S.partial_ratio(q, p)})
+    measured = pairs.select(q, p).distinct().withColumns({"n_ratio": S.ratio(q, p), "n_jw": S.jaro_winkler_similarity(q, p), "n_tsort": S.token_sort_ratio(q, p), "n_tset": S.token_set_ratio(q, p), "n_partial": S.partial_ratio(q, p)})
+    return pairs.join(measured, ["q_n_core", "p_n_core"], "left")
 
 
 def context(pairs: DataFrame, column: str, by: str = "q_id") -> DataFrame:

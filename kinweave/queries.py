@@ -119,8 +119,8 @@ def er_pair_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def er_string_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = scored(spark, sf_dir)
-    rows = L.string_measures(rows.filter("p >= 0.2"))
-    return rows.select("q_id", "p_id", F.round("n_jw", 5).alias("n_jw"), F.round("n_ratio", 6).alias("n_ratio"), F.round("n_tsort", 6).alias("n_tsort"))
+    rows = L.string_measures(rows.select("q_id", "p_id", "q_n_core", "p_n_core"))
+    return rows.select("q_id", "p_id", F.round("n_jw", 5).alias("n_jw"), *[F.round(c, 6).alias(c) for c in ("n_ratio", "n_tsort", "n_tset", "n_partial")])
 
 
 def er_context(spark: SparkSession, sf_dir: str) -> DataFrame:

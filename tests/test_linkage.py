@@ -168,3 +168,16 @@ def test_pass_plan_equals_a_plan_over_sets(spark):
         union |= best[3]
         wanted.append((best[1], best[2], len(union), round(len(union & true) / len(true), 5)))
     assert wanted and [(s["pass"], s["depth"], s["pairs"], s["recall"]) for s in got] == wanted
+
+
+def test_string_measures_of_every_scored_pair(spark):
+    names = {(r["q_id"], r["p_id"]): (r["q_n_core"], r["p_n_core"]) for r in queries.scored(spark, SF)[1].select("q_id", "p_id", "q_n_core", "p_n_core").collect()}
+    rows = queries.er_string_measures(spark, SF).collect()
+    assert len(rows) == len(names) and {(r["q_id"], r["p_id"]) for r in rows} == set(names)
+    for r in rows:
+        a, b = names[r["q_id"], r["p_id"]]
+        assert r["n_jw"] == pytest.approx(S.jaro_winkler(a, b), abs=1e-5)
+        assert r["n_ratio"] == pytest.approx(S.indel(a, b), abs=1e-6)
+        assert r["n_partial"] == pytest.approx(S.partial(a, b), abs=1e-6)
+        assert r["n_tsort"] == pytest.approx(S.indel(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), abs=1e-6)
+        assert r["n_tset"] >= r["n_tsort"] - 1e-6 or set(a.split()) != set(b.split())
