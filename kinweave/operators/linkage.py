@@ -57,9 +57,11 @@ def block_keys(rows: DataFrame) -> DataFrame:
     return rows.select("id", "country", F.explode(F.concat(*parts)).alias("k")).select("id", "country", "k.kind", "k.key")
 
 
-def key_join(queries: DataFrame, pool: DataFrame, max_block: int = 300) -> DataFrame:
-    """Distinct (kind, q_id, p_id) that share a key whose block in the pool, among the queries' keys, is small enough."""
+def key_join(queries: DataFrame, pool: DataFrame, max_block: int | None = 300) -> DataFrame:
+    """Distinct (kind, q_id, p_id) that share a key whose block in the pool, among the queries' keys, is small enough (None: any)."""
     keys = ["country", "kind", "key"]
+    if max_block is None:
+        return queries.withColumnRenamed("id", "q_id").join(pool.withColumnRenamed("id", "p_id"), keys).select("kind", "q_id", "p_id").distinct()
     near = pool.join(queries.select(*keys).distinct(), keys, "left_semi")
     small = near.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") <= max_block).drop("n")
     blocks = near.join(small, keys)

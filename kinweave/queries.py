@@ -104,7 +104,7 @@ def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def er_pass_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passes and depths that a budget of 20 candidates a query buys."""
     w = world(spark, sf_dir)
-    keys = L.key_join(L.block_keys(w.queries), L.block_keys(w.pool), max_block=5)
+    keys = L.key_join(L.block_keys(w.queries), L.block_keys(w.pool), max_block=None)
     names = er_tfidf_names(spark, sf_dir)
     options = [(k, None, keys.filter(F.col("kind") == k)) for k in ("A", "B", "K")] + [("C", k, names.filter(F.col("rank") < k)) for k in (1, 2, 5, TOP_K)]
     plan = L.pass_plan(options, w.truth, w.queries.count(), most=20)

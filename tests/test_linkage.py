@@ -181,3 +181,10 @@ def test_string_measures_of_every_scored_pair(spark):
         assert r["n_partial"] == pytest.approx(S.partial(a, b), abs=1e-6)
         assert r["n_tsort"] == pytest.approx(S.indel(" ".join(sorted(a.split())), " ".join(sorted(b.split()))), abs=1e-6)
         assert r["n_tset"] >= r["n_tsort"] - 1e-6 or set(a.split()) != set(b.split())
+
+
+def test_pass_plan_counts_pairs_of_large_blocks(spark, tmp_path):
+    docs = [(k, "one long enough name of six words and then an address 12 main road", "en") for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = queries.er_pass_plan(spark, str(tmp_path)).first()
+    assert first["pass"] in ("A", "B", "K") and (first["pairs"], first["recall"]) == (400, 1.0)
