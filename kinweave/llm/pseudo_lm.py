@@ -1,22 +1,25 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every token from both sides.
 
-The vocabulary comes from the word counts of the whole corpus: the most frequent words have ids of their own, all
-others share buckets by hash. For each position the network sees ``side`` tokens to the left and to the right, never
-the token itself: embeddings of the neighbours, one hidden layer, a softmax over the vocabulary. A document's score is
-the sum of its tokens' conditional log-probabilities. Given the corpus's counts, a word in a bucket has the probability
-of its bucket times its share of the bucket's tokens, so that every word of the corpus has a probability of its own.
-The shares of the ``sent_words`` most frequent words go to all tasks; rarer words meet theirs in a join.
-
-Training is data-parallel: each task gets runs of ids, trains on the windows around all their positions (or one of
-``stride``), from the common weights, and returns its weights with the number of its windows. Runs overlap by ``side``
-ids, so that each position of the corpus is trained in one task of one round.
-Weights are averaged in groups of ``fan_in``, level by level, so that neither a task nor the driver meets more than
-``fan_in`` sets of weights. Rounds repeat that on the next share of the windows.
+The vocabulary comes from the word counts of the whole corpus. The ``frequent`` most frequent words are outcomes of
+their own; all others belong to ``classes`` classes. A class lists ``listed`` words, the next most frequent ones dealt
+in turn, and holds the rest of the corpus's words, by hash, as its tail. For each position the network sees ``side``
+tokens to the left and to the right, never the token itself: embeddings of the neighbours, one hidden layer, a softmax
+over the frequent words and the classes, and for a word of a class a second softmax, over the class's listed words and
+its tail, from the same hidden layer. A document's score is the sum of its tokens' conditional log-probabilities. Given
+the corpus's counts, a word of a tail has the tail's probability times its share of the tail's tokens, so that every
+word of the corpus has a probability of its own. The shares of the ``sent_words`` most frequent words of tails go to
+all tasks; rarer words meet theirs in a join.
+
+Training is data-parallel: each task gets runs of ids, trains (Adagrad) on the windows around all their positions from
+the common weights, and returns its weights with the number of its windows. Runs overlap by ``side`` ids, so that each
+position of the corpus is trained in one task of one round. Weights are averaged in groups of ``fan_in``, level by
+level, so that neither a task nor the driver meets more than ``fan_in`` sets of weights. Rounds repeat that on the
+next share of the windows.
 
 Defined results: a document without words has no token, log-probability 0 and a null mean; equal texts score equally;
-words equal in count enter the vocabulary in alphabetical order; a word that the counts lack has a share of one in all
-tokens beside the frequent words'; an empty table gives an empty table; further columns
-are ignored. Texts are scored whole, in bounded blocks.
+words equal in count enter the vocabulary in alphabetical order; a word that the counts lack counts as one token
+beyond its class's tail; an empty table gives an empty table; further columns, whatever their names, are ignored. Texts are
+scored whole, in bounded blocks; one text is held at a time.
 """
 
 from __future__ import annotations
@@ -39,34 +42,46 @@ from kinweave.llm.shared import CACHE_WORDS, arrow_schema, bounded, map_batches,
 @dataclass(frozen=True)
 class Settings:
     frequent: int = 191
-    buckets: int = 64
+    classes: int = 64
+    listed: int = 127
     side: int = 2
     dims: int = 16
     hidden: int = 32
-    #: One of so many positions is a training example; 1: all.
-    stride: int = 1
     rounds: int = 3
-    #: Examples a training task handles; the number of tasks follows the corpus.
-    task_examples: int = 3_200_000
+    #: Positions a training task handles, over all rounds; the number of tasks follows the corpus.
+    task_examples: int = 9_600_000
     #: Positions in a run of ids on its way to training.
     run: int = 16_384
-    step_size: float = 0.15
-    batch: int = 256
-    fan_in: int = 64
+    step_size: float = 0.12
+    batch: int = 2048
+    fan_in: int = 16
     #: Counts a task holds before it passes them on.
     counted_words: int = 400_000
-    #: Words in buckets whose shares every task holds.
-    sent_words: int = 50_000
-    block: int = 65_536
+    #: Words of tails whose shares every task holds.
+    sent_words: int = 150_000
+    #: Positions scored together, and those of them whose first softmax is held at a time.
+    block: int = 32_768
+    softmax_block: int = 1024
+
+    @property
+    def heads(self) -> int:
+        """Outcomes of the first softmax: 0 is the space beyond an end of a text, then frequent words, then classes."""
+        return 1 + self.frequent + self.classes
+
+    @property
+    def slots(self) -> int:
+        """Outcomes within a class: 0 is its tail, then the listed words."""
+        return 1 + self.listed
 
     @property
     def size(self) -> int:
-        """Ids: 0 is the space beyond an end of a text, then the frequent words, then the buckets."""
-        return 1 + self.frequent + self.buckets
+        """Ids: those of the first softmax but the classes, then each class's slots."""
+        return 1 + self.frequent + self.classes * self.slots
 
 
 def shapes(s: Settings) -> list[tuple[int, ...]]:
-    return [(s.size, s.dims), (2 * s.side * s.dims, s.hidden), (s.hidden,), (s.hidden, s.size), (s.size,)]
+    """Embeddings, hidden layer and its bias, first softmax and its bias, the classes' softmaxes and their biases."""
+    return [(s.size, s.dims), (2 * s.side * s.dims, s.hidden), (s.hidden,), (s.hidden, s.heads), (s.heads,), (s.classes, s.hidden, s.slots), (s.classes, s.slots)]
 
 
 def unflatten(flat: np.ndarray, s: Settings) -> list[np.ndarray]:
@@ -79,44 +94,59 @@ def unflatten(flat: np.ndarray, s: Settings) -> list[np.ndarray]:
 
 
 def start(s: Settings, counts: np.ndarray) -> np.ndarray:
-    """First weights: small random numbers, and the corpus's token frequencies as the output's bias."""
+    """First weights: small random numbers, and the frequencies of the ids in the corpus as the biases."""
     rng = np.random.default_rng(7)
-    parts = [rng.normal(0, 1 / math.sqrt(shape[0] if len(shape) > 1 and shape[0] < 500 else 10), shape) for shape in shapes(s)]
-    parts[0] = rng.normal(0, 0.3, shapes(s)[0])
-    parts[2][:] = 0
-    parts[3] *= 0.3
-    parts[4] = np.log((counts + 0.5) / (counts.sum() + 0.5 * len(counts)))
+    within = counts[1 + s.frequent :].reshape(s.classes, s.slots)
+    first = np.r_[counts[: 1 + s.frequent], within.sum(1)]
+    parts = [
+        rng.normal(0, 0.3, shapes(s)[0]), rng.normal(0, 1 / math.sqrt(2 * s.side * s.dims), shapes(s)[1]), np.zeros(s.hidden),
+        rng.normal(0, 0.05, shapes(s)[3]), np.log((first + 0.5) / (first.sum() + 0.5 * s.heads)),
+        rng.normal(0, 0.05, shapes(s)[5]), np.log((within + 0.5) / (within.sum(1, keepdims=True) + 0.5 * s.slots)),
+    ]
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
 def bucket(word: bytes, s: Settings) -> int:
-    return xxhash.xxh3_64_intdigest(word) % s.buckets
+    """The class whose tail holds a word that no class lists."""
+    return xxhash.xxh3_64_intdigest(word) % s.classes
+
+
+def listed_ids(words: list[bytes], s: Settings) -> dict[bytes, int]:
+    """Ids of the words, given from the most frequent on: frequent ones in order, then one for each class in turn."""
+    out = {w: k for k, w in enumerate(words[: s.frequent], 1)}
+    for k, w in enumerate(words[s.frequent : s.frequent + s.classes * s.listed]):
+        out[w] = 1 + s.frequent + k % s.classes * s.slots + 1 + k // s.classes
+    return out
 
 
 class Vocabulary(dict):
-    """Ids of words; the shared ones are added as they are met, in bounded number."""
+    """Ids of words; those of tails are added as they are met, in bounded number."""
 
     def __init__(self, words: list[bytes], s: Settings):
-        super().__init__((w, k) for k, w in enumerate(words, 1))
-        self.fixed, self.s = dict(self), s
+        self.fixed, self.s = listed_ids(words, s), s
+        super().__init__(self.fixed)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
             self.update(self.fixed)
-        found = self[word] = 1 + self.s.frequent + bucket(word, self.s)
+        found = self[word] = 1 + self.s.frequent + bucket(word, self.s) * self.s.slots
         return found
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids with ``side`` zeros before and after."""
-        out = np.zeros(len(words) + 2 * self.s.side, np.int64)
-        out[self.s.side : self.s.side + len(words)] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        out = np.zeros(len(words) + 2 * self.s.side, np.int32)
+        out[self.s.side : self.s.side + len(words)] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         return out
 
 
+def is_tail(ids: np.ndarray, s: Settings) -> np.ndarray:
+    return (ids > s.frequent) & ((ids - 1 - s.frequent) % s.slots == 0)
+
+
 def kind(s: Settings) -> type:
     """The least type that holds all ids."""
-    return np.uint8 if s.size <= 256 else np.int32
+    return np.uint16 if s.size <= 1 << 16 else np.int32
 
 
 def runs(ids: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
@@ -125,49 +155,115 @@ def runs(ids: np.ndarray, s: Settings) -> Iterator[np.ndarray]:
         yield ids[at - s.side : at + s.run + s.side].astype(kind(s))
 
 
-def examples(ids: np.ndarray, first: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and targets at one of ``stride`` words inside a run, at least one."""
-    at = np.flatnonzero(ids[s.side : len(ids) - s.side]) + s.side
-    at = at[first % max(1, min(s.stride, len(at))) :: s.stride]
-    return ids[at[:, None] + offsets(s)], ids[at]
+def places(ids: np.ndarray, s: Settings) -> np.ndarray:
+    """Places of the words inside a run."""
+    return np.flatnonzero(ids[s.side : len(ids) - s.side]) + s.side
 
 
 def offsets(s: Settings) -> np.ndarray:
     return np.r_[-s.side : 0, 1 : s.side + 1]
 
 
-def train(flat: np.ndarray, context: np.ndarray, target: np.ndarray, s: Settings, seed: int) -> np.ndarray:
-    """One pass of stochastic gradient steps over the examples."""
-    embed, into, inner, outer, bias = unflatten(flat.copy(), s)
-    order = np.random.default_rng(seed).permutation(len(target))
-    for at in range(0, len(order), s.batch):
-        pick = order[at : at + s.batch]
-        seen, wanted = context[pick], target[pick]
-        x = embed[seen].reshape(len(pick), -1)
+def outcomes(ids: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ids: the outcome of the first softmax, the class (-1 without) and the slot within it."""
+    inside = ids.astype(np.int64) - 1 - s.frequent
+    class_ = np.where(inside >= 0, inside // s.slots, -1)
+    return np.where(inside >= 0, 1 + s.frequent + class_, ids), class_, inside % s.slots
+
+
+def cuts(classes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(class, start, end) of the runs of equal sorted classes, those without one left out."""
+    edges = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1], True]) if len(classes) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if classes[a] >= 0:
+            yield int(classes[a]), a, b
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+class Trainer:
+    """Adagrad over mini-batches; an embedding's row has one step size."""
+
+    def __init__(self, flat: np.ndarray, s: Settings):
+        self.flat, self.s = flat.copy(), s
+        self.weights = unflatten(self.flat, s)
+        self.squares = [np.full(w.shape if k else (len(w), 1), 1e-8, w.dtype) for k, w in enumerate(self.weights)]
+
+    def step(self, k: int, gradient: np.ndarray, at: object = ...) -> None:
+        seen = self.squares[k][at]
+        seen += (gradient * gradient).mean(1, keepdims=True) if not k else gradient * gradient
+        self.squares[k][at] = seen
+        self.weights[k][at] -= self.s.step_size * gradient / np.sqrt(seen)
+
+    def batch(self, context: np.ndarray, target: np.ndarray) -> list:
+        """Gradients of the mean loss at the weights as they are; the classes' and embeddings' by (which, gradient)."""
+        s = self.s
+        embed, into, inner, outer, bias, slots, slot_bias = self.weights
+        n = len(target)
+        first, class_, slot = outcomes(target, s)
+        order = np.argsort(first, kind="stable")
+        context, first, class_, slot = context[order], first[order], class_[order], slot[order]
+        x = embed[context].reshape(n, -1)
         h = np.tanh(x @ into + inner)
-        z = h @ outer + bias
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(pick)), wanted] -= 1
-        p *= s.step_size / len(pick) * 4
-        back = (p @ outer.T) * (1 - h * h)
-        outer -= h.T @ p
-        bias -= p.sum(0)
-        down = (back @ into.T).reshape(len(pick), -1, s.dims)
-        into -= x.T @ back
-        inner -= back.sum(0)
-        np.subtract.at(embed, seen, down)
-    return np.concatenate([w.ravel() for w in (embed, into, inner, outer, bias)])
+        p = h @ outer
+        p += bias
+        softmax(p)
+        p[np.arange(n), first] -= 1
+        p /= n
+        back = p @ outer.T
+        of_classes = []
+        for c, a, b in cuts(class_):
+            q = h[a:b] @ slots[c]
+            q += slot_bias[c]
+            softmax(q)
+            q[np.arange(b - a), slot[a:b]] -= 1
+            q /= n
+            back[a:b] += q @ slots[c].T
+            of_classes.append((c, h[a:b].T @ q, q.sum(0)))
+        back *= 1 - h * h
+        down = (back @ into.T).reshape(-1, s.dims)
+        ids = context.ravel()
+        by = np.argsort(ids, kind="stable")
+        edges = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
+        return [(ids[by][edges], np.add.reduceat(down[by], edges)), x.T @ back, back.sum(0), h.T @ p, p.sum(0), of_classes]
+
+    def learn(self, ids: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+        """One pass over the places ``at``, in random order; the weights after it."""
+        order = np.random.default_rng(seed).permutation(at)
+        beside = offsets(self.s)
+        for k in range(0, len(order), self.s.batch):
+            pick = order[k : k + self.s.batch]
+            (rows, of_rows), *dense, of_classes = self.batch(ids[pick[:, None] + beside], ids[pick])
+            self.step(0, of_rows, rows)
+            for j, gradient in enumerate(dense, 1):
+                self.step(j, gradient)
+            for c, gradient, of_bias in of_classes:
+                self.step(5, gradient, c)
+                self.step(6, of_bias, c)
+        return self.flat
 
 
 class Scorer:
     def __init__(self, flat: np.ndarray, s: Settings):
-        embed, into, self.inner, self.outer, self.bias = unflatten(flat, s)
+        embed, into, self.inner, self.outer, self.bias, self.slots, self.slot_bias = unflatten(flat, s)
         # what a token at a neighbouring place adds to the hidden layer
         self.tables = [embed @ part for part in into.reshape(2 * s.side, s.dims, s.hidden)]
         self.s = s
 
+    @staticmethod
+    def chosen(z: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Log-probability of an outcome of each row; ``z`` is overwritten."""
+        z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(z)), which]
+        np.exp(z, out=z)
+        return own - np.log(z.sum(1))
+
     def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
         """Of each token given its neighbours; ``ids`` may join texts, each with zeros around it."""
         s = self.s
@@ -175,17 +271,27 @@ class Scorer:
         out = np.empty(max(n, 0), np.float32)
         for at in range(0, n, s.block):
             m = min(s.block, n - at)
-            h = np.tile(self.inner, (m, 1))
+            first, class_, slot = outcomes(ids[at + s.side : at + s.side + m], s)
+            order = np.argsort(class_.astype(np.int16), kind="stable")
+            sorted_ = np.empty(m, np.float32)
+            h = np.empty((m, s.hidden), np.float32)
+            h[:] = self.inner
             for table, offset in zip(self.tables, offsets(s), strict=True):
-                first = at + s.side + offset
-                h += table[ids[first : first + m]]
+                h += table[ids[at + s.side + offset + order]]
             np.tanh(h, out=h)
-            z = h @ self.outer
-            z += self.bias
-            z -= z.max(1, keepdims=True)
-            own = z[np.arange(m), ids[at + s.side : at + s.side + m]]
-            np.exp(z, out=z)
-            out[at : at + m] = own - np.log(z.sum(1))
+            first, class_, slot = first[order], class_[order], slot[order]
+            for a in range(0, m, s.softmax_block):
+                b = min(m, a + s.softmax_block)
+                z = h[a:b] @ self.outer
+                z += self.bias
+                sorted_[a:b] = self.chosen(z, first[a:b])
+            for c, a, b in cuts(class_):
+                for k in range(a, b, s.softmax_block):
+                    e = min(b, k + s.softmax_block)
+                    z = h[k:e] @ self.slots[c]
+                    z += self.slot_bias[c]
+                    sorted_[k:e] += self.chosen(z, slot[k:e])
+            out[at : at + m][order] = sorted_
         return out
 
 
@@ -218,6 +324,8 @@ class Model:
     words: list[bytes]
     weights: np.ndarray
     settings: Settings
+    #: Tokens in each class's tail.
+    tail_tokens: np.ndarray | None = None
 
 
 def average(parts: DataFrame, s: Settings) -> np.ndarray:
@@ -243,15 +351,16 @@ def average(parts: DataFrame, s: Settings) -> np.ndarray:
 
 
 def learner(sent: Broadcast, s: Settings, round_: int, arrow: pa.Schema) -> Callable[[pa.Table], pa.Table]:
-    """Training on one task's examples from the weights ``sent``."""
+    """Training on one task's runs from the weights ``sent``."""
 
     def learn(table: pa.Table) -> pa.Table:
-        found = [examples(np.frombuffer(b, kind(s)), slot, s) for b, slot in zip(table["rows"].to_pylist(), table["slot"].to_pylist(), strict=True)]
-        context, target = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(target):
+        parts = [np.frombuffer(b.as_py(), kind(s)) for b in table["rows"]]
+        starts = np.cumsum([0, *map(len, parts)])
+        at = np.concatenate([places(part, s) + first for part, first in zip(parts, starts, strict=False)])
+        if not len(at):
             return arrow.empty_table()
-        weights = train(sent.value, context, target, s, round_)
-        return pa.table({"task": [table["task"][0].as_py() // s.rounds], "n": [len(target)], "flat": [weights.astype(np.float32).tobytes()]}, schema=arrow)
+        weights = Trainer(sent.value, s).learn(np.concatenate(parts), at, round_)
+        return pa.table({"task": [table["task"][0].as_py() // s.rounds], "n": [len(at)], "flat": [weights.tobytes()]}, schema=arrow)
 
     return learn
 
@@ -261,16 +370,18 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
     s, spark = settings, docs.sparkSession
     if counted is None:
         counted = materialise(count_words(docs, s, text_col), "counts")
-    top = counted.orderBy(F.desc("n"), "word").limit(s.frequent).collect()
+    top = counted.orderBy(F.desc("n"), "word").limit(s.frequent + s.classes * s.listed).collect()
     words = [bytes(r["word"]) for r in top]
     counts = np.zeros(s.size)
-    counts[1 : len(words) + 1] = [r["n"] for r in top]
-    rest = int((counted.agg(F.sum("n")).first()[0] or 0) - counts.sum())
-    counts[1 + s.frequent :] = rest / s.buckets
+    counts[list(listed_ids(words, s).values())] = [r["n"] for r in top]
+    tail_tokens = np.zeros(s.classes)
+    for r in tails(counted, words).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row per class
+        tail_tokens[r["bucket"]] = r["n"]
+    counts[1 + s.frequent :: s.slots] = tail_tokens
     flat = start(s, counts)
     total = counts.sum()
     if not total:
-        return Model(words, flat, s)
+        return Model(words, flat, s, tail_tokens)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, place = Vocabulary(words, s), TaskContext.get().partitionId() << 32
@@ -282,7 +393,7 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
                 yield pa.RecordBatch.from_pydict({"slot": [int(xxhash.xxh3_64_intdigest(part.tobytes(), place) >> 1)], "rows": [part.tobytes()]}, schema=drawn)
 
     drawn = arrow_schema(spark, "slot long, rows binary")
-    tasks = max(1, math.ceil(total / s.stride / s.task_examples))
+    tasks = max(1, math.ceil(total / s.task_examples))
     windows = materialise(docs.select(text_col).mapInArrow(draw, "slot long, rows binary").repartition(tasks * s.rounds, "slot").withColumn("task", F.spark_partition_id().cast("long")), "windows")
     parts_schema = "task long, n long, flat binary"
     arrow = arrow_schema(spark, parts_schema)
@@ -290,40 +401,43 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
         share = windows.filter(F.col("task") % s.rounds == round_)
         if not share.isEmpty():
             flat = average(share.groupBy("task").applyInArrow(learner(spark.sparkContext.broadcast(flat), s, round_, arrow), parts_schema), s)
-    return Model(words, flat, s)
+    return Model(words, flat, s, tail_tokens)
 
 
 class Shares(dict):
-    """Log-shares of words in their buckets, 0 for words with ids of their own; not a number: to be joined."""
+    """Log-shares of words in their tails; not a number: to be joined."""
 
     def __missing__(self, word: bytes) -> float:
         return math.nan
 
 
+def tails(counted: DataFrame, words: list[bytes]) -> DataFrame:
+    """The counts of all words but ``words``."""
+    own = counted.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    return counted.join(F.broadcast(own), "word", "left_anti")
+
+
 def word_shares(counted: DataFrame, model: Model) -> DataFrame:
-    """word, n, share: the logarithm of each word's part of its bucket, for all words without an id of their own."""
-    spark = counted.sparkSession
-    own = spark.createDataFrame([(bytearray(w),) for w in model.words], "word binary")
-    rest = counted.join(F.broadcast(own), "word", "left_anti")
-    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))  # a row per bucket
-    return rest.join(F.broadcast(totals), "bucket").select("word", "n", (F.log("n") - F.log("total")).alias("share"))
+    """word, n, share: the logarithm of each word's part of its class's tail, for all words without an id of their own."""
+    total = F.element_at(F.array(*map(F.lit, model.tail_tokens.tolist())), F.col("bucket") + 1)
+    return tails(counted, model.words).select("word", "n", (F.log("n") - F.log(total)).alias("share"))
 
 
-_loaded: dict[int, tuple[Vocabulary, Scorer]] = {}
+_loaded: dict[int, tuple] = {}
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", counted: DataFrame | None = None) -> DataFrame:
     """``id_col``, ``n_tokens``, ``log_likelihood`` (the sum), ``mean_log_likelihood``.
 
-    With ``counted``, of the words; without, of their ids, so that words of a bucket are one.
+    With ``counted``, of the words; without, of their ids, so that words of a tail are one.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     head = None
     if counted is not None:
-        shares = word_shares(counted, model)
+        shares = materialise(word_shares(counted, model), "shares")
         top = shares.orderBy(F.desc("n"), "word").limit(model.settings.sent_words).select("word", "share").collect()
-        head = spark.sparkContext.broadcast({bytes(r["word"]): r["share"] for r in top} | dict.fromkeys(model.words, 0.0))
+        head = spark.sparkContext.broadcast({bytes(r["word"]): r["share"] for r in top})
 
     def run(ids: list, texts: list, rows: list) -> dict:
         model = sent.value
@@ -331,7 +445,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             _loaded.clear()
             _loaded[id(model)] = Vocabulary(model.words, model.settings), Scorer(model.weights, model.settings), Shares(head.value if head else {}), model
         vocabulary, scorer, known, _ = _loaded[id(model)]
-        side = model.settings.side
+        s = model.settings
+        unseen = -np.log1p(model.tail_tokens) if head else None
         sums, counts, rest = [], [], []
         words = [words_of(text) for text in texts]
         parts = [vocabulary.ids(own) for own in words]
@@ -344,20 +459,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             sums.append(float(found[at : at + n].sum(dtype=np.float64)))
             at += len(part)
             if head:
-                within = np.fromiter(map(known.__getitem__, own), np.float64, n)
+                tail = np.flatnonzero(is_tail(part[s.side : s.side + n], s)).tolist()
+                within = np.fromiter((known[own[k]] for k in tail), np.float64, len(tail))
                 lacks = np.isnan(within)
                 sums[-1] += float(within[~lacks].sum())
-                rest.append([own[k] for k in np.flatnonzero(lacks)])
+                of_class = unseen[outcomes(part[s.side : s.side + n], s)[1]] if lacks.any() else unseen
+                rest.append([(own[tail[k]], of_class[tail[k]]) for k in np.flatnonzero(lacks)])
         return {id_col: ids, "n_tokens": counts, "log_likelihood": sums, "_row": rows, "_rest": rest if head else [None] * len(ids)}
 
-    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, _row long, _rest array<binary>"
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, _row long, _rest array<struct<word: binary, unseen: double>>"
     got = map_batches(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row")), [id_col, text_col, "_row"], run, schema, collect=False)
     if counted is not None:
         got = materialise(got, "scores")
-        unseen = -math.log(1 + (shares.agg(F.sum("n")).first()[0] or 0))
         # words beyond ``sent_words`` are rare, so no word has many of the rows
-        within = got.select("_row", F.explode("_rest").alias("word")).join(shares.select("word", "share"), "word", "left")
-        within = within.groupBy("_row").agg(F.sum(F.coalesce("share", F.lit(unseen))).alias("_within"))
+        within = got.select("_row", F.explode("_rest").alias("_rest")).select("_row", "_rest.*").join(shares.select("word", "share"), "word", "left")
+        within = within.groupBy("_row").agg(F.sum(F.coalesce("share", "unseen")).alias("_within"))
         got = got.drop("_rest").join(within, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_within", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return got.select(id_col, "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

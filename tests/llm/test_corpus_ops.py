@@ -162,7 +162,7 @@ def test_signatures_estimate_weighted_jaccard_without_bias():
 
 def test_pseudo_likelihood_prefers_the_corpus_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    settings = pseudo_lm.Settings(stride=2, task_examples=20_000, fan_in=2)
+    settings = pseudo_lm.Settings(task_examples=60_000, fan_in=2)
     model = pseudo_lm.fit(docs, settings)
     en = docs.filter("lang = 'en'").orderBy("doc_id").limit(40)
     turned = en.withColumn("text", F.array_join(F.shuffle(F.split("text", r"\s+")), " "))
@@ -172,22 +172,61 @@ def test_pseudo_likelihood_prefers_the_corpus_language(spark):
     assert mean(en, model) > mean(en, start)
 
 
+def test_pseudo_likelihood_beats_the_unigram_model_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
+    fitted, held = docs.filter("crc32(cast(doc_id AS string)) % 5 <> 0"), docs.filter("crc32(cast(doc_id AS string)) % 5 = 0")
+    counted = pseudo_lm.materialise(pseudo_lm.count_words(fitted, pseudo_lm.Settings(), "text"), "counts")
+    got = pseudo_lm.score(held, pseudo_lm.fit(fitted, counted=counted), counted=counted).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first()
+    counts = {bytes(r["word"]): r["n"] for r in counted.collect()}
+    total = sum(counts.values())
+    tokens = [w for r in held.collect() for w in words_of(r["text"])]
+    unigram = sum(math.log(counts.get(w, 1) / (total + 1)) for w in tokens) / len(tokens)
+    assert got[1] == len(tokens) and got[0] / got[1] > unigram + 0.2
+
+
+def test_pseudo_likelihood_tells_repeated_documents_apart(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9)))
+    common = [word() for _ in range(300)]
+    texts = [" ".join(rng.choice(common) if k % 2 else word() for k in range(120)) for _ in range(200)]
+    twice = texts[:20]
+    df = frame(spark, texts + twice)
+    counted = pseudo_lm.count_words(df, pseudo_lm.Settings(), "text")
+    rows = sorted(pseudo_lm.score(df, pseudo_lm.fit(df, counted=counted), counted=counted).collect(), key=lambda r: r["doc_id"])
+    mean = [r["mean_log_likelihood"] for r in rows]
+    assert np.mean([a > b for a in mean[:20] for b in mean[20:200]]) >= 0.95
+
+
+def by_hand(weights, s, ids):
+    """Log-probability of each token by the formula, without tables, sorting or blocks."""
+    embed, into, inner, outer, bias, slots, slot_bias = weights
+    for k in range(s.side, len(ids) - s.side):
+        if not ids[k]:
+            continue
+        h = np.tanh(np.concatenate([embed[ids[k + o]] for o in pseudo_lm.offsets(s)]) @ into + inner)
+        z = h @ outer + bias
+        inside = int(ids[k]) - 1 - s.frequent
+        if inside < 0:
+            yield z[ids[k]] - math.log(np.exp(z).sum())
+        else:
+            c, slot = divmod(inside, s.slots)
+            q = h @ slots[c] + slot_bias[c]
+            yield z[1 + s.frequent + c] - math.log(np.exp(z).sum()) + q[slot] - math.log(np.exp(q).sum())
+
+
 def test_pseudo_likelihood_sums_and_defined_results(spark):
-    s = pseudo_lm.Settings(frequent=5, buckets=3, stride=1, rounds=1, block=7)
-    df = frame(spark, ["a b c d a b c d e f g a b", "a b c d a b c d e f g a b", None, "", "b", "x " * 5000])
+    s = pseudo_lm.Settings(frequent=3, classes=2, listed=1, rounds=1, block=7, softmax_block=3)
+    df = frame(spark, ["a b c d a b c d e f g a b", "a b c d a b c d e f g a b", None, "", "b", "x " * 5000]).withColumns({"n_tokens": F.lit("z"), "log_likelihood": F.lit("z"), "_row": F.lit(0), "word": F.lit("w")})
     model = pseudo_lm.fit(df, s)
     got = {r["doc_id"]: r for r in pseudo_lm.score(df, model).collect()}
     assert got[0]["log_likelihood"] == pytest.approx(got[3]["log_likelihood"], rel=1e-4)
     assert got[6]["n_tokens"] == 0 and got[6]["log_likelihood"] == 0 and got[9]["mean_log_likelihood"] is None
-    embed, into, inner, outer, bias = pseudo_lm.unflatten(model.weights.astype(float), s)
     ids = pseudo_lm.Vocabulary(model.words, s).ids(words_of("a b c d a b c d e f g a b"))
-    total = 0.0
-    for k in range(2, len(ids) - 2):
-        z = np.tanh(np.concatenate([embed[ids[j]] for j in (k - 2, k - 1, k + 1, k + 2)]) @ into + inner) @ outer + bias
-        total += z[ids[k]] - math.log(np.exp(z).sum())
-    assert got[0]["log_likelihood"] == pytest.approx(total, rel=1e-4)
+    assert len({int(i) for i in ids if i}) == 6 and pseudo_lm.is_tail(ids, s).any()
+    assert got[0]["log_likelihood"] == pytest.approx(sum(by_hand(pseudo_lm.unflatten(model.weights.astype(float), s), s, ids)), rel=1e-4)
     empty = pseudo_lm.fit(df.limit(0), s)
     assert pseudo_lm.score(df.limit(0), empty).count() == 0
+    assert pseudo_lm.score(df.limit(0), empty, counted=pseudo_lm.count_words(df.limit(0), s, "text")).count() == 0
 
 
 def test_pseudo_likelihood_trains_every_position_once(spark, monkeypatch):
@@ -197,8 +236,8 @@ def test_pseudo_likelihood_trains_every_position_once(spark, monkeypatch):
         texts = [rng.integers(1, s.size, rng.integers(1, 40)) for _ in range(20)]
         padded = [np.r_[[0] * s.side, t, [0] * s.side] for t in texts]
         small = pseudo_lm.Settings(run=size)
-        found = [pseudo_lm.examples(r, 0, small) for r in pseudo_lm.runs(np.concatenate(padded), small)]
-        got = Counter((*c, t) for cs, ts in found for c, t in zip(cs.tolist(), ts.tolist(), strict=True))
+        parts = list(pseudo_lm.runs(np.concatenate(padded), small))
+        got = Counter((*r[k + pseudo_lm.offsets(s)].tolist(), int(r[k])) for r in parts for k in pseudo_lm.places(r, small))
         assert got == Counter((*(int(p[k + o]) for o in pseudo_lm.offsets(s)), int(p[k])) for p in padded for k in range(s.side, len(p) - s.side))
     trained = []
     average = pseudo_lm.average
@@ -209,12 +248,13 @@ def test_pseudo_likelihood_trains_every_position_once(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("sent", [0, 2, 100])
-def test_pseudo_likelihood_gives_each_word_its_share_of_its_bucket(spark, sent):
-    s = pseudo_lm.Settings(frequent=2, buckets=3, stride=1, rounds=1, sent_words=sent)
-    texts = ["a b " * 30 + "c c c c d e e f g h", "c d d i", "", "i", "a b a"]
+def test_pseudo_likelihood_gives_each_word_its_share_of_its_tail(spark, sent):
+    s = pseudo_lm.Settings(frequent=2, classes=2, listed=1, rounds=1, sent_words=sent)
+    texts = ["a b " * 30 + "c c c c c d d d d e e f g h", "c d d i", "", "i", "a b a"]
     df = frame(spark, texts)
     counted = pseudo_lm.count_words(df, s, "text")
     model = pseudo_lm.fit(df, s, counted=counted)
+    assert model.words == [b"a", b"b", b"c", b"d"]
     whole = {r["doc_id"]: r for r in pseudo_lm.score(df, model, counted=counted).collect()}
     of_ids = {r["doc_id"]: r for r in pseudo_lm.score(df, model).collect()}
     counts = Counter(w for t in texts for w in words_of(t) if w not in model.words)
@@ -227,25 +267,49 @@ def test_pseudo_likelihood_gives_each_word_its_share_of_its_bucket(spark, sent):
         assert whole[k]["n_tokens"] == len(words_of(text)) and (whole[k]["mean_log_likelihood"] is None) == (not text)
     new = frame(spark, ["zzz"])
     extra = pseudo_lm.score(new, model, counted=counted).first()["log_likelihood"] - pseudo_lm.score(new, model).first()["log_likelihood"]
-    assert extra == pytest.approx(-math.log(1 + sum(counts.values())), abs=1e-4)
+    assert extra == pytest.approx(-math.log(1 + totals[pseudo_lm.bucket(b"zzz", s)]), abs=1e-4)
 
 
-def test_training_lowers_the_loss_and_gradients_are_right():
-    s = pseudo_lm.Settings(frequent=6, buckets=2, dims=3, hidden=4, batch=8)
+def test_probabilities_of_all_outcomes_sum_to_one():
+    s = pseudo_lm.Settings(frequent=4, classes=3, listed=2, dims=3, hidden=4)
+    flat = pseudo_lm.start(s, np.arange(1.0, s.size + 1)) * 2
+    context = np.array([1, 5, 0, 9, 3], np.int32)
+    total = 0.0
+    for target in range(s.size):
+        context[2] = target
+        if target:
+            total += math.exp(pseudo_lm.Scorer(flat, s).log_probabilities(context)[0])
+    embed, into, inner, outer, bias, *_ = pseudo_lm.unflatten(flat, s)
+    z = np.tanh(embed[context[[0, 1, 3, 4]]].ravel() @ into + inner) @ outer + bias
+    assert total == pytest.approx(1 - np.exp(z[0]) / np.exp(z).sum(), abs=1e-5)
+
+
+def test_gradients_are_right_and_training_lowers_the_loss():
+    s = pseudo_lm.Settings(frequent=4, classes=3, listed=2, dims=3, hidden=4, batch=8)
     rng = np.random.default_rng(0)
-    context, target = rng.integers(0, s.size, (8, 4)), rng.integers(1, s.size, 8)
-    flat = pseudo_lm.start(s, np.ones(s.size)).astype(np.float64)
+    context, target = rng.integers(1, s.size, (8, 4)), rng.integers(1, s.size, 8)
+    flat = pseudo_lm.start(s, np.arange(1.0, s.size + 1)).astype(np.float64)
 
     def loss(w):
-        embed, into, inner, outer, bias = pseudo_lm.unflatten(w, s)
-        z = np.tanh(embed[context].reshape(8, -1) @ into + inner) @ outer + bias
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(8), target]))
-
-    step = (flat - pseudo_lm.train(flat, context, target, s, 0)) / (4 * s.step_size)
-    for k in rng.integers(0, len(flat), 25):
+        return -np.mean([next(by_hand(pseudo_lm.unflatten(w, s), s, np.r_[c[:2], t, c[2:]])) for c, t in zip(context, target, strict=True)])
+
+    (rows, of_rows), *dense, of_classes = pseudo_lm.Trainer(flat, s).batch(context, target)
+    found = [np.zeros(shape) for shape in pseudo_lm.shapes(s)]
+    found[0][rows] = of_rows
+    for k, gradient in enumerate(dense, 1):
+        found[k] = gradient
+    for c, gradient, of_bias in of_classes:
+        found[5][c], found[6][c] = gradient, of_bias
+    found = np.concatenate([x.ravel() for x in found])
+    for k in rng.integers(0, len(flat), 60):
         bump = np.zeros(len(flat))
         bump[k] = 1e-6
-        assert step[k] == pytest.approx((loss(flat + bump) - loss(flat - bump)) / 2e-6, abs=1e-6)
+        assert found[k] == pytest.approx((loss(flat + bump) - loss(flat - bump)) / 2e-6, abs=1e-6)
+    ids = np.concatenate([np.r_[c[:2], t, c[2:]] for c, t in zip(context, target, strict=True)])
+    weights = flat
+    for seed in range(20):
+        weights = pseudo_lm.Trainer(weights, s).learn(ids, np.arange(2, len(ids), 5), seed)
+    assert loss(weights) < loss(flat) - 0.3
 
 
 def test_warc_round_trip_over_splits(spark):
