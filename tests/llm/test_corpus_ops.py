@@ -191,8 +191,9 @@ def test_pseudo_likelihood_tells_repeated_documents_apart(spark):
     texts = [" ".join(rng.choice(common) if k % 2 else word() for k in range(120)) for _ in range(200)]
     twice = texts[:20]
     df = frame(spark, texts + twice)
-    counted = pseudo_lm.count_words(df, pseudo_lm.Settings(), "text")
-    rows = sorted(pseudo_lm.score(df, pseudo_lm.fit(df, counted=counted), counted=counted).collect(), key=lambda r: r["doc_id"])
+    s = pseudo_lm.Settings(listed=4)  # as in a large corpus, words that occur once or twice aren't listed
+    counted = pseudo_lm.count_words(df, s, "text")
+    rows = sorted(pseudo_lm.score(df, pseudo_lm.fit(df, s, counted=counted), counted=counted).collect(), key=lambda r: r["doc_id"])
     mean = [r["mean_log_likelihood"] for r in rows]
     assert np.mean([a > b for a in mean[:20] for b in mean[20:200]]) >= 0.95
 
