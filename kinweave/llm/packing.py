@@ -8,8 +8,9 @@ A sequence that can't be filled is divided at powers of two, so that it needs no
 Each bounded batch of documents is packed by itself: nothing is gathered beyond it, and what is left open is one
 sequence a batch.
 
-Defined results: a null or empty text is its end id alone; repeated rows are packed each by itself; an empty table
-gives an empty table; long texts fill as many whole sequences as they can; further columns are ignored.
+Defined results: a null or empty text is its end id alone; repeated rows are packed each by itself; of pieces with
+equal dot products the first in the batch goes in; an empty table gives an empty table; long texts fill as many whole
+sequences as they can; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -48,13 +49,14 @@ STABLE = re.compile("[\t\n\r\x20-\x7e\u00a1-\u024f]*")
 
 
 class VocabularyIds:
-    """Ids of texts under a byte-level vocabulary of the tokenizers library; special tokens' strings are plain text.
+    """Ids of texts as the tokenizers library gives them, the strings of its added tokens included.
 
     tiktoken's merges (any neighbours whose concatenation is a token, lowest id first) give the same ids as the
     library's merge list if each token's own string encodes to that one token: as long as no merge crosses a token's
     ends, the merges within it are those of the token alone, which end in it. That is checked for the whole
     vocabulary on loading; texts with other than STABLE characters, for which the two libraries' character classes
-    might differ, and vocabularies that fail the check take the slower way.
+    might differ, texts that hold an added token's string, and vocabularies that fail the check or normalise take the
+    slower way.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -62,16 +64,16 @@ class VocabularyIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        special = set(self.tokenizer.get_added_tokens_decoder())
-        vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if i not in special}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
+        vocabulary = {t: i for t, i in self.tokenizer.get_vocab().items() if i not in added}
         model = self.tokenizer.model
-        same = all(len(x := model.tokenize(t)) == 1 and x[0].id == i for t, i in vocabulary.items())
+        same = self.tokenizer.normalizer is None and all(len(x := model.tokenize(t)) == 1 and x[0].id == i for t, i in vocabulary.items())
         byte_of = {letter: byte for byte, letter in enumerate(byte_letters())}
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={bytes(map(byte_of.__getitem__, t)): i for t, i in vocabulary.items()}, special_tokens={}) if same else None
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and STABLE.fullmatch(text):
+        if self.fast and STABLE.fullmatch(text) and not self.added.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
