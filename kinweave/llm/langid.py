@@ -4,8 +4,9 @@ Per language a raw-content dictionary is cut from a bounded sample of labelled r
 block, once with each dictionary; the language that needs the fewest bytes is chosen. A text whose two best languages
 lie within a narrow margin is marked ``rejected``.
 
-Defined results: null texts and texts without a letter get ``und``, score 0 and are rejected, as are all texts if
-nothing could be learned; languages with equal sizes are taken in alphabetical order; repeated rows give equal rows;
+Defined results: null texts and texts without a letter (Unicode category L; numerals like Ⅷ, ½ and ① are none) get
+``und``, score 0 and are rejected, as are all texts if nothing could be learned; a carried column with the name of a
+result gives way to the result; languages with equal sizes are taken in alphabetical order; repeated rows give equal rows;
 an empty table gives an empty table; further columns are ignored. Long texts are compressed whole, in blocks.
 """
 
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from kinweave.llm.shared import map_batches
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -82,7 +82,7 @@ class Classifier:
 
         The score is the share of the best language among weights of two to the minus bits, at 1/64 of the bits.
         """
-        if not self.languages or not text or not LETTER.search(text):
+        if not self.languages or not text or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0, True
         data = letters(text).encode("utf-8", "surrogatepass")
         step = self.settings.block_bytes
@@ -104,7 +104,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
     The dictionaries travel as a broadcast variable: one bounded piece for each language.
     """
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    columns = list(dict.fromkeys([id_col, text_col, *carry]))
+    results = ("lang_pred", "score", "margin", "rejected")
+    columns = list(dict.fromkeys([id_col, text_col, *(c for c in carry if c not in results)]))
     out = [c for c in columns if c != text_col or text_col in carry]
     types = dict(docs.dtypes)
     key = sent.id if hasattr(sent, "id") else sent._jbroadcast.id()
@@ -115,6 +116,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
             _classifiers[key] = Classifier(sent.value, settings)
         given = dict(zip(columns, values, strict=True))
         found = [_classifiers[key].predict(text) for text in given[text_col]]
-        return {c: given[c] for c in out} | {name: [f[i] for f in found] for i, name in enumerate(("lang_pred", "score", "margin", "rejected"))}
+        return {c: given[c] for c in out} | {name: [f[i] for f in found] for i, name in enumerate(results)}
 
     return map_batches(docs, columns, run, ", ".join([*(f"`{c}` {types[c]}" for c in out), "lang_pred string, score double, margin double, rejected boolean"]))
