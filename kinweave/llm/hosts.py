@@ -3,12 +3,20 @@
 Each page's labelled outcome (bad or not) counts for its host, the host's registered domain and that one's suffix.
 Rates shrink through beta-binomial priors: the whole table's rate is the prior of a suffix, the suffix's posterior
 mean that of a domain, the domain's that of a host. Each level's prior weight comes from the method of moments over
-that level's groups. A host is blocked if the lower posterior bound of its bad rate is above the threshold.
+that level's groups. A host is blocked if the lower bound of its bad rate is above the threshold: the posterior mean
+less some standard deviations of the posterior beta distribution, the normal approximation of its quantile.
+
+Which page a label is about: the row of ``labels`` whose id equals the page's. The tables share these numbers and no
+other key; pages without a label count for nothing but get their host's verdict.
+
+Suffixes follow a rule, not the public list, which changes by the day: see ``domain_of``. A registry that the rule
+doesn't know makes one domain of its members, whose hosts then share a prior but keep their own outcomes.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is allowed (nothing
 speaks against it); a host without labelled pages is judged by its domain's prior; pages without any label in the
 table are all allowed; several labels of one page count as one, bad if any is; equal rules: the longest text wins and
-no two of a table may have the same text; an empty table gives an empty table. Further columns are kept out.
+no two of a table may have the same text; urls of any length are judged whole; an empty table gives an empty table.
+Further columns, whatever their names, are kept out.
 
 Only group counts are shuffled (pre-aggregated in each task); the host table goes back to the pages by a join that
 Spark broadcasts if the table is small and whose skewed hosts it splits otherwise.
@@ -33,8 +41,17 @@ class Reputation:
     #: Standard deviations of the posterior below its mean; least bad rate at that bound that blocks.
     deviations: float = 1.645
     threshold: float = 0.25
-    #: Suffixes of more than one label whose owners register names below them.
-    long_suffixes: tuple[str, ...] = ("co.uk", "com.au", "co.jp", "com.br")
+    #: Second labels below which names are registered where the last label is a country's (two letters): co.uk, gov.br.
+    categories: tuple[str, ...] = (
+        "ac", "asn", "asso", "co", "com", "ed", "edu", "gen", "go", "gob", "gouv", "gov", "govt", "id", "ind", "info", "k12", "lg",
+        "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch", "school", "web",
+    )
+    #: Names below which a service gives its users names of their own.
+    shared: tuple[str, ...] = (
+        "appspot.com", "azurewebsites.net", "blogspot.com", "cloudfront.net", "firebaseapp.com", "fly.dev", "github.io", "gitlab.io",
+        "herokuapp.com", "netlify.app", "onrender.com", "pages.dev", "r2.dev", "readthedocs.io", "substack.com", "tumblr.com", "vercel.app",
+        "web.app", "weebly.com", "wixsite.com", "wordpress.com", "workers.dev",
+    )
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -57,11 +74,24 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return (rule, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def domain_of(host: Column, long_suffixes: tuple[str, ...]) -> tuple[Column, Column]:
-    """Registered domain and suffix: the last label is the suffix, or the last two where they are a known one."""
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two.isin(*long_suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+def name_of(host: Column) -> Column:
+    """The host without user, port and a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
+def domain_of(host: Column, settings: Reputation) -> tuple[Column, Column]:
+    """Registered domain and suffix.
+
+    The suffix is the last label, or the last two if they are a category below a country or a shared name; the domain
+    has one label more. An address (IPv4, or IPv6 in brackets) is its own domain, with the suffix ``ip``.
+    """
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    of_country = (F.length(F.substring_index(name, ".", -1)) == 2) & F.substring_index(two, ".", 1).isin(*settings.categories) & name.contains(".")
+    long = two.isin(*settings.shared) | of_country
+    address = name.rlike(r"^[0-9]+(\.[0-9]+){3}$") | name.startswith("[")
+    suffix = F.when(address, "ip").when(long, two).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(address, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
     return domain, suffix
 
 
@@ -88,7 +118,7 @@ def judge(pages: DataFrame, labels: DataFrame, settings: Reputation = Reputation
     outcome = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_page")).agg(F.max(bad.cast("int")).alias("_bad"))
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), path.alias("_path"))
-    domain, suffix = domain_of(F.col("host"), settings.long_suffixes)
+    domain, suffix = domain_of(F.col("host"), settings)
     seen = urls.join(outcome, F.col("_id") == F.col("_page"), "left")
     hosts = materialise(
         seen.groupBy(F.col("_host").alias("host")).agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")).withColumns({"domain": domain, "suffix": suffix}), "hosts"
@@ -124,10 +154,13 @@ def judge_sql(settings: Reputation = Reputation()) -> str:
         fits.append(f"((host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{start}'))")
     rule = " ".join(f"WHEN {f} THEN '{t}'" for f, (_, t) in zip(fits, clauses, strict=True))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _) in zip(fits, clauses, strict=True))
-    known = ", ".join(f"'{x}'" for x in settings.long_suffixes)
+    listed = lambda values: ", ".join(f"'{x}'" for x in values)
 
     def last(n: int) -> str:
-        return f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+        return f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
+
+    address = "(regexp_matches(name, '^[0-9]+(\\.[0-9]+){3}$') OR starts_with(name, '['))"
+    long = f"({last(2)} IN ({listed(settings.shared)}) OR (length({last(1)}) = 2 AND string_split({last(2)}, '.')[1] IN ({listed(settings.categories)}) AND contains(name, '.')))"
 
     def weight(table: str) -> str:
         return f"""(SELECT CASE WHEN g < 2 OR b <= 0 OR b >= n THEN 10.0 ELSE 1 / least(0.9, greatest(0.001, CASE WHEN n / g > 1 THEN ((q / n - (b / n) * (b / n)) / ((b / n) * (1 - b / n)) - g / n) / (1 - g / n) ELSE 0.001 END)) - 1 END
@@ -137,9 +170,8 @@ def judge_sql(settings: Reputation = Reputation()) -> str:
 WITH outcome AS (SELECT doc_id, max(CASE WHEN coalesce(toxic = 1, false) OR coalesce(quality = 0, false) THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 rests AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 urls AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
-hosts AS (SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad,
-    CASE WHEN {last(2)} IN ({known}) THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {last(2)} IN ({known}) THEN {last(2)} ELSE {last(1)} END AS suffix
-    FROM urls LEFT JOIN outcome o ON o.doc_id = page_id GROUP BY host),
+counted AS (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS name, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad FROM urls LEFT JOIN outcome o ON o.doc_id = page_id GROUP BY host),
+hosts AS (SELECT host, n, bad, CASE WHEN {address} THEN name WHEN {long} THEN {last(3)} ELSE {last(2)} END AS domain, CASE WHEN {address} THEN 'ip' WHEN {long} THEN {last(2)} ELSE {last(1)} END AS suffix FROM counted),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 scalars AS (SELECT (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) FROM suffixes) AS rate, (SELECT sum(n) FROM suffixes) AS total, {weight("suffixes")} AS ws, {weight("domains")} AS wd, {weight("hosts")} AS wh),
