@@ -8,10 +8,15 @@ their final name after they are complete; a repeated task replaces its own file
 
 Reader: each task has a range of bytes of an archive. It looks for gzip magic from the start of its range, accepts a
 candidate if its first bytes inflate to a WARC version, the member inflates without error up to the end of the file or
-the next magic and a blank line ends its header, however long, and owns the records that start within the range, whose rest it reads beyond it.
-
-Defined results: a null payload is empty; a null id can't name a record and raises; equal ids are separate records;
-an empty table gives no archive and an empty result. Further columns are ignored.
+the next magic and a blank line ends its header, however long, and owns the records that start within the range, whose
+rest it reads beyond it. Where a member must begin (at the start of a file, behind another member) and none does, that
+place is damage, reported once, by the task that owns the record before it; reading goes on at the next member. A
+whole member that a range meets first, without another one or the file's end behind it, is reported as well: it stands
+before damage, or inside the data of a member that begins in an earlier range.
+
+Defined results: a null payload is empty; a page of a null id is a response that nothing refers to, and is read with a
+null id; equal ids are separate records; damage raises, or is returned as rows of record_type ``damaged``; an empty
+table gives no archive and an empty result. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,12 +51,12 @@ class Layout:
     read_bytes: int = 1 << 18
 
 
-def record(key: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record, not compressed. ``refers_to``: the id of the response that holds the payload."""
     sha1 = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{URN}{key}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{URN}{'none' if key is None else key}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: {sha1}")
@@ -89,9 +94,8 @@ def write(pages: DataFrame, layout: Layout = Layout(), id_col: str = "page_id",
                 files.create_dir(base, recursive=True)
                 out = files.open_output_stream(draft)
             for key, url, data, digest, keep in zip(keys, urls, payloads, digests, keeps, strict=True):
-                if key is None:
-                    raise ValueError("a record needs an id")
-                got = member(record(key, url, data, digest, keep if keep is not None and keep != key else None), layout.level)
+                again = key is not None and keep is not None and keep != key
+                got = member(record(key, url, data, digest, keep if again else None), layout.level)
                 out.write(got)
                 size += len(got)
         if out is not None:
@@ -160,10 +164,12 @@ def inflate(view: Window, at: int) -> tuple[bytes, int] | None:
     data = b"".join(parts)
     if b"\r\n\r\n" not in data:
         return None
-    end = place - len(engine.unused_data)
-    if view.fill(end + len(MAGIC)) and view.data[end - view.start :][: len(MAGIC)] != MAGIC:
-        return None
-    return data, end
+    return data, place - len(engine.unused_data)
+
+
+def confirmed(view: Window, end: int) -> bool:
+    """Whether another member or the end of the file follows."""
+    return not view.fill(end + 1) or (view.fill(end + len(MAGIC)) and view.data[end - view.start :][: len(MAGIC)] == MAGIC)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -173,16 +179,35 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def records(file: BinaryIO, start: int, stop: int, layout: Layout = Layout()) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, fields and block of the records that start within the range."""
+def records(file: BinaryIO, start: int, stop: int, layout: Layout = Layout()) -> Iterator[tuple[int, dict[str, str] | None, bytes]]:
+    """Offset, fields and block of the records that start within the range; damage as an offset without fields."""
     view, at = Window(file, start, layout.read_bytes), start
-    while (at := find_member(view, at, stop)) >= 0:
-        got = inflate(view, at)
-        if got is None:
-            at += 1
-            continue
+    due = start == 0  # whether a member must begin at this place
+    while True:
+        if due:
+            if not view.fill(at + 1):
+                return
+            got = inflate(view, at)
+            if got is None:
+                yield at, None, b""
+                at, due = at + 1, False
+                continue
+            if at >= stop:  # the next range's own
+                return
+        else:
+            if (at := find_member(view, at, stop)) < 0:
+                return
+            got = inflate(view, at)
+            if got is not None and not confirmed(view, got[1]):
+                # inside another member's data, or before damage: it can't be told which from here
+                yield at, None, b""
+                at = got[1]
+                continue
+            if got is None:
+                at += 1
+                continue
         yield at, *parse(got[0])
-        at = got[1]
+        at, due = got[1], True
         if at - view.start >= view.step:
             view.drop(at)
 
@@ -190,8 +215,11 @@ def records(file: BinaryIO, start: int, stop: int, layout: Layout = Layout()) ->
 RECORD = "path string, offset long, page_id long, record_type string, refers_to long, url string, payload_digest string, payload_bytes long, payload binary"
 
 
-def read(manifest: DataFrame, layout: Layout = Layout(), payloads: bool = True) -> DataFrame:
-    """A row per record of the archives in ``manifest``; a response's digest is computed from the payload read."""
+def read(manifest: DataFrame, layout: Layout = Layout(), payloads: bool = True, keep_damage: bool = False) -> DataFrame:
+    """A row per record of the archives in ``manifest``; a response's digest is computed from the payload read.
+
+    Damage raises; with ``keep_damage`` it is a row of record_type ``damaged`` with its path and offset.
+    """
     spark = manifest.sparkSession
     step = layout.split_bytes
     archives, size = manifest.agg(F.count("*"), F.sum("size")).first()
@@ -200,7 +228,8 @@ def read(manifest: DataFrame, layout: Layout = Layout(), payloads: bool = True)
     ranges = ranges.repartition(max(1, min(archives + (size or 0) // step, 20_000)), "path", "start")
 
     def key(text: str | None) -> int | None:
-        return int(text.strip("<>").removeprefix(URN)) if text else None
+        name = text.strip("<>").removeprefix(URN) if text else "none"
+        return None if name == "none" else int(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +238,11 @@ def read(manifest: DataFrame, layout: Layout = Layout(), payloads: bool = True)
                 rows, held = [], 0
                 with files.open_input_file(name) as file:
                     for offset, fields, block in records(file, start, start + step, layout):
+                        if fields is None:
+                            if not keep_damage:
+                                raise ValueError(f"{path} at {offset}: no member begins where one must")
+                            rows.append((path, offset, None, "damaged", None, None, None, None, None))
+                            continue
                         head, _, payload = block.partition(b"\r\n\r\n")
                         length = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                         stated = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
