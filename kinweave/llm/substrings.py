@@ -13,7 +13,8 @@ runs, word by word, and what matches ``least`` words or more is removed. Hashes
 Defined results: a null or empty text has no words and stays so; texts shorter than a window keep all words; the
 earliest place (smaller id, then earlier start) of a passage stays; a null id counts as the largest; rows that share
 an id count as one document, whose equal starts don't remove each other; an empty table gives an empty table; further
-columns are ignored unless carried. Ids must be integers.
+columns, whatever their names, are ignored unless carried. Ids must be integers; 2**63 - 1 stands with the null ids.
+Texts of any length are handled whole, one at a time.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ LAST = (1 << 63) - 1
 @dataclass(frozen=True)
 class Settings:
     least: int = 20
-    #: Text bytes that a hash bucket stands for: the smaller number until there are ``buckets`` of them, then up to the larger.
+    #: Text bytes that a hash bucket stands for: the smaller number until there are ``buckets`` of them, then up to the
+    #: larger. A bucket's comparison takes about 82 bytes a window, of which 16 MB of text have some 2.7 million.
     bucket_bytes: int = 4 << 20
-    large_bucket_bytes: int = 256 << 20
+    large_bucket_bytes: int = 16 << 20
     buckets: int = 256
     #: Passages' places are broadcast up to so many (24 bytes each); else they meet the texts by a shuffle.
     broadcast_rows: int = 500_000
@@ -161,7 +163,7 @@ def propose(rows: DataFrame, settings: Settings, buckets: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``carry``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space)."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.col(id_col).cast("long").alias("_given"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, min(settings.buckets, -(-size // settings.bucket_bytes)), -(-size // settings.large_bucket_bytes))
     spans = materialise(propose(rows, settings, buckets), "spans")
@@ -173,7 +175,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str
     passages = materialise(passages, "passages")
     read = spans.join(passages, ["source", "low", "high"]).groupBy("_id").agg(F.collect_list(F.struct("first", "n", "passage")).alias("_runs"))
     types = dict(rows.dtypes)
-    columns = ["_id", "_text", *(f"_c{k}" for k in range(len(carry))), "_runs"]
+    columns = ["_given", "_text", *(f"_c{k}" for k in range(len(carry))), "_runs"]
     kept = [f"_c{k}" for k in range(len(carry))]
     least = settings.least
 
@@ -200,8 +202,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str
             removed.append(gone.count(1))
             stay = [w for w, out in zip(words, gone, strict=True) if not out] if marked else words
             texts.append(b" ".join(stay).decode("utf-8", "surrogatepass"))
-        ids = [None if i == LAST else i for i in given["_id"]]
-        return {"_id": ids} | {c: given[c] for c in kept} | {"n_words": counts, "n_removed": removed, "kept": texts}
+        return {"_id": given["_given"]} | {c: given[c] for c in kept} | {"n_words": counts, "n_removed": removed, "kept": texts}
 
     schema = ", ".join(["_id long", *(f"{c} {types[c]}" for c in kept), "n_words long, n_removed long, kept string"])
     done = map_batches(rows.join(read, "_id", "left"), columns, clean, schema)
