@@ -5,9 +5,10 @@ A media column holds whole Ogg physical streams as bytes. The writer multiplexes
 knows nothing of that layout: it verifies each page's checksum, joins lacing values to packets over page ends,
 separates the streams by serial number, and gives each packet the time that its page's granule position implies.
 
-Damage is reported, not raised: pages with a wrong checksum or a missing predecessor count in ``bad_pages`` and
-``gaps``, and the packets that they cut are dropped. A null medium has no pages. Repeated rows give equal rows;
-an empty table gives an empty table; further columns are ignored. One medium is held at a time.
+Damage is reported, not raised: pages with a wrong checksum count in ``bad_pages``, missing pages and packets without
+an end in ``gaps``, and the packets that they cut are dropped. A null medium has no pages. Repeated rows give equal
+rows; an empty table gives an empty table; further columns, whatever their names, are ignored. A text or medium of any
+length is handled whole, one at a time: a task holds a few times the longest one.
 """
 
 from __future__ import annotations
@@ -125,6 +126,8 @@ def demultiplex(media: bytes | None) -> Physical:
         if number != stream.following:
             stream.gaps += 1
             stream.open = None
+        elif stream.open and not flags & CONTINUED:
+            stream.gaps += 1  # the packet that the page before left open has no end
         stream.following = number + 1
         stream.pages += 1
         stream.ended |= bool(flags & LAST)
@@ -144,6 +147,8 @@ def demultiplex(media: bytes | None) -> Physical:
         if done:
             stream.granules[-1] = granule
         stream.open = buffer if usable else None
+    for stream in found.streams.values():
+        stream.gaps += bool(stream.open)
     return found
 
 
