@@ -87,5 +87,5 @@ kept AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS keep FROM digests
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN payload_bytes >= 1000 AND keep <> page_id THEN keep END AS refers_to FROM kept"""
 
-#: op10's base columns and the method's verdict can't be had from SQL in one pass over whole texts; nor the other operators.
-SQL: dict[str, str] = {"op3_host_reputation": hosts.judge_sql(), "op8_warc_ranges": OP8_SQL}
+#: SQL has no compression, merge replay, training, hashing of weights or packing: the other operators are tested by other means.
+SQL: dict[str, str] = {"op3_host_reputation": hosts.judge_sql(), "op8_warc_ranges": OP8_SQL, "op10_repetition_coverage": repetition.judge_sql()}

@@ -79,9 +79,10 @@ def test_remove_repeats_against_brute_force(spark, bucket):
 
 def test_remove_repeats_defined_results(spark):
     text = " ".join(f"w{k}" for k in range(30))
-    df = frame(spark, [text, text, text, text, None], [7, 7, None, 9, 8])
+    last = (1 << 63) - 1
+    df = frame(spark, [text, text, text, text, None, text], [7, 7, None, 9, 8, last])
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in substrings.remove_repeats(df).collect())
-    assert got == [("7", 0), ("7", 0), ("8", 0), ("9", 30), ("None", 30)]
+    assert got == sorted([("7", 0), ("7", 0), ("8", 0), ("9", 30), (str(last), 30), ("None", 30)])
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -341,6 +342,42 @@ def test_warc_ranges_own_each_record_once_and_pass_false_magic():
         assert got == starts
 
 
+def test_warc_reports_damage_once_and_reads_the_rest():
+    parts = [warc.member(warc.record(k, "u", bytes(random.Random(k).randbytes(3000)), "00" * 20, None), 6) for k in range(6)]
+    starts = [sum(map(len, parts[:k])) for k in range(7)]
+    whole = b"".join(parts)
+    for hurt in ([2], [0], [5], [1, 2], [0, 5]):
+        data = bytearray(whole)
+        for k in hurt:
+            data[starts[k] + (0 if k % 2 else 1500)] ^= 0xFF  # the magic, or the inside
+        for step in (500, 3000, 4096, len(data)):
+            found = [(o, f is not None) for at in range(0, len(data), step) for o, f, _ in warc.records(io.BytesIO(bytes(data)), at, at + step, warc.Layout(read_bytes=100))]
+            sound = {starts[k] for k in range(6) if k not in hurt}
+            assert len({o for o, _ in found}) == len(found) and {o for o, good in found if good} <= sound <= {o for o, _ in found}
+            assert any(not good for _, good in found)
+        assert [o for o, good in found if good] == sorted(sound)
+        assert [o for o, good in found if not good] == [starts[k] for k in hurt if k - 1 not in hurt]
+    cut = whole[:-10]
+    assert [o for o, f, _ in warc.records(io.BytesIO(cut), 0, len(cut)) if f is None] == [starts[5]]
+
+
+def test_warc_null_ids_and_damage_in_tables(spark, tmp_path):
+    text = "the same page " * 100
+    pages = spark.createDataFrame([(None, "u", text), (3, "u", text), (2, "u", text), (None, None, None), (7, "u", "x")], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write(pages)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(manifest).collect())
+    assert got == Counter({(None, "response", None): 2, (3, "response", None): 1, (2, "revisit", 3): 1, (7, "response", None): 1})
+    path = manifest.first()["path"].removeprefix("file://").removeprefix("file:")
+    data = bytearray(open(path, "rb").read())
+    data[20] ^= 0xFF
+    (tmp_path / "hurt.warc.gz").write_bytes(data)
+    hurt = spark.createDataFrame([(f"file://{tmp_path}/hurt.warc.gz", len(data))], "path string, size long")
+    rows = warc.read(hurt, keep_damage=True).collect()
+    assert [(r["offset"], r["page_id"]) for r in rows if r["record_type"] == "damaged"] == [(0, None)] and len(rows) == 5
+    with pytest.raises(Exception, match="no member begins"):
+        warc.read(hurt).collect()
+
+
 def test_warc_reads_every_record_written_however_long_its_url(spark):
     rng = random.Random(2)
     url = lambda n: "http://h/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
@@ -354,8 +391,18 @@ def test_warc_reads_every_record_written_however_long_its_url(spark):
         assert {r["page_id"]: r["refers_to"] for r in rows if r["record_type"] == "revisit"} == {10: 11}
 
 
+def test_registered_domains(spark):
+    wanted = {
+        "a.b.gov.uk": ("b.gov.uk", "gov.uk"), "x.ac.uk": ("x.ac.uk", "ac.uk"), "u.github.io": ("u.github.io", "github.io"), "www.one.com": ("one.com", "com"), "co.uk": ("co.uk", "co.uk"),
+        "localhost": ("localhost", "localhost"), "10.1.2.3:80": ("10.1.2.3", "ip"), "me@w.shop.com.br:8080": ("shop.com.br", "com.br"), "x.de.": ("x.de", "de"), "a.com.info": ("com.info", "info"), "": ("", ""), "[::1]:5": ("[::1]", "ip"),
+    }
+    df = spark.createDataFrame([(h,) for h in wanted], "host string")
+    domain, suffix = hosts.domain_of(F.col("host"), hosts.Reputation())
+    assert {r["host"]: (r["d"], r["s"]) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == wanted
+
+
 def test_host_reputation_equals_sql_and_defined_results(spark):
-    pages = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/x?y"), (4, "http://a.example.com/en/"), (5, "http://b.net/fr/1#f"), (6, "http://c.org"), (7, "http://bad.org/1"), (8, "http://bad.org/2"), (None, "x://com/"), (9, "http://notcom/en"), (9, "http://x.co.uk/en")]
+    pages = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/x?y"), (4, "http://a.example.com/en/"), (5, "http://b.net/fr/1#f"), (6, "http://c.org"), (7, "http://bad.org/1"), (8, "http://bad.org/2"), (None, "x://com/"), (9, "http://notcom/en"), (9, "http://x.co.uk/en"), (10, "http://u@y.gov.uk:80/en"), (11, "http://10.0.0.1:9/"), (12, "http://bad.org/" + "z" * 300_000)]
     pages += [(100 + k, f"http://bad.org/{k}") for k in range(40)] + [(200 + k, f"http://s{k % 4}.fine.org/{k}") for k in range(60)]
     labels = [(k, 0, 1) for k in range(100, 140)] + [(k, 1, 0) for k in range(200, 260)] + [(200, 1, None), (7, None, None), (None, 0, 1)]
     p = spark.createDataFrame([(*x, 5) for x in pages], "page_id long, url string, host int")

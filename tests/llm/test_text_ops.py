@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -59,6 +60,36 @@ def test_repetition_against_brute_force(spark, odd, docs):
         assert got == sorted(brute(t) for t in texts)
         assert all(not r["kept"] for r in rows if r["base_failed"])
     assert repetition.judge(odd.limit(0)).count() == 0
+    clash = repetition.judge(odd.withColumnRenamed("ids", "kept"), carry=("kept", "lang"))
+    assert dict(clash.dtypes)["kept"] == "boolean" and clash.columns.count("kept") == 1 and "lang" in clash.columns
+
+
+def test_repetition_verdict_against_brute_force(spark, docs):
+    rules = repetition.Rules()
+    rows = {r["doc_id"]: r for r in repetition.judge(docs, rules).collect()}
+    verdicts = set()
+    for r in docs.collect():
+        got, text = rows[r["doc_id"]], r["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        chars = sum(map(len, words))
+        seen, line_chars = set(), 0
+        for line in text.split("\n"):
+            if line in seen:
+                line_chars += len(re.sub(r"[\x20\x09-\x0D]", "", line))
+            seen.add(line)
+        good = line_chars <= rules.line_share * chars
+        for n, most in rules.ngram_share:
+            seen, inside = set(), set()
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in seen:
+                    inside |= set(range(k, k + n))
+                seen.add(tuple(words[k : k + n]))
+            share = sum(len(words[k]) for k in inside)
+            assert got[f"dup_chars_{n}"] == share
+            good = good and share <= most * chars
+        assert got["dup_line_chars"] == line_chars and got["kept"] == (good and not got["base_failed"])
+        verdicts.add((got["kept"], got["base_failed"]))
+    assert len(verdicts) >= 2
 
 
 def test_repetition_coverage_counts_each_character_once():
@@ -112,6 +143,33 @@ def test_ogg_round_trip(spark, odd):
     assert ogg.probe(ogg.encode(odd).limit(0)).count() == 0
 
 
+def test_ogg_counts_packets_without_an_end():
+    media = ogg.write_samples(bytes(200_000), packet_samples=70_000)
+    pages = [media[m.start() :] for m in re.finditer(b"OggS", media)]
+    pages = [p[: 27 + p[26] + sum(p[27 : 27 + p[26]])] for p in pages]
+    assert b"".join(pages) == media
+    serial = lambda p: p[14:18]
+    pcm = [k for k, p in enumerate(pages) if serial(p) == serial(pages[0])]
+    assert sum(s.gaps for s in ogg.demultiplex(b"".join(pages[: pcm[1] + 1])).streams.values()) == 1
+    fresh = bytearray(pages[pcm[2]])
+    fresh[5] &= ~ogg.CONTINUED
+    fresh[22:26] = bytes(4)
+    fresh[22:26] = ogg.checksum(bytes(fresh)).to_bytes(4, "little")
+    found = ogg.demultiplex(b"".join([*pages[: pcm[2]], bytes(fresh), *pages[pcm[2] + 1 :]]))
+    assert found.bad_pages == 0 and sum(s.gaps for s in found.streams.values()) == 1
+
+
+def test_ogg_features_against_brute_force(spark, docs):
+    rows = {r["doc_id"]: r for r in ogg.probe(ogg.encode(docs)).collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in ogg.encode(docs).collect()}
+    for r in docs.collect():
+        payload, got = ogg.padded(r["text"]), rows[r["doc_id"]]
+        packets = 1 + -(-len(payload) // 4000) + 2  # head and samples, head and notes
+        want = f"streams=2;packets={packets};seconds={len(payload) / 8000:.6f};mean={sum(payload) / len(payload):.4f};peak={max(payload)}"
+        assert got["feature"] == want and got["seconds"] == pytest.approx(len(payload) / 8000)
+        assert (got["media_bytes"], got["media_sha256"]) == (len(media[r["doc_id"]]), hashlib.sha256(media[r["doc_id"]]).hexdigest())
+
+
 def test_ogg_checksum_is_the_published_one():
     def slow(data):
         register = 0
@@ -154,6 +212,40 @@ def test_langid_on_held_out_rows(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_langid_against_a_plain_loop_over_all_languages(spark, docs):
+    import zstandard
+    from pyspark.sql import functions as F
+
+    s = langid.Settings()
+    learned = langid.learn(docs, F.lit(True))
+    rows = {r["doc_id"]: r for r in langid.predict(docs, learned).collect()}
+    for r in docs.collect():
+        got = rows[r["doc_id"]]
+        if not any(unicodedata.category(c).startswith("L") for c in r["text"] or ""):
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+            continue
+        data, sizes = langid.letters(r["text"]).encode(), []
+        for lang in sorted(learned):
+            held = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            size = 0
+            for at in range(0, len(data), s.block_bytes):
+                size += len(zstandard.ZstdCompressor(level=s.level, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data[at : at + s.block_bytes]))
+            sizes.append((size, lang))
+        first, second = sorted(sizes)[:2]
+        assert got["lang_pred"] == first[1] and got["margin"] == pytest.approx((second[0] - first[0]) / first[0])
+        assert got["rejected"] == (got["margin"] < s.margin) and 0 < got["score"] <= 1
+
+
+def test_langid_letters_ties_and_clashes(spark):
+    texts = ["²³ ½", "Ⅷ", "①", "१२३", "_-", "\u0301", "ʰ", "ª", "日", "x1"]
+    rows = spark.createDataFrame([(k, t, "q") for k, t in enumerate(texts)], "doc_id long, text string, score string")
+    same = {"fr": b"the same text for both", "de": b"the same text for both"}
+    got = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(rows, same, carry=("score",)).orderBy("doc_id").collect()]
+    assert got == [(k, "und" if k < 6 else "de") for k in range(10)]
+    assert dict(langid.predict(rows, same, carry=("score",)).dtypes)["score"] == "double"
+    assert langid.predict(rows.limit(0), same).count() == 0
+
+
 def test_langid_defined_results(spark, odd):
     english = {"en": b"the end of the word and the other " * 50, "de": b"das ende von dem wort und das andere " * 50}
     rows = {r["doc_id"]: r for r in langid.predict(odd, english).collect()}
@@ -170,7 +262,6 @@ def test_packing_covers_every_id_once(spark, odd, docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     for df in (odd.dropDuplicates(["doc_id"]), docs):
         texts = {r["doc_id"]: r["text"] for r in df.collect()}
         ids = {k: np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for k, t in texts.items()}
@@ -193,6 +284,36 @@ def test_packing_covers_every_id_once(spark, odd, docs):
     assert packing.pack_documents(odd.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_ids_are_the_librarys_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, mine = Tokenizer.from_file(path), packing.VocabularyIds(path, public_tokenizers.PATTERN)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y <|endof text|>", "plain words 12", "naïve  café\n", "日本 <|endoftext|>"):
+        assert mine.ids(text).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_places_as_a_plain_dot_product_packer():
+    """The same choice written plainly: of what fits whole the greatest dot product, the first on ties."""
+    rng = np.random.default_rng(4)
+    tokens = rng.integers(1, 40, 60)
+    loss = rng.integers(0, tokens + 1)
+    limits = packing.Limits(tokens=50, segments=4, loss=30)
+    got = list(packing.pack(tokens, np.minimum(loss, 30), limits, cut=False))
+    rest = {k: (int(t), 1, int(min(b, 30))) for k, (t, b) in enumerate(zip(tokens, loss, strict=True))}
+    caps = (50, 4, 30)
+    weight = [sum(d[j] for d in rest.values()) / len(rest) / caps[j] ** 2 for j in range(3)]
+    want = []
+    while rest:
+        free, held = list(caps), []
+        while able := [k for k in rest if all(rest[k][j] <= free[j] for j in range(3))]:
+            best = max(able, key=lambda k: (round(sum(rest[k][j] * weight[j] * free[j] for j in range(3)), 9), -k))
+            held.append((best, 0, rest[best][0]))
+            free = [f - d for f, d in zip(free, rest.pop(best), strict=True)]
+        want.append(held)
+    assert got == want
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_packing_keeps_all_limits(cut):
     rng = np.random.default_rng(1)
