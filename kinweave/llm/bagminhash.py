@@ -2,7 +2,9 @@
 
 A text is the multiset of its runs of ``words`` words. Per shingle and dyadic interval of its count ([0,1), [1,2),
 [2,4), ...) a Poisson process of the interval's length yields points: a time, a register and a level within the
-interval; a text sees the points whose level lies below its own count. All of that is drawn from hashes, so equal
+interval; a text sees the points whose level lies below its own count. This is the hierarchy of the discretised weights
+in one step: intervals are not split further, as the levels of their points are drawn instead, which thins the process
+to any count just as the descent through halves would. All of that is drawn from hashes, so equal
 shingles of two texts see equal points, and the earliest point of each register agrees in two texts with just the
 probability of their weighted Jaccard similarity. Only points up to a time limit are drawn, which shrinks as a text
 grows, so that long texts cost one draw a shingle and little more.
@@ -22,7 +24,9 @@ classes.
 
 Defined results: texts with equal words are copies and share a signature; a text without words (null, empty, blank)
 is alone in its class; a text of fewer words than a shingle is one shingle; rows of a null id are alone; rows that
-share an id count as one document; an empty table gives an empty table; further columns are ignored.
+share an id count as one document; an empty table gives an empty table; further columns, whatever their names, are
+ignored. Ids must be integers (others raise). Texts of any length are handled whole, one at a time in signatures and
+two at a time in comparisons.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -49,6 +54,8 @@ class Settings:
     open_pairs: float = 0.25
     #: Ids of texts to compare are broadcast up to so many (8 bytes each); else they meet the texts by a shuffle.
     broadcast_rows: int = 500_000
+    #: Rows of one key, and pairs of one text, that a task gets at most: larger groups are dealt over several tasks.
+    group_rows: int = 1024
 
     @property
     def registers(self) -> int:
@@ -136,13 +143,29 @@ def signatures(docs: DataFrame, settings: Settings = Settings(), id_col: str = "
     return map_batches(docs, [id_col, text_col], run, "_id long, _copy binary, _keys array<long>")
 
 
+def dealt(rows: DataFrame, keys: list[str], by: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``_part``, which divides a key's rows into parts of about ``most``, and the keys with their ``_parts``."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    own = parts.filter("_parts > 1")
+    placed = rows.join(own, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int"))
+    return placed.drop("_parts"), own
+
+
+def to_parts(rows: DataFrame, parts: DataFrame, keys: list[str], name: str = "_part") -> DataFrame:
+    """Each row once for each part of its key."""
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    return rows.join(parts, keys, "left").withColumn(name, F.explode(every)).drop("_parts")
+
+
 def with_texts(pairs: DataFrame, docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """a, b and their texts ``_a``, ``_b``."""
+    """a, b and their texts ``_a``, ``_b``. ``a`` may stand in many pairs, which are dealt over several tasks."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct(), "needed")
     few = ids.count() <= settings.broadcast_rows
     texts = docs.select(F.col(id_col).cast("long").alias("_need"), F.col(text_col).alias("_text")).join(F.broadcast(ids) if few else ids, "_need")
     texts = materialise(texts, "texts")
-    return pairs.join(texts.select(F.col("_need").alias("a"), F.col("_text").alias("_a")), "a").join(texts.select(F.col("_need").alias("b"), F.col("_text").alias("_b")), "b")
+    pairs, parts = dealt(pairs, ["a"], "b", settings.group_rows)
+    left = to_parts(texts.select(F.col("_need").alias("a"), F.col("_text").alias("_a")), parts, ["a"])
+    return pairs.join(left, ["a", "_part"]).drop("_part").join(texts.select(F.col("_need").alias("b"), F.col("_text").alias("_b")), "b")
 
 
 class Bags(dict):
@@ -250,8 +273,16 @@ def with_class(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "_id", "left").withColumn("_class", F.coalesce("_class", "_id"))
 
 
-def across(rows: DataFrame, others: DataFrame, keys: list[str], bound: Column | None = None, measures: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct pairs (a < b) of a row and another of the same key and another class. ``measures``: columns for ``bound``."""
+def across(rows: DataFrame, others: DataFrame, keys: list[str], most: int, bound: Column | None = None, measures: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct pairs (a < b) of a row and another of the same key and another class. ``measures``: columns for ``bound``.
+
+    Both sides of a key with more than ``most`` rows are dealt into parts, and each two parts meet in a task of their own.
+    """
+    rows, own = dealt(rows, keys, "_id", most)
+    others, theirs = dealt(others, keys, "_id", most)
+    rows = to_parts(rows, theirs, keys, "_meets")
+    others = to_parts(others.withColumnRenamed("_part", "_meets"), own, keys)
+    keys = [*keys, "_part", "_meets"]
     renamed = others.select(*(F.col(k).alias(f"_by_{k}") for k in keys), F.col("_id").alias("_other"), F.col("_class").alias("_theirs"), *(F.col(m).alias(f"_{m}") for m in measures))
     same = [F.col(k) == F.col(f"_by_{k}") for k in keys] + [F.col("_class") != F.col("_theirs")] + ([bound] if bound is not None else [])
     where = same[0]
@@ -261,7 +292,14 @@ def across(rows: DataFrame, others: DataFrame, keys: list[str], bound: Column |
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``class_id`` (the least id of the class) and ``copy_of`` (the least id with equal words) for each row."""
+    """A row for each of ``docs``: ``id_col``, ``class_id`` (the least id of the class), ``copy_of`` (the least id with
+    equal words), and of these words ``links``: the other texts that a comparison found similar enough.
+
+    Comparisons stop where two texts are known to be of one class, so ``links`` counts the links that were verified:
+    one at least for each text in a class with others.
+    """
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer")
     rows = materialise(signatures(docs, settings, id_col, text_col), "signatures")
     named = rows.filter(F.col("_id").isNotNull() & F.col("_copy").isNotNull())
     copies = named.groupBy("_copy").agg(F.min(F.struct("_id", "_keys")).alias("_one"))
@@ -273,7 +311,9 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
     def compare(pairs: DataFrame) -> DataFrame:
         return compared(materialise(pairs, "pairs"), docs, settings, id_col, text_col)
 
+    verified = []
     tested = compare(bands.filter("_id <> _pivot").select(F.col("_pivot").alias("a"), F.col("_id").alias("b")).distinct())
+    verified.append(tested)
     labels = components(tested.filter("linked").select("a", "b"))
     labelled = materialise(with_class(bands, labels).select("_key", "_id", "_class", "_pivot"), "labelled")
     groups = labelled.groupBy("_key", "_class").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_n")).alias("_own"), F.count("*").alias("_classes"))
@@ -283,7 +323,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
         members = labelled.join(open_keys.select("_key"), "_key")
         known = tested.select("a", "b")
         if left <= settings.open_pairs * max(1, copies.count()):
-            more = [across(members, members, ["_key"])]
+            more = [across(members, members, ["_key"], settings.group_rows)]
         else:
             own = members.select(F.col("_pivot").alias("a"), "_id", "_class").distinct()
             measured, shared = around_centres(own, docs, settings, id_col, text_col)
@@ -294,9 +334,10 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
             able = F.col("gained") + F.col("lost") - F.col("_back") <= (F.col("n") + F.col("_n")) * slack + 1e-6
             outer = placed.join(lead.join(best, "_key"), "_key").filter((F.col("_class") != F.col("_lead")) & able).drop("_lead", "_n", "_back")
             bound = F.col("gained") + F.col("_gained") + F.abs(F.col("lost") - F.col("_lost")) <= (F.col("n") + F.col("_n")) * slack + 1e-6
-            near = across(outer, placed, ["_key"], bound, ("n", "gained", "lost"))
+            near = across(outer, placed, ["_key"], settings.group_rows, bound, ("n", "gained", "lost"))
             first = near.unionByName(shared.filter("_id <> _one").select(F.least("_id", "_one").alias("a"), F.greatest("_id", "_one").alias("b"))).distinct()
             found = compare(first.join(known, ["a", "b"], "left_anti"))
+            verified.append(found)
             known = known.unionByName(found.select("a", "b"))
             labels = merged(labels, found.filter("linked").select("a", "b"))
             # of two members' common gains there are at most as many as either shares with another class
@@ -304,11 +345,14 @@ def classes(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc
             shared = shared.join(materialise(with_class(measured.join(several, ["a", "_id"]), labels), "several"), ["a", "_id"])
             most = F.least("several", "_several")
             bound = F.col("gained") + F.col("_gained") - 2 * most + F.abs(F.col("lost") - F.col("_lost")) <= (F.col("n") + F.col("_n")) * slack + 1e-6
-            more = [across(materialise(shared, "shared"), shared, ["a", "_gain"], bound, ("n", "gained", "lost", "several"))]
+            shared = materialise(shared, "shared")
+            more = [across(shared, shared, ["a", "_gain"], settings.group_rows, bound, ("n", "gained", "lost", "several"))]
         for pairs in more:
             found = compare(pairs.join(known, ["a", "b"], "left_anti"))
+            verified.append(found)
             labels = merged(labels, found.filter("linked").select("a", "b"))
-    table = copies.select("_copy", "_first").join(labels.select(F.col("_id").alias("_first"), "_class"), "_first", "left")
+    links = reduce(DataFrame.unionByName, verified).filter("linked").select(F.explode(F.array("a", "b")).alias("_first")).groupBy("_first").agg(F.count("*").alias("_links"))
+    table = copies.select("_copy", "_first").join(labels.select(F.col("_id").alias("_first"), "_class"), "_first", "left").join(links, "_first", "left")
     named = rows.select(F.col("_id").alias(id_col), "_copy")
     found = named.join(table, F.when(F.col(id_col).isNotNull(), named["_copy"]) == table["_copy"], "left")
-    return found.select(F.col(id_col).cast(dict(docs.dtypes)[id_col]), F.coalesce("_class", "_first", id_col).alias("class_id"), F.coalesce("_first", id_col).alias("copy_of"))
+    return found.select(F.col(id_col).cast(dict(docs.dtypes)[id_col]), F.coalesce("_class", "_first", id_col).alias("class_id"), F.coalesce("_first", id_col).alias("copy_of"), F.coalesce("_links", F.lit(0)).alias("links"))

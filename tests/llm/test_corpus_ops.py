@@ -132,14 +132,22 @@ def test_classes_against_brute_force(spark, open_pairs):
     texts += [None, "", " ", "one", "one", "two words", "two  words"]
     df = frame(spark, texts)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(df, bagminhash.Settings(open_pairs=open_pairs, broadcast_rows=10 if open_pairs else 500_000)).collect()}
-    assert got == brute_classes(rows)
+    settings = bagminhash.Settings(open_pairs=open_pairs, broadcast_rows=10 if open_pairs else 500_000, group_rows=1024 if open_pairs else 7)
+    found = bagminhash.classes(df, settings).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute_classes(rows)
+    text = dict(rows)
+    distinct = {r["copy_of"] for r in found}
+    for r in found:
+        near = [i for i in distinct if i != r["copy_of"] and words_of(text[i]) and words_of(text[r["doc_id"]]) and weighted_jaccard(text[i], text[r["doc_id"]]) >= 0.8]
+        assert bool(near) <= r["links"] <= len(near)
 
 
 def test_classes_defined_results(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = frame(spark, [text, text, text, text, None, None], [5, 5, None, 3, 8, None])
-    got = Counter((r["doc_id"], r["class_id"], r["copy_of"]) for r in bagminhash.classes(df).collect())
+    got = Counter((r["doc_id"], r["class_id"], r["copy_of"]) for r in bagminhash.classes(df.withColumnRenamed("n", "_key").withColumnRenamed("source", "_id")).collect())
+    with pytest.raises(TypeError):
+        bagminhash.classes(df.withColumn("doc_id", F.lit("x")))
     assert got == Counter({(5, 3, 3): 2, (None, None, None): 2, (3, 3, 3): 1, (8, 8, 8): 1})
     assert bagminhash.classes(df.limit(0)).count() == 0
 
