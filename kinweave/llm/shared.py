@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import re
@@ -26,7 +27,8 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is ``spark.checkpoint.dir``. Only a local master without that setting gets a temporary folder.
+    It is ``spark.checkpoint.dir``. Only a local master without that setting gets a temporary folder, which the session
+    then has for that setting; any other raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -37,9 +39,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses. Inside ``scratch`` it goes when the block ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (held := _scratch.get()) is not None:
+        held.append(path)
+    return path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the block's end, the folders that the operators inside wrote: write their result before."""
+    held: list[str] = []
+    token = _scratch.set(held)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, held)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -458,8 +458,72 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
 
 
+def test_pipeline_quality_and_packing_against_brute_force(spark, tmp_path):
+    import re
+    import zlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [*planted(11, 40), "line one two three\n" * 30, "few words", None]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.quality(spark, docs, "").collect()}
+
+    def good(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        chars, marked, lines, line_chars = sum(map(len, words)), set(), set(), 0
+        grams = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        for k in range(len(words) - 4):
+            if grams[tuple(words[k : k + 5])] > 1:
+                marked |= set(range(k, k + 5))
+        for line in (text or "").split("\n"):
+            line_chars += len("".join(line.split())) if line in lines else 0
+            lines.add(line)
+        ok = len(words) >= 10 and 100 * len(marked) <= 20 * len(words) and line_chars <= 0.3 * chars
+        for n, most in ((5, 0.20), (6, 0.18), (8, 0.16), (10, 0.14)):
+            seen, inside = set(), set()
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in seen:
+                    inside |= set(range(k, k + n))
+                seen.add(tuple(words[k : k + n]))
+            ok = ok and sum(len(words[k]) for k in inside) <= most * chars
+        return ok
+
+    assert got == {k for k, t in enumerate(texts) if good(t)} and 0 < len(got) < len(texts)
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {k: [*own.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    found = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.packed(spark, docs, "").collect())
+    at = dict.fromkeys(ids, 0)
+    for k, first, n, crc in found:
+        assert first == at[k] and crc == zlib.crc32(np.array(ids[k][first : first + n], "<u4").tobytes())
+        at[k] += n
+    assert at == {k: len(x) for k, x in ids.items()}
+
+
+def test_pipeline_defined_results(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _id long, score double"
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(300)] for lang, letters in (("en", "abcdefghi"), ("de", "lmnopqrst"))}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    a, b, c = text("en"), text("en"), text("de")
+    rows = [(5, a, "en", "s"), (5, b, "en", "s"), (5, b, "en", "r"), (7, a, "en", "s"), (None, c, "de", "s"), (None, None, "de", "s"), (9, "", "en", "s"), (11, text("de") + " 12" * 3, "de", None)]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, 0.5) for r in rows], schema)
+    stay = sorted(((str(r["doc_id"]), r["text"], r["source"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=str)
+    assert [x for x in stay if x[0] != "None"] == sorted([("5", a, "s"), ("5", b, "r"), ("9", "", "s"), ("11", rows[7][1], None)], key=str)
+    assert sum(x[0] == "None" for x in stay) == 2
+    for name, table in (("full", df), ("none", df.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns[:2] == ["doc_id", "start"] and (out.count() > 0) == (name == "full")
+
+
 def test_queries_and_sql_agree(spark):
     con = duckdb.connect()
+    assert set(queries.SQL) == {"op3_host_reputation", "op8_warc_ranges", "op10_repetition_coverage"}
     for name in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.SQL.items():
