@@ -28,6 +28,51 @@ def indel(a: str, b: str) -> float:
     return 2 * _common(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def common_lengths(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """``_common`` of many pairs at once, one machine word a pair; texts of over 64 characters one by one."""
+    out = np.zeros(len(pairs), np.int64)
+    short = [k for k, (a, _) in enumerate(pairs) if 0 < len(a) <= 64]
+    for k, (a, b) in enumerate(pairs):
+        if len(a) > 64:
+            out[k] = _common(a, b)
+    short.sort(key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    for at in range(0, len(short), 4096):
+        part = short[at : at + 4096]
+        left, right = (np.array([pairs[k][side] for k in part]) for side in (0, 1))
+        codes = lambda x: x.view(np.uint32).reshape(len(part), -1) if x.dtype.itemsize else np.zeros((len(part), 0), np.uint32)
+        a, b = codes(left), codes(right)
+        bits = np.where(a != 0, np.uint64(1) << np.arange(a.shape[1], dtype=np.uint64), np.uint64(0))
+        whole = bits.sum(1, dtype=np.uint64)
+        row = whole.copy()
+        for j in range(b.shape[1]):
+            hit = row & np.where((a == b[:, j : j + 1]) & (a != 0), bits, np.uint64(0)).sum(1, dtype=np.uint64)
+            row = ((row + hit) | (row - hit)) & whole
+        out[part] = np.bitwise_count(whole) - np.bitwise_count(row)
+    return out
+
+
+def indels(pairs: list[tuple[str, str]]) -> np.ndarray:
+    sizes = np.array([len(a) + len(b) for a, b in pairs], np.float64)
+    return np.where(sizes > 0, 2 * common_lengths(pairs) / np.maximum(sizes, 1), 1.0)
+
+
+def partials(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """``partial`` of many pairs: the stretches of all of them are measured together."""
+    stretches, owner, out = [], [], np.zeros(len(pairs))
+    for k, (a, b) in enumerate(pairs):
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        n = len(a)
+        if not n or a in b:
+            out[k] = float(bool(n) or not b)
+            continue
+        own = {b[i : i + n] for i in range(len(b) - n + 1)} | {b[:i] for i in range(1, n)} | {b[-i:] for i in range(1, n)}
+        stretches += [(a, s) for s in own]
+        owner += [k] * len(own)
+    if stretches:
+        np.maximum.at(out, owner, indels(stretches))
+    return out
+
+
 def partial(a: str, b: str) -> float:
     """Best indel similarity of the shorter text with a stretch of the longer that is as long, or cut at an end."""
     if len(a) > len(b):
@@ -79,8 +124,20 @@ def _pairwise(function: Callable[[str, str], float]):  # noqa: ANN202
     return F.pandas_udf(run, DoubleType())
 
 
-ratio = _pairwise(indel)
-partial_ratio = _pairwise(partial)
+def _batched(function: Callable[[list[tuple[str, str]]], np.ndarray]):  # noqa: ANN202
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        places: dict[tuple[str, str], int] = {}
+        at = [-1 if None in pair else places.setdefault(pair, len(places)) for pair in zip(a, b, strict=True)]
+        values = np.append(function(list(places)), np.nan)
+        out = pd.Series(values[at])
+        return out.where(out.notna(), None)
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, DoubleType())
+
+
+ratio = _batched(indels)
+partial_ratio = _batched(partials)
 jaro_winkler_similarity = _pairwise(jaro_winkler)
 
 
@@ -93,14 +150,23 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return ratio(F.array_join(F.array_sort(F.split(a, " ")), " "), F.array_join(F.array_sort(F.split(b, " ")), " "))
 
 
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """The best ratio among the common tokens and them with either side's rest."""
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    both = F.array_join(F.array_sort(F.array_intersect(x, y)), " ")
-    left = F.trim(F.concat_ws(" ", both, F.array_join(F.array_sort(F.array_except(x, y)), " ")))
-    right = F.trim(F.concat_ws(" ", both, F.array_join(F.array_sort(F.array_except(y, x)), " ")))
-    some = F.when(both == "", 0.0)
-    return F.greatest(ratio(left, right), some.otherwise(ratio(both, left)), some.otherwise(ratio(both, right)))
+def token_sets(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The best ratio among the common tokens and them with either side's rest; 1 if one side's rest is empty."""
+    jobs, owner = [], []
+    for k, (a, b) in enumerate(pairs):
+        x, y = set(a.split()), set(b.split())
+        both = " ".join(sorted(x & y))
+        left, right = (" ".join([*filter(None, [both]), *sorted(rest)]) for rest in (x - y, y - x))
+        own = [(left, right)] + ([(both, left), (both, right)] if both else [])
+        jobs += own
+        owner += [k] * len(own)
+    out = np.zeros(len(pairs))
+    if jobs:
+        np.maximum.at(out, owner, indels(jobs))
+    return out
+
+
+token_set_ratio = _batched(token_sets)
 
 
 def shared(x: Column, y: Column) -> Column:
@@ -118,4 +184,5 @@ def overlap(x: Column, y: Column) -> Column:
 
 
 def dot(x: Column, y: Column) -> Column:
+    """Inner product of two vectors of one length: the cosine of unit vectors."""
     return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)

@@ -41,6 +41,7 @@ def _latin(char: str) -> str:
         return plain
     if " LETTER " in name:
         letter = name.split(" LETTER ", 1)[1].lower()
+        letter = letter.removeprefix("sign ").split(" with ")[0]
         if letter.startswith("vocalic"):
             return "ri" if letter.split()[-1].startswith("r") else "li"
         letter = letter.split()[-1]
@@ -66,8 +67,8 @@ _ACCENTED = {chr(k): _latin(chr(k)) for k in range(0xC0, 0x180) if unicodedata.c
 
 def translit(c: Column, scripts: bool = True) -> Column:
     """ASCII forms. ``scripts`` False: lower-case Latin letters only, without Python."""
-    if scripts:
-        return _translit_udf(c)
+    if scripts:  # only values with letters beyond ASCII travel to Python
+        return F.coalesce(_translit_udf(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
     single = {a: b for a, b in _ACCENTED.items() if len(b) == 1}
     c = F.translate(c, "".join(single), "".join(single.values()))
     for letter, plain in (_ACCENTED | C.SPECIAL_LETTERS).items():

@@ -15,32 +15,41 @@ from kinweave.functions import similarity as S
 from kinweave.functions import text as T
 
 
-def prepared(rows: DataFrame, scripts: bool = False) -> DataFrame:
-    """Normalised forms of name and address, and their attributes."""
+#: Token spaces of a record, each a column of distinct tokens.
+SPACES = ("ntok", "nskel", "nchar", "atok", "anum", "abig", "apost")
+#: Columns of the records that ``pair_measures`` needs.
+MEASURED = ["n_basic", "n_core", "n_squash", "n_skel", "a_canon", "num0", "ntok", "atok", "anum", "legal"]
+
+
+def prepared(rows: DataFrame, scripts: bool = True, names: dict[str, str] | None = None, addresses: dict[str, str] | None = None) -> DataFrame:
+    """Normalised forms of name and address, their attributes and tokens. ``names``, ``addresses``: learned token maps."""
     rows = rows.withColumns({"n_basic": T.name_basic(F.col("name"), scripts), "a_basic": T.addr_basic(F.col("addr"), scripts)})
-    rows = rows.withColumns({"n_core": T.name_core(F.col("n_basic")), "a_canon": T.addr_canon(F.col("a_basic")), "n_alt": T.name_alt(F.col("n_basic"))})
+    rows = rows.withColumns({"n_core": T.name_core(F.col("n_basic"), names), "a_canon": T.addr_canon(F.col("a_basic"), addresses), "n_alt": T.name_alt(F.col("n_basic"))})
     core, canon = F.col("n_core"), F.col("a_canon")
     count = lambda c: F.size(T.tokens(c))
-    return rows.withColumns(
-        {"n_squash": T.squash(core), "n_skel": T.name_skeleton(core), "n_len": F.length("n_basic"), "n_ntok": count(core), "a_len": F.length(canon), "a_ntok": count(canon), "a_missing": canon == "", "num0": T.first_number(canon)} | T.name_flags(F.col("name"))
+    rows = rows.withColumns(
+        {"n_squash": T.squash(core), "n_skel": T.name_skeleton(core), "n_len": F.length("n_basic"), "n_ntok": count(core), "a_len": F.length(canon), "a_ntok": count(canon), "a_missing": canon == "", "num0": T.first_number(canon), "legal": T.legal_classes(F.col("n_basic"))} | T.name_flags(F.col("name"))
     )
+    spaces = {"ntok": T.tokens(core), "nskel": T.tokens(F.col("n_skel")), "nchar": T.char_grams(core), "atok": T.words_tokens(canon), "anum": T.numbers(canon), "abig": T.bigrams(canon), "apost": T.postal_codes(canon)}
+    return rows.withColumns({space: F.array_distinct(a) for space, a in spaces.items()})
 
 
-def token_spaces(rows: DataFrame) -> DataFrame:
-    """``id``, ``country``, ``space``, ``token``: distinct tokens of each space."""
-    core, canon = F.col("n_core"), F.col("a_canon")
-    spaces = {"ntok": T.tokens(core), "nskel": T.tokens(F.col("n_skel")), "atok": T.words_tokens(canon), "anum": T.numbers(canon), "abig": T.bigrams(canon), "apost": T.postal_codes(canon)}
+def token_spaces(rows: DataFrame, spaces: tuple[str, ...] = SPACES) -> DataFrame:
+    """``id``, ``country``, ``space``, ``token``: distinct tokens of each space of ``prepared`` records."""
 
     def named(space: str) -> Callable[[Column], Column]:
         return lambda t: F.struct(F.lit(space).alias("space"), t.alias("token"))
 
-    each = F.array(*[F.transform(F.array_distinct(a), named(space)) for space, a in spaces.items()])
+    each = F.array(*[F.transform(space, named(space)) for space in spaces])
     return rows.select("id", "country", F.explode(F.flatten(each)).alias("t")).select("id", "country", "t.*")
 
 
 def token_statistics(tokens: DataFrame, size: int, least_cap: int = 2000, share: float = 0.0008) -> DataFrame:
-    """Document frequency, idf over ``size`` records, and whether the token is rare or too common to join on."""
-    cap = max(least_cap, share * size)
+    """Document frequency, idf over ``size`` records, and whether the token is rare or too common to join on.
+
+    Character grams may be in more records: their share is 0.003.
+    """
+    cap = F.when(F.col("space") == "nchar", max(least_cap, 0.003 * size)).otherwise(max(least_cap, share * size))
     idf = F.log((F.lit(size) + 1.0) / (F.col("df") + 1.0)) + 1.0
     return tokens.groupBy("space", "token").agg(F.count("*").alias("df")).withColumns({"idf": idf, "rare": F.col("df") <= 50, "w": F.when(F.col("df") <= cap, idf).otherwise(0.0)})
 
@@ -104,17 +113,18 @@ def bm25_weights(tokens: DataFrame, statistics: DataFrame, spaces: tuple[str, ..
     return rows.join(lengths.join(mean, "country").select("id", factor.alias("factor")), "id").select("id", "country", "space", "token", (F.col("w") * F.col("factor")).alias("w"))
 
 
-def dense_top(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Exact inner products of unit vectors (id, vector), the best ``k``.
+def dense_top(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096, broadcast_bytes: int = 64 << 20, by: str | None = None) -> DataFrame:
+    """Exact inner products of unit vectors (id, vector), the best ``k``; with ``by`` among records of the same country.
 
-    A pool of proven size goes to all tasks; a larger one is dealt in blocks that meet blocks of queries, and each
+    Queries of a country that the pool lacks, or of none, search all of it. A pool of proven size goes to all tasks; a larger one is dealt in blocks that meet blocks of queries, and each
     meeting yields no more than ``k`` rows a query.
     """
     number = pool.count()
     dims = len((pool.select("vector").first() or [[]])[0])
     single = number * dims * 8 <= broadcast_bytes
     blocks = 1 if single else -(-number // block)
-    side = lambda df, tag: df.select(F.col("id").alias(f"{tag}_id"), F.col("vector").alias(f"{tag}_v"))
+    group = (F.col(by) if by else F.lit("")).cast("string")
+    side = lambda df, tag: df.select(F.col("id").alias(f"{tag}_id"), F.col("vector").alias(f"{tag}_v"), group.alias("by"))
 
     def best(left: np.ndarray, ids: np.ndarray, right: np.ndarray, others: np.ndarray) -> pd.DataFrame:
         scores = np.round(left @ right.T, 9)
@@ -132,18 +142,25 @@ def dense_top(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096, br
     if not number:
         return queries.sparkSession.createDataFrame([], schema + ", rank int")
     if single:
-        rows = pool.select("id", "vector").toPandas()
-        sent = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), unit(rows["vector"])))
+        rows = side(pool, "p").toPandas()
+        sent = queries.sparkSession.sparkContext.broadcast((rows["p_id"].to_numpy(), unit(rows["p_v"]), rows["by"].to_numpy()))
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            others, right = sent.value
+            others, right, groups = sent.value
             for batch in batches:
-                if len(batch):
-                    yield best(unit(batch["q_v"]), batch["q_id"].to_numpy(), right, others)
+                for name, part in batch.groupby("by", dropna=False):
+                    own = np.flatnonzero(groups == name)
+                    own = own if len(own) else np.arange(len(groups))
+                    yield best(unit(part["q_v"]), part["q_id"].to_numpy(), right[own], others[own])
 
         return ranked(side(queries, "q").mapInPandas(search, schema), k)
     deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    q = side(queries, "q").withColumn("qb", deal("q_id")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = side(queries, "q")
+    if by:
+        countries = side(pool, "p").select("by").distinct()
+        everywhere = q.join(countries, "by", "left_anti").drop("by").join(countries)  # a copy of such a query for each country
+        q = q.join(countries, "by", "left_semi").unionByName(everywhere)
+    q = q.withColumn("qb", deal("q_id")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     p = side(pool, "p").withColumn("pb", deal("p_id")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +168,7 @@ def dense_top(queries: DataFrame, pool: DataFrame, k: int, block: int = 4096, br
             return pd.DataFrame({"q_id": [], "p_id": [], "score": []})
         return best(unit(left["q_v"]), left["q_id"].to_numpy(), unit(right["p_v"]), right["p_id"].to_numpy())
 
-    return ranked(q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(meet, schema), k)
+    return ranked(q.groupBy("by", "qb", "pb").cogroup(p.groupBy("by", "qb", "pb")).applyInPandas(meet, schema), k)
 
 
 def candidate_union(passes: dict[str, DataFrame]) -> DataFrame:
@@ -179,25 +196,25 @@ def pass_plan(options: list[tuple[str, int | None, DataFrame]], truth: DataFrame
         raise ValueError("at most 62 options")
     marked = reduce(DataFrame.unionByName, [df.select("q_id", "p_id", F.lit(1 << k).cast("long").alias("bit")) for k, (_, _, df) in enumerate(options)])
     true = truth.select("q_id", "p_id").distinct().withColumn("y", F.lit(1))
+    # a row per set of options that hold the same pairs: their number depends on the options, not on the pairs
     sets = marked.groupBy("q_id", "p_id").agg(F.bit_or("bit").alias("held")).join(true, ["q_id", "p_id"], "left")
-    counts = [(r["held"], r["n"], r["hits"] or 0) for r in sets.groupBy("held").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).collect()]
-    n_true, chosen, taken, pairs, hits, plan = max(1, true.count()), {}, 0, 0, 0, []
-    while True:
-        best = None
-        for k, (name, depth, _) in enumerate(options):
-            if name in chosen and (depth is None or chosen[name] is None or depth <= chosen[name]):
-                continue
-            fresh = [(n, h) for held, n, h in counts if held >> k & 1 and not held & taken]
-            added, gain = sum(n for n, _ in fresh), sum(h for _, h in fresh) / n_true
-            worth = gain / max(added / max(1, n_queries), 0.25)
-            if gain >= least_gain and pairs + added <= most * n_queries and (best is None or worth > best[0]):
-                best = worth, k, added, gain
-        if best is None:
-            return plan
-        _, k, added, gain = best
-        chosen[options[k][0]] = options[k][1]
-        taken, pairs, hits = taken | 1 << k, pairs + added, hits + gain
-        plan.append({"step": len(plan) + 1, "pass": options[k][0], "depth": options[k][1], "gain": round(gain, 5), "recall": round(hits, 5), "pairs": pairs})
+    counts = np.array([(r["held"], r["n"], r["hits"] or 0) for r in sets.groupBy("held").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).collect()], np.int64).reshape(-1, 3)
+    holds = counts[:, :1] >> np.arange(len(options)) & 1  # a row per set, a column per option
+    rest = counts[:, 1:].astype(float)  # pairs and true pairs that no chosen option holds
+    reach = np.array([np.inf if depth is None else depth for _, depth, _ in options])
+    names = np.array([name for name, _, _ in options])
+    left, size, plan = np.ones(len(options), bool), max(1, true.count()), []
+    while left.any():
+        added, gain = rest[:, 0] @ holds, rest[:, 1] @ holds / size
+        worth = np.where(left & (gain >= least_gain) & (counts[:, 1].sum() - rest[:, 0].sum() + added <= most * n_queries), gain / np.maximum(added / max(1, n_queries), 0.25), -1.0)
+        k = int(worth.argmax())
+        if worth[k] < 0:
+            break
+        rest[holds[:, k] == 1] = 0
+        left &= (names != names[k]) | (reach > reach[k])
+        pairs, recall = counts[:, 1].sum() - rest[:, 0].sum(), (counts[:, 2].sum() - rest[:, 1].sum()) / size
+        plan.append({"step": len(plan) + 1, "pass": options[k][0], "depth": options[k][1], "gain": round(float(gain[k]), 5), "recall": round(float(recall), 5), "pairs": int(pairs)})
+    return plan
 
 
 def with_records(pairs: DataFrame, queries: DataFrame, pool: DataFrame, columns: list[str]) -> DataFrame:
@@ -207,12 +224,11 @@ def with_records(pairs: DataFrame, queries: DataFrame, pool: DataFrame, columns:
 
 
 def pair_measures(pairs: DataFrame) -> DataFrame:
-    """Built-in measures of pairs with the records' n_basic, n_core, n_squash, n_skel, a_canon, num0; null: undefined."""
+    """Built-in measures of pairs with both records' MEASURED columns; null: undefined."""
     q, p = (lambda c: F.col(f"q_{c}")), (lambda c: F.col(f"p_{c}"))
     no_addr = (q("a_canon") == "") | (p("a_canon") == "")
-    nt, at = (lambda s: T.tokens(s("n_core"))), (lambda s: T.words_tokens(s("a_canon")))
-    numbers = lambda s: T.numbers(s("a_canon"))
-    legal = T.legal_classes(q("n_basic")), T.legal_classes(p("n_basic"))
+    nt, at, numbers = (lambda s: s("ntok")), (lambda s: s("atok")), (lambda s: s("anum"))
+    legal = q("legal"), p("legal")
     both = (F.size(numbers(q)) > 0) & (F.size(numbers(p)) > 0)
     return pairs.withColumns(
         {f"eq_{c}": (q(c) == p(c)).cast("int") for c in ("n_basic", "n_core", "n_squash", "n_skel")}
@@ -360,21 +376,21 @@ def expected_selection(pairs: DataFrame, extra: float = 0.0, power: float = 1.0)
 def learned_map(pairs: DataFrame, least: float = 40, share: float = 0.5, most: int = 2) -> dict[str, str]:
     """Token map (right to left) from positive pairs of token arrays ``l`` and ``r``.
 
-    Tokens of either side alone, at most ``most``, share the pair's weight. The weights are summed by Spark; the scan
-    over the heavy ones is ordered and so runs on the driver.
+    Tokens of either side alone, at most ``most``, share the pair's weight. Spark sums the weights and keeps pairs of
+    words with weight enough, ``share`` of what the right token has in all, whose number the vocabulary bounds. These
+    give forms their standard, the heaviest first: a standard is its own standard, and nothing gets a second one, so
+    that keys and targets stay disjoint.
     """
     rest = pairs.select(F.array_except("l", "r").alias("l"), F.array_except("r", "l").alias("r")).filter(F.size("l").between(1, most) & F.size("r").between(1, most))
     one = rest.select(F.explode("r").alias("r"), "l", (1.0 / (F.size("l") * F.size("r"))).alias("w")).select("r", F.explode("l").alias("l"), "w")
     seen = rest.select(F.explode("r").alias("r")).groupBy("r").agg(F.count("*").alias("n"))
-    heavy = one.groupBy("r", "l").agg(F.sum("w").alias("c")).filter(F.col("c") >= least).join(seen, "r").orderBy(F.desc("c"), "r", "l")
-    found: dict[str, str] = {}
-    for row in heavy.collect():
-        r, l = row["r"], row["l"]  # noqa: E741
-        if r in found or l in found or r in found.values() or r == l or r.isdigit() or l.isdigit():
-            continue
-        if row["c"] / row["n"] >= share:
-            found[r] = l
-    return found
+    words = (F.col("r") != F.col("l")) & ~F.col("r").rlike(r"^\d+$") & ~F.col("l").rlike(r"^\d+$")
+    heavy = one.groupBy("r", "l").agg(F.sum("w").alias("c")).filter(words & (F.col("c") >= least)).join(seen, "r").filter(F.col("c") >= share * F.col("n"))
+    standard: dict[str, str] = {}
+    for form, target in heavy.orderBy(F.desc("c"), "r", "l").select("r", "l").toLocalIterator():
+        if form not in standard and standard.get(target, target) == target:
+            standard |= {form: target, target: target}
+    return {form: target for form, target in standard.items() if form != target}
 
 
 def frontier(points: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def fit_and_score(world: tables.World, rows: DataFrame, kind: str = "gbt") -> Da
     """q_id, p_id, fold, y and the model's probability, calibrated on the tuning fold by isotonic regression."""
     folds = tables.folds(world.queries.select("id")).select(F.col("id").alias("q_id"), "fold")
     data = assembled(rows.join(folds, "q_id"))
-    fit = data.filter("fold IN ('fit', 'enc')")
+    fit = data.filter("fold = 'fit'")  # enc is kept for encoders
     if fit.select("y").distinct().count() < 2:
         return data.select("q_id", "p_id", "fold", "y", F.col("p").alias("probability"))
     model = MODELS[kind]().fit(fit.select("features", "y"))

@@ -9,98 +9,151 @@ from pyspark.sql import functions as F
 
 from kinweave import constants as C
 from kinweave.functions import text as T
+from kinweave.operators import features
 from kinweave.operators import linkage as L
-from kinweave.sources import tables
+from kinweave.sources import stage, tables
 
-IDF_CAP, TOP_K = 200, 10
+TOP_K = 10
+#: Tokens in more records than the larger of these (a number, a share of the pool) aren't joined on; blocks of keys likewise.
+IDF_CAP, IDF_SHARE, MAX_BLOCK = 2000, 0.0008, 300
+KEYS = ("A", "B", "K")
 RULE = L.Rule(t_s2=0.55, t_s3=0.6, exclusive=True, top_n=3, t_anchor=0.65, rel=0.8)
 
 
+def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries read: written once for the state of the documents and of the library."""
+    return stage.saved(spark, name, [f"{sf_dir}/documents.parquet"], build, [sf_dir])
+
+
 def world(spark: SparkSession, sf_dir: str) -> tables.World:
     w = tables.documents_world(spark, sf_dir)
-    return tables.World(L.prepared(w.queries), L.prepared(w.pool), w.truth)
+    own, pool = staged(spark, sf_dir, "queries", lambda: L.prepared(w.queries)), staged(spark, sf_dir, "pool", lambda: L.prepared(w.pool))
+    return tables.World(own, pool, staged(spark, sf_dir, "truth", lambda: w.truth.distinct()))
+
+
+def key_pairs(w: tables.World, kinds: tuple[str, ...]) -> DataFrame:
+    """kind, q_id, p_id of keys whose blocks aren't too large."""
+    wanted = F.col("kind").isin(*kinds)
+    return L.key_join(L.block_keys(w.queries).filter(wanted), L.block_keys(w.pool).filter(wanted), max_block=MAX_BLOCK)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> tuple[tables.World, DataFrame]:
-    """Pairs of a country with a core token in common that few pool records have; p from the token sets; y from truth."""
+    """Candidates by the name keys and the best names by TF-IDF; p from the token sets; y from truth."""
     w = world(spark, sf_dir)
-    token = F.explode(F.array_distinct(T.tokens(F.col("n_core")))).alias("token")
-    pool = w.pool.select(F.col("id").alias("p_id"), "country", token)
-    few = pool.groupBy("country", "token").agg(F.count("*").alias("df")).filter(F.col("df") <= IDF_CAP).drop("df")
-    pairs = w.queries.select(F.col("id").alias("q_id"), "country", token).join(pool.join(few, ["country", "token"]), ["country", "token"]).select("q_id", "p_id").distinct()
-    rows = L.pair_measures(L.with_records(pairs, w.queries, w.pool, ["n_basic", "n_core", "n_squash", "n_skel", "a_canon", "num0"])).join(w.pool.select(F.col("id").alias("p_id"), "src"), "p_id")
-    p = F.round(0.6 * F.coalesce("n_tok_jacc", F.lit(0.0)) + 0.4 * F.coalesce("a_tok_jacc", F.lit(0.0)), 6)
-    y = w.truth.distinct().withColumn("y", F.lit(1))
-    return w, rows.withColumn("p", p).join(y, ["q_id", "p_id"], "left").fillna(0, ["y"])
+
+    def build() -> DataFrame:
+        pairs = key_pairs(w, KEYS).select("q_id", "p_id").unionByName(er_tfidf_names(spark, sf_dir).select("q_id", "p_id")).distinct()
+        rows = L.pair_measures(L.with_records(pairs, w.queries, w.pool, L.MEASURED)).join(w.pool.select(F.col("id").alias("p_id"), "src"), "p_id")
+        p = F.round(0.6 * F.coalesce("n_tok_jacc", F.lit(0.0)) + 0.4 * F.coalesce("a_tok_jacc", F.lit(0.0)), 6)
+        rows = rows.withColumn("p", p).join(w.truth.withColumn("y", F.lit(1)), ["q_id", "p_id"], "left").fillna(0, ["y"])
+        return rows.drop(*[f"{side}_{c}" for side in "qp" for c in ("ntok", "atok", "anum")])
+
+    return w, staged(spark, sf_dir, "scored", build)
 
 
 def er_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = world(spark, sf_dir)
     rows = w.queries.unionByName(w.pool.drop("src"))
     core = F.col("n_core")
-    return rows.select("id", "country", "n_basic", "n_core", "n_squash", "n_skel", T.acronym(core).alias("acronym"), "n_len", "n_ntok", "f_nonascii", "f_upper")
+    return rows.select("id", "country", "n_basic", "n_core", "n_squash", "n_skel", T.acronym(core).alias("acronym"), "n_len", "n_ntok", "f_nonascii", "f_upper", "n_alt", "f_domain", "f_junk", F.col("legal").cast("long").alias("legal"))
 
 
 def er_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = world(spark, sf_dir)
     rows = w.queries.unionByName(w.pool.drop("src"))
-    return rows.select("id", "a_basic", "a_canon", "a_len", "a_ntok", "a_missing", "num0", T.joined(T.token_set(F.col("a_canon"))).alias("a_set"))
+    return rows.select("id", "a_basic", "a_canon", "a_len", "a_ntok", "a_missing", "num0", T.joined(T.token_set(F.col("a_canon"))).alias("a_set"), T.joined("anum").alias("numbers"), T.joined("apost").alias("postal"), T.joined(T.addr_keys(F.col("a_canon"))).alias("keys"))
 
 
 def er_token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = world(spark, sf_dir)
     n = w.pool.count()
-    stats = L.token_statistics(L.token_spaces(w.pool).filter("space IN ('ntok', 'atok', 'abig')"), n, least_cap=IDF_CAP, share=0.0)
+    stats = L.token_statistics(L.token_spaces(w.pool, ("ntok", "atok", "abig", "anum")), n, IDF_CAP, IDF_SHARE)
     return stats.select("space", "token", "df", F.round("idf", 6).alias("idf"), "rare", F.round("w", 6).alias("w"))
 
 
 def er_commonness(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = world(spark, sf_dir)
-    counts = lambda df, n: df.groupBy("n_core").agg(F.count("*").alias(n))
-    rows = w.queries.select("id", "n_core").unionByName(w.pool.select("id", "n_core")).join(counts(w.queries, "a"), "n_core", "left").join(counts(w.pool, "b"), "n_core", "left")
-    common = lambda c: F.round(F.when(F.col("n_core") == "", 0.0).otherwise(F.log1p(F.coalesce(F.col(c), F.lit(0)).cast("double"))), 6)
-    return rows.select("id", common("a").alias("nf_s1"), common("b").alias("nf_pool"))
+    rows = w.queries.select("id", "n_core", "a_canon").unionByName(w.pool.select("id", "n_core", "a_canon"))
+    return features.commonness(rows, w.queries, w.pool).select("id", *[F.round(c, 6).alias(c) for c in ("nf_s1", "nf_pool", "af_s1", "af_pool")])
 
 
 def er_key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = world(spark, sf_dir)
-    wanted = "kind IN ('A', 'B', 'K')"
-    return L.key_join(L.block_keys(w.queries).filter(wanted), L.block_keys(w.pool).filter(wanted), max_block=5)
+    return key_pairs(world(spark, sf_dir), ("A", "B", "E", "H", "K", "S"))
 
 
-def _top(spark: SparkSession, sf_dir: str, pool_weights: Callable, query_weights: Callable, spaces: dict[str, float]) -> DataFrame:
+def _top(spark: SparkSession, sf_dir: str, pool_weights: Callable, query_weights: Callable, spaces: tuple[str, ...]) -> DataFrame:
     w = world(spark, sf_dir)
     n = w.pool.count()
-    pool, queries = L.token_spaces(w.pool), L.token_spaces(w.queries)
-    stats = L.token_statistics(pool, n, least_cap=IDF_CAP, share=0.0)
+    pool, queries = L.token_spaces(w.pool, spaces), L.token_spaces(w.queries, spaces)
+    stats = L.token_statistics(pool, n, IDF_CAP, IDF_SHARE)
     found = L.sparse_scores(query_weights(queries, stats, n), pool_weights(pool, stats, n))
     return L.ranked(found.withColumn("score", F.round("score", 6)), TOP_K)
 
 
-def er_tfidf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spaces = {"ntok": 1.0, "nskel": 0.5}
+#: Token spaces, with their weights, of the passes by names, by addresses and by character grams.
+NAMES, ADDRESSES, GRAMS = {"ntok": 1.0, "nskel": 0.5}, {"atok": 1.0, "anum": 1.0, "abig": 1.0}, {"nchar": 1.0}
+
+
+def _cosine_top(spark: SparkSession, sf_dir: str, spaces: dict[str, float]) -> DataFrame:
     weigh = lambda t, s, n: L.weighted_tokens(t, s, spaces, n)
-    return _top(spark, sf_dir, weigh, weigh, spaces)
+    return _top(spark, sf_dir, weigh, weigh, tuple(spaces))
+
+
+def er_tfidf_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "names", lambda: _cosine_top(spark, sf_dir, NAMES))
+
+
+def er_tfidf_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "addresses", lambda: _cosine_top(spark, sf_dir, ADDRESSES))
+
+
+def er_tfidf_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cosine_top(spark, sf_dir, GRAMS)
+
+
+def er_tfidf_combined(spark: SparkSession, sf_dir: str, alpha: float = 0.6) -> DataFrame:
+    """Names and addresses in one score, before the best are taken: a query's weights carry the shares."""
+
+    def both(t: DataFrame, s: DataFrame, n: int, name: float, addr: float) -> DataFrame:
+        part = lambda spaces, share: L.weighted_tokens(t, s, spaces, n).withColumn("w", F.col("w") * share)
+        return part(NAMES, name).unionByName(part(ADDRESSES, addr))
+
+    return _top(spark, sf_dir, lambda t, s, n: both(t, s, n, 1.0, 1.0), lambda t, s, n: both(t, s, n, alpha, 1 - alpha), (*NAMES, *ADDRESSES))
 
 
 def er_bm25_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     spaces = ("atok", "abig")
-    return _top(spark, sf_dir, lambda t, s, n: L.bm25_weights(t, s, spaces), lambda t, s, n: t.filter(F.col("space").isin(*spaces)).withColumn("w", F.lit(1.0)), {})
+    return _top(spark, sf_dir, lambda t, s, n: L.bm25_weights(t, s, spaces), lambda t, s, n: t.withColumn("w", F.lit(1.0)), spaces)
 
 
 def er_dense_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = L.dense_top(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), 5)
-    return found.select("q_id", "rank", F.round("score", 5).alias("score"))
+    return found.select("q_id", "p_id", "rank", F.round("score", 5).alias("score"))
+
+
+def er_dense_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors' labels stand for countries; one country isn't in the pool, whose queries search all of it."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("country"))
+    found = L.dense_top(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1 AND country <> 0"), 5, by="country")
+    return found.select("q_id", "p_id", "rank", F.round("score", 5).alias("score"))
 
 
 def er_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = world(spark, sf_dir)
-    keys = L.key_join(L.block_keys(w.queries), L.block_keys(w.pool), max_block=5)
+    keys = key_pairs(w, ("A", "B"))
     passes = {k: keys.filter(F.col("kind") == k).select("q_id", "p_id") for k in ("A", "B")} | {"C": er_tfidf_names(spark, sf_dir)}
     return L.candidate_union(passes).select("q_id", "p_id", F.col("bits").cast("long").alias("bits"), "s_C", "r_C")
 
 
+def er_recall_by_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True pairs that the passes by names and by addresses hold among their best 1, 2, 5 and 10."""
+    w = world(spark, sf_dir)
+    ranks = er_tfidf_names(spark, sf_dir).select(F.lit("C").alias("pass"), "q_id", "p_id", "rank").unionByName(er_tfidf_addresses(spark, sf_dir).select(F.lit("D"), "q_id", "p_id", "rank").toDF("pass", "q_id", "p_id", "rank"))
+    hits = ranks.join(w.truth, ["q_id", "p_id"], "left_semi").groupBy("pass").agg(*[F.count(F.when(F.col("rank") < k, 1)).alias(f"k{k}") for k in (1, 2, 5, 10)])
+    return hits
+
+
 def er_pass_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passes and depths that a budget of 20 candidates a query buys."""
     w = world(spark, sf_dir)
@@ -290,16 +343,49 @@ rec2 AS (SELECT *, {_merged("n1")} AS n_basic, {_merged("a1")} AS a2 FROM rec1),
 rec3 AS (SELECT *, list_transform({_tokens("n_basic")}, lambda t: {_LEET}) AS leet, list_filter({_tokens("a2")}, lambda t: t NOT IN ({_sql_list(C.PLACEHOLDERS)})) AS words FROM rec2),
 rec4 AS (SELECT *, list_filter(leet, lambda t: t NOT IN ({_sql_list(C.LEGAL_FORMS)})) AS core, list_transform(words, lambda t: coalesce({_ADDRESS}[t], t)) AS ct FROM rec3),
 rec5 AS (SELECT id, country, text, name, addr, n_basic, array_to_string(words, ' ') AS a_basic, array_to_string(ct, ' ') AS a_canon, ct, CASE WHEN len(core) > 0 THEN core ELSE leet END AS nt FROM rec4),
-rec AS (SELECT *, array_to_string(nt, ' ') AS n_core, array_to_string(nt, '') AS n_squash, list_transform(nt, lambda t: {_SKELETON}) AS st, array_to_string(list_transform(nt, lambda t: {_SKELETON}), ' ') AS n_skel,
+rec AS (SELECT *, array_to_string(nt, ' ') AS n_core, array_to_string(nt, '') AS n_squash, list_transform(nt, lambda t: {_SKELETON}) AS st, list_transform(ct, lambda t: {_SKELETON}) AS cst,
+    list_distinct(list_transform(regexp_extract_all(a_canon, '\d+'), lambda t: regexp_replace(t, '^0+(\d)', '\1'))) AS nums,
+    list_distinct(list_transform(list_filter(range(1, len(ct) + 1), lambda i: regexp_full_match(ct[i], '\d{{6}}') OR (regexp_full_match(ct[i], '\d{{5}}') AND NOT regexp_full_match(coalesce(ct[i + 1], ''), '[a-z]{{3,}}'))), lambda i: ct[i])) AS posts, array_to_string(list_transform(nt, lambda t: {_SKELETON}), ' ') AS n_skel,
     CASE WHEN id % 2 = 0 THEN 1 ELSE 2 + (id // 2) % 2 END AS src FROM rec5),
 truth AS (SELECT DISTINCT a.id AS q_id, b.id AS p_id FROM rec0 a JOIN rec0 b ON a.text = b.text WHERE a.id % 2 = 0 AND b.id % 2 = 1)"""
 
-_JACC = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / (len(list_distinct({a})) + len(list_distinct({b})) - len(list_intersect({a}, {b}))) END"
 _WORDS_ONLY = "list_filter({}, lambda t: NOT regexp_full_match(t, '\\d+'))"
-SCORED = rf"""{WORLD},
-toks AS (SELECT id, country, unnest(list_distinct(nt)) AS token FROM rec),
-few AS (SELECT country, token FROM toks WHERE id % 2 = 1 GROUP BY ALL HAVING count(*) <= {IDF_CAP}),
-pairs AS (SELECT DISTINCT a.id AS q_id, b.id AS p_id FROM toks a JOIN toks b USING (country, token) JOIN few USING (country, token) WHERE a.id % 2 = 0 AND b.id % 2 = 1),
+SPACES = rf"""{WORLD},
+spaces AS (SELECT id, country, 'ntok' AS space, unnest(list_distinct(nt)) AS token FROM rec UNION ALL SELECT id, country, 'nskel', unnest(list_distinct(list_filter(st, lambda t: t <> ''))) FROM rec
+    UNION ALL SELECT id, country, 'atok', unnest(list_distinct({_WORDS_ONLY.format("ct")})) FROM rec
+    UNION ALL SELECT id, country, 'anum', unnest(nums) FROM rec
+    UNION ALL SELECT id, country, 'abig', unnest(list_distinct(list_transform(range(1, len(ct)), lambda i: ct[i] || '_' || ct[i+1]))) FROM rec),
+size AS (SELECT count(*) AS n FROM rec WHERE id % 2 = 1),
+stats AS (SELECT space, token, df, ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 AS idf, CASE WHEN df <= greatest({IDF_CAP}, {IDF_SHARE} * n) THEN ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 ELSE 0.0 END AS wt FROM (SELECT space, token, count(*) AS df FROM spaces WHERE id % 2 = 1 GROUP BY ALL), size)"""
+def top_sql(tag: str, spaces: dict[str, float], table: str = "spaces", stats: str = "stats") -> str:
+    """Normalised weights, scores and best pairs of a pass over some token spaces: {tag}_normed, {tag}_top."""
+    share = " ".join(f"WHEN '{s}' THEN {w}::DOUBLE" for s, w in spaces.items())
+    return f"""{tag}_tw AS (SELECT id, country, s.space, s.token, coalesce(wt, ln(n + 1.0::DOUBLE) + 1.0) * CASE s.space {share} END AS w FROM {table} s LEFT JOIN {stats} USING (space, token), size WHERE s.space IN ({_sql_list(tuple(spaces))})),
+{tag}_normed AS (SELECT id, country, space, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM {tag}_tw WHERE w > 0),
+{tag}_sums AS (SELECT a.id AS q_id, b.id AS p_id, round(sum(a.w * b.w), 6) AS score FROM {tag}_normed a JOIN {tag}_normed b USING (country, space, token) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY ALL),
+{tag}_top AS (SELECT q_id, p_id, score, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p_id) - 1)::INT AS rank FROM {tag}_sums QUALIFY rank < {TOP_K})"""
+
+
+NAMES_TOP = f"{SPACES}, {top_sql('c', NAMES)}, top AS (FROM c_top)"
+_GRAM = "flatten(list_transform(nt, lambda t: list_transform(range(1, length(t) + 1), lambda i: substr(' ' || t || ' ', i, 3))))"
+GRAMS_SQL = f"""gram_spaces AS (SELECT id, country, 'nchar' AS space, unnest(list_distinct({_GRAM})) AS token FROM rec),
+gram_stats AS (SELECT space, token, CASE WHEN df <= greatest({IDF_CAP}, 0.003 * n) THEN ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 ELSE 0.0 END AS wt FROM (SELECT space, token, count(*) AS df FROM gram_spaces WHERE id % 2 = 1 GROUP BY ALL), size)"""
+_PLACES = r"list_filter(range(1, len(ct)), lambda i: regexp_full_match(ct[i], '\d+') AND NOT regexp_full_match(ct[i + 1], '\d+') AND length(ct[i + 1]) >= 3)[1:3]"
+ADDR_KEYS = rf"list_transform({_PLACES}, lambda i: regexp_replace(ct[i], '^0+(\d)', '\1') || '|' || substr(cst[i + 1], 1, 4))"
+LEGAL_SQL = "(" + " + ".join(f"CASE WHEN regexp_matches(n_basic, '{p}') THEN {1 << k} ELSE 0 END" for k, p in enumerate(C.LEGAL_CLASSES.values())) + ")::BIGINT"
+_ALT_TOKENS = f"list_transform({_tokens('alt')}, lambda t: {_LEET})"
+_ALT = f"(SELECT CASE WHEN n = 1 THEN '' WHEN len(list_filter(l, lambda t: t NOT IN ({_sql_list(C.LEGAL_FORMS)}))) > 0 THEN array_to_string(list_filter(l, lambda t: t NOT IN ({_sql_list(C.LEGAL_FORMS)})), ' ') ELSE array_to_string(l, ' ') END FROM (SELECT n, {_ALT_TOKENS} AS l FROM (SELECT len(string_split_regex(n_basic, '{C.TRADE}')) AS n, trim(string_split_regex(n_basic, '{C.TRADE}')[-1]) AS alt)))"
+KEYS_SQL = rf"""keys AS (SELECT id, country, 'A' AS kind, n_squash AS key FROM rec WHERE length(n_squash) >= 3 UNION ALL SELECT id, country, 'B', substr(array_to_string(st, ''), 1, 8) FROM rec WHERE length(substr(array_to_string(st, ''), 1, 8)) >= 4
+    UNION ALL SELECT id, country, 'K', array_to_string(st, '') FROM rec WHERE length(array_to_string(st, '')) >= 4
+    UNION ALL SELECT id, country, 'S', array_to_string(list_sort(list_distinct(ct)), ' ') FROM rec WHERE len(ct) >= 3
+    UNION ALL SELECT id, country, 'H', unnest(posts) || '|' || substr(coalesce(list_filter(st, lambda t: t <> '')[1], ''), 1, 3) FROM rec
+    UNION ALL SELECT id, country, 'E', unnest({ADDR_KEYS}) FROM rec),
+blocks AS (SELECT country, kind, key FROM keys k SEMI JOIN (SELECT DISTINCT country, kind, key FROM keys WHERE id % 2 = 0) USING (country, kind, key) WHERE id % 2 = 1 GROUP BY ALL HAVING count(*) <= {MAX_BLOCK}),
+matched AS (SELECT DISTINCT kind, a.id AS q_id, b.id AS p_id FROM keys a JOIN keys b USING (country, kind, key) JOIN blocks USING (country, kind, key) WHERE a.id % 2 = 0 AND b.id % 2 = 1)"""
+
+_JACC = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b}))::DOUBLE / (len(list_distinct({a})) + len(list_distinct({b})) - len(list_intersect({a}, {b}))) END"
+SCORED = rf"""{NAMES_TOP}, {KEYS_SQL},
+pairs AS (SELECT q_id, p_id FROM matched WHERE kind IN ('A', 'B', 'K') UNION SELECT q_id, p_id FROM top),
 measured AS (SELECT q_id, p_id, p.src, q.n_core AS qc, p.n_core AS pc, (q.n_basic = p.n_basic)::INT AS eq_n_basic, (q.n_core = p.n_core)::INT AS eq_n_core, (q.n_squash = p.n_squash)::INT AS eq_n_squash, (q.n_skel = p.n_skel)::INT AS eq_n_skel,
     CASE WHEN q.a_canon <> '' AND p.a_canon <> '' THEN (q.a_canon = p.a_canon)::INT END AS eq_a_canon,
     CASE WHEN greatest(length(q.n_core), length(p.n_core)) = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(q.n_core, p.n_core)::DOUBLE / greatest(length(q.n_core), length(p.n_core)) END AS n_lev,
@@ -323,36 +409,26 @@ judged AS (SELECT *, CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0::DOUBLE WHEN n
 _METRICS = """count(*) AS n_queries, round(avg(f05), 6) AS f05, round(avg(prec), 6) AS precision, round(avg(rec_), 6) AS recall, round(sum(n_hit) / nullif(sum(n_pred), 0)::DOUBLE, 6) AS micro_precision, round(sum(n_hit) / nullif(sum(n_true), 0)::DOUBLE, 6) AS micro_recall,
     round(avg(CASE WHEN n_true = 0 THEN (n_pred = 0)::INT::DOUBLE END), 6) AS singleton_accuracy, round(avg((n_pred > n_hit)::INT::DOUBLE), 6) AS false_merge_rate, round(avg(n_pred), 6) AS avg_pred"""
 
-SPACES = rf"""{WORLD},
-spaces AS (SELECT id, country, 'ntok' AS space, unnest(list_distinct(nt)) AS token FROM rec UNION ALL SELECT id, country, 'nskel', unnest(list_distinct(list_filter(st, lambda t: t <> ''))) FROM rec
-    UNION ALL SELECT id, country, 'atok', unnest(list_distinct({_WORDS_ONLY.format("ct")})) FROM rec
-    UNION ALL SELECT id, country, 'abig', unnest(list_distinct(list_transform(range(1, len(ct)), lambda i: ct[i] || '_' || ct[i+1]))) FROM rec),
-size AS (SELECT count(*) AS n FROM rec WHERE id % 2 = 1),
-stats AS (SELECT space, token, df, ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 AS idf, CASE WHEN df <= {IDF_CAP} THEN ln((n + 1.0::DOUBLE) / (df + 1.0::DOUBLE)) + 1.0 ELSE 0.0 END AS wt FROM (SELECT space, token, count(*) AS df FROM spaces WHERE id % 2 = 1 GROUP BY ALL), size)"""
-_NAMES_TOP = f"""{SPACES},
-tw AS (SELECT id, country, s.space, s.token, coalesce(wt, ln(n + 1.0::DOUBLE) + 1.0) * CASE s.space WHEN 'nskel' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w FROM spaces s LEFT JOIN stats USING (space, token), size WHERE s.space IN ('ntok', 'nskel')),
-normed AS (SELECT id, country, space, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM tw WHERE w > 0),
-sums AS (SELECT a.id AS q_id, b.id AS p_id, round(sum(a.w * b.w), 6) AS score FROM normed a JOIN normed b USING (country, space, token) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY ALL),
-top AS (SELECT q_id, p_id, score, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p_id) - 1)::INT AS rank FROM sums QUALIFY rank < {TOP_K})"""
-_KEYS = """keys AS (SELECT id, country, 'A' AS kind, n_squash AS key FROM rec WHERE length(n_squash) >= 3 UNION ALL SELECT id, country, 'B', substr(array_to_string(st, ''), 1, 8) FROM rec WHERE length(substr(array_to_string(st, ''), 1, 8)) >= 4
-    UNION ALL SELECT id, country, 'K', array_to_string(st, '') FROM rec WHERE length(array_to_string(st, '')) >= 4),
-blocks AS (SELECT country, kind, key FROM keys WHERE id % 2 = 1 GROUP BY ALL HAVING count(*) <= 5),
-matched AS (SELECT DISTINCT kind, a.id AS q_id, b.id AS p_id FROM keys a JOIN keys b USING (country, kind, key) JOIN blocks USING (country, kind, key) WHERE a.id % 2 = 0 AND b.id % 2 = 1)"""
-
 SQL: dict[str, str] = {
-    "er_names": f"WITH {WORLD} SELECT id, country, n_basic, n_core, n_squash, n_skel, CASE WHEN len(list_filter(nt, lambda t: NOT regexp_full_match(t, '\\d+'))) >= 2 THEN array_to_string(list_transform(list_filter(nt, lambda t: NOT regexp_full_match(t, '\\d+')), lambda t: substr(t, 1, 1)), '') ELSE '' END AS acronym, length(n_basic)::INT AS n_len, len(nt)::INT AS n_ntok, regexp_matches(name, '[^\\x00-\\x7F]') AS f_nonascii, upper(name) = name AND lower(name) <> name AS f_upper FROM rec",
-    "er_addresses": f"WITH {WORLD} SELECT id, a_basic, a_canon, length(a_canon)::INT AS a_len, len(ct)::INT AS a_ntok, a_canon = '' AS a_missing, CASE WHEN regexp_matches(a_canon, '\\d') THEN substr(regexp_extract(a_canon, '\\d+'), 1, 9)::BIGINT ELSE -1 END AS num0, array_to_string(list_sort(list_distinct(ct)), ' ') AS a_set FROM rec",
+    "er_names": f"WITH {WORLD} SELECT id, country, n_basic, n_core, n_squash, n_skel, CASE WHEN len(list_filter(nt, lambda t: NOT regexp_full_match(t, '\\d+'))) >= 2 THEN array_to_string(list_transform(list_filter(nt, lambda t: NOT regexp_full_match(t, '\\d+')), lambda t: substr(t, 1, 1)), '') ELSE '' END AS acronym, length(n_basic)::INT AS n_len, len(nt)::INT AS n_ntok, regexp_matches(name, '[^\\x00-\\x7F]') AS f_nonascii, upper(name) = name AND lower(name) <> name AS f_upper, {_ALT} AS n_alt, regexp_matches(lower(name), '{C.DOMAIN}') AS f_domain, name <> '' AND NOT regexp_matches(name, '^[\\p{{L}}\\p{{N}}]') AS f_junk, {LEGAL_SQL} AS legal FROM rec",
+    "er_addresses": f"WITH {WORLD} SELECT id, a_basic, a_canon, length(a_canon)::INT AS a_len, len(ct)::INT AS a_ntok, a_canon = '' AS a_missing, CASE WHEN regexp_matches(a_canon, '\\d') THEN substr(regexp_extract(a_canon, '\\d+'), 1, 9)::BIGINT ELSE -1 END AS num0, array_to_string(list_sort(list_distinct(ct)), ' ') AS a_set, array_to_string(nums, ' ') AS numbers, array_to_string(posts, ' ') AS postal, array_to_string({ADDR_KEYS}, ' ') AS keys FROM rec",
     "er_token_idf": f"WITH {SPACES} SELECT space, token, df, round(idf, 6) AS idf, df <= 50 AS rare, round(wt, 6) AS w FROM stats WHERE space <> 'nskel'",
-    "er_commonness": f"WITH {WORLD} SELECT id, round(CASE WHEN n_core = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 0) OVER (PARTITION BY n_core)::DOUBLE) END, 6) AS nf_s1, round(CASE WHEN n_core = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 1) OVER (PARTITION BY n_core)::DOUBLE) END, 6) AS nf_pool FROM rec",
-    "er_key_candidates": f"WITH {WORLD}, {_KEYS} SELECT kind, q_id, p_id FROM matched",
-    "er_tfidf_names": f"WITH {_NAMES_TOP} SELECT q_id, p_id, score, rank FROM top",
+    "er_commonness": f"WITH {WORLD} SELECT id, round(CASE WHEN n_core = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 0) OVER (PARTITION BY n_core)::DOUBLE) END, 6) AS nf_s1, round(CASE WHEN n_core = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 1) OVER (PARTITION BY n_core)::DOUBLE) END, 6) AS nf_pool, round(CASE WHEN a_canon = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 0) OVER (PARTITION BY a_canon)::DOUBLE) END, 6) AS af_s1, round(CASE WHEN a_canon = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 1) OVER (PARTITION BY a_canon)::DOUBLE) END, 6) AS af_pool FROM rec",
+    "er_tfidf_addresses": f"WITH {SPACES}, {top_sql('d', ADDRESSES)} SELECT q_id, p_id, score, rank FROM d_top",
+    "er_tfidf_grams": f"WITH {SPACES}, {GRAMS_SQL}, {top_sql('i', GRAMS, 'gram_spaces', 'gram_stats')} SELECT q_id, p_id, score, rank FROM i_top",
+    "er_tfidf_combined": f"""WITH {SPACES}, {top_sql('c', NAMES)}, {top_sql('d', ADDRESSES)}, f_sums AS (SELECT a.id AS q_id, b.id AS p_id, round(sum(a.w * b.w * a.share), 6) AS score FROM (SELECT *, 0.6::DOUBLE AS share FROM c_normed UNION ALL SELECT *, 0.4::DOUBLE FROM d_normed) a JOIN (FROM c_normed UNION ALL FROM d_normed) b USING (country, space, token) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY ALL)
+        SELECT q_id, p_id, score, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p_id) - 1)::INT AS rank FROM f_sums QUALIFY rank < {TOP_K}""",
+    "er_recall_by_pass": f"WITH {NAMES_TOP}, {top_sql('d', ADDRESSES)} SELECT pass, " + ", ".join(f"count(*) FILTER (rank < {k}) AS k{k}" for k in (1, 2, 5, 10)) + " FROM (SELECT 'C' AS pass, * FROM top UNION ALL SELECT 'D', * FROM d_top) SEMI JOIN truth USING (q_id, p_id) GROUP BY pass",
+    "er_dense_by_country": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), s AS (SELECT a.id AS q_id, b.id AS p_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.id % 2 = 0 AND b.id % 2 = 1 AND b.label <> 0 AND (a.label = b.label OR a.label = 0)) SELECT q_id, p_id, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p_id) - 1)::INT AS rank, round(score, 5) AS score FROM s QUALIFY rank < 5",
+    "er_key_candidates": f"WITH {WORLD}, {KEYS_SQL} SELECT kind, q_id, p_id FROM matched",
+    "er_tfidf_names": f"WITH {NAMES_TOP} SELECT q_id, p_id, score, rank FROM top",
     "er_bm25_addresses": f"""WITH {SPACES}, pw AS (SELECT id, country, space, token, count(*) OVER (PARTITION BY id)::DOUBLE AS length FROM spaces WHERE id % 2 = 1 AND space IN ('atok', 'abig')),
         mean AS (SELECT country, avg(length) AS mean FROM (SELECT DISTINCT id, country, length FROM pw) GROUP BY 1),
         weights AS (SELECT id, country, pw.space, pw.token, wt * (2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS w FROM pw JOIN mean USING (country) JOIN stats USING (space, token) WHERE wt > 0),
         sums AS (SELECT a.id AS q_id, b.id AS p_id, round(sum(b.w), 6) AS score FROM spaces a JOIN weights b USING (country, space, token) WHERE a.id % 2 = 0 GROUP BY ALL)
         SELECT q_id, p_id, score, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p_id) - 1)::INT AS rank FROM sums QUALIFY rank < {TOP_K}""",
-    "er_dense_top": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.id AS q_id, b.id AS p_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.id % 2 = 0 AND b.id % 2 = 1) SELECT q_id, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p_id) - 1)::INT AS rank, round(score, 5) AS score FROM s QUALIFY rank < 5",
-    "er_candidates": f"""WITH {_NAMES_TOP}, {_KEYS}, each_ AS (SELECT q_id, p_id, 1 AS bit, NULL::DOUBLE AS score, NULL::BIGINT AS rank FROM matched WHERE kind = 'A' UNION ALL SELECT q_id, p_id, 2, NULL, NULL FROM matched WHERE kind = 'B' UNION ALL SELECT q_id, p_id, 4, score, rank + 1 FROM top)
+    "er_dense_top": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.id AS q_id, b.id AS p_id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM v a JOIN v b ON a.id % 2 = 0 AND b.id % 2 = 1) SELECT q_id, p_id, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, p_id) - 1)::INT AS rank, round(score, 5) AS score FROM s QUALIFY rank < 5",
+    "er_candidates": f"""WITH {NAMES_TOP}, {KEYS_SQL}, each_ AS (SELECT q_id, p_id, 1 AS bit, NULL::DOUBLE AS score, NULL::BIGINT AS rank FROM matched WHERE kind = 'A' UNION ALL SELECT q_id, p_id, 2, NULL, NULL FROM matched WHERE kind = 'B' UNION ALL SELECT q_id, p_id, 4, score, rank + 1 FROM top)
         SELECT q_id, p_id, bit_or(bit)::BIGINT AS bits, max(score) AS "s_C", max(rank)::BIGINT AS "r_C" FROM each_ GROUP BY ALL""",
     "er_pair_measures": f"WITH {SCORED} SELECT q_id, p_id, src::INT AS src, eq_n_basic, eq_n_core, eq_n_squash, eq_n_skel, eq_a_canon::DOUBLE AS eq_a_canon, round(n_lev, 6) AS n_lev, n_tok_shared, round(n_tok_jacc, 6) AS n_tok_jacc, round(n_tok_over, 6) AS n_tok_over, round(a_tok_jacc, 6) AS a_tok_jacc, both_addr_missing, p, y FROM scored",
     "er_context": f"WITH {SCORED} SELECT q_id, p_id, round(max(p) OVER q - p, 6) AS q_gap, rank() OVER (PARTITION BY q_id ORDER BY p DESC) AS q_rank, round((p - avg(p) OVER q) / (coalesce(stddev_samp(p) OVER q, 0) + 0.001), 4) AS q_z, round(max(p) OVER (PARTITION BY p_id) - p, 6) AS p_gap, rank() OVER (PARTITION BY p_id ORDER BY p DESC) AS p_rank FROM scored WINDOW q AS (PARTITION BY q_id)",

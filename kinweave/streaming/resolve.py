@@ -21,7 +21,7 @@ def resolve_stream(arriving: DataFrame, queries: DataFrame, score: Callable[[Dat
     def batch(records: DataFrame, number: int) -> None:
         pool = L.prepared(records)
         pairs = L.key_join(own, L.block_keys(pool), max_block).select("q_id", "p_id").distinct()
-        both = L.with_records(pairs, queries, pool, ["n_basic", "n_core", "n_squash", "n_skel", "a_canon", "num0"]).join(pool.select(pool["id"].alias("p_id"), "src"), "p_id")
+        both = L.with_records(pairs, queries, pool, L.MEASURED).join(pool.select(pool["id"].alias("p_id"), "src"), "p_id")
         L.decide(score(L.pair_measures(both)), rule).select("q_id", "p_id", "src", "p").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -117,11 +117,11 @@ def test_dense_blocks_equal_broadcast(spark):
 def test_tsv_round_trip(spark, tmp_path):
     (tmp_path / "Sub").mkdir()
     (tmp_path / "Sub" / "Train_Source1.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"A ""B"""\t\tUS\nS1-2\tNA\tnull\tIN\n')
-    path = tables.discover(str(tmp_path), ["train_source1.tsv"])["train_source1.tsv"]
+    path = tables.discover(spark, str(tmp_path), ["train_source1.tsv"])["train_source1.tsv"]
     rows = tables.read_tsv(spark, path, tables.RECORD).collect()
     assert [tuple(r) for r in rows] == [("S1-1", 'A "B"', "", "US"), ("S1-2", "NA", "null", "IN")]
     with pytest.raises(FileNotFoundError):
-        tables.discover(str(tmp_path), ["none.tsv"])
+        tables.discover(spark, str(tmp_path), ["none.tsv"])
 
 
 def test_stream_resolves_arriving_records(spark, tmp_path):
