@@ -29,25 +29,29 @@ def indel(a: str, b: str) -> float:
 
 
 def common_lengths(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """``_common`` of many pairs at once, one machine word a pair; texts of over 64 characters one by one."""
+    """``_common`` of many pairs at once: a row of bits for each pair, in as many machine words as its shorter text needs."""
     out = np.zeros(len(pairs), np.int64)
-    short = [k for k, (a, _) in enumerate(pairs) if 0 < len(a) <= 64]
-    for k, (a, b) in enumerate(pairs):
-        if len(a) > 64:
-            out[k] = _common(a, b)
-    short.sort(key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
-    for at in range(0, len(short), 4096):
-        part = short[at : at + 4096]
-        left, right = (np.array([pairs[k][side] for k in part]) for side in (0, 1))
-        codes = lambda x: x.view(np.uint32).reshape(len(part), -1) if x.dtype.itemsize else np.zeros((len(part), 0), np.uint32)
-        a, b = codes(left), codes(right)
-        bits = np.where(a != 0, np.uint64(1) << np.arange(a.shape[1], dtype=np.uint64), np.uint64(0))
-        whole = bits.sum(1, dtype=np.uint64)
-        row = whole.copy()
+    pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
+    order = sorted((k for k, (a, _) in enumerate(pairs) if a), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    for at in range(0, len(order), 4096):
+        part = order[at : at + 4096]
+        a, b = (np.array([pairs[k][side] for k in part]).view(np.uint32).reshape(len(part), -1) for side in (0, 1))
+        words = -(-a.shape[1] // 64)
+        places = [slice(64 * w, min(64 * w + 64, a.shape[1])) for w in range(words)]
+        bits = [np.where(a[:, s] != 0, np.uint64(1) << np.arange(s.stop - s.start, dtype=np.uint64), np.uint64(0)) for s in places]
+        whole = [x.sum(1, dtype=np.uint64) for x in bits]
+        row = [x.copy() for x in whole]
         for j in range(b.shape[1]):
-            hit = row & np.where((a == b[:, j : j + 1]) & (a != 0), bits, np.uint64(0)).sum(1, dtype=np.uint64)
-            row = ((row + hit) | (row - hit)) & whole
-        out[part] = np.bitwise_count(whole) - np.bitwise_count(row)
+            letter = b[:, j : j + 1]
+            carry = np.zeros(len(part), np.uint64)
+            for w, s in enumerate(places):
+                hit = row[w] & np.where(a[:, s] == letter, bits[w], np.uint64(0)).sum(1, dtype=np.uint64)
+                total = row[w] + hit
+                over = total < hit
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                row[w] = (total | (row[w] & ~hit)) & whole[w]
+        out[part] = sum(np.bitwise_count(x).astype(np.int64) for x in whole) - sum(np.bitwise_count(x).astype(np.int64) for x in row)
     return out
 
 

@@ -21,18 +21,24 @@ def idf_of(df: Column, size: int) -> Column:
 
 
 def vectors(rows: DataFrame, pool: DataFrame, size: int) -> DataFrame:
-    """Records with ``v_<space>``, a map from token to idf over the pool, and ``v_nchar``, from gram to its share of the norm."""
+    """Records with ``v_<space>``, a map from token to idf over the pool, its sums ``w_`` of weights and ``w2_`` of their
+    squares, and ``v_nchar``, a map from gram to its share of the norm.
+    """
     spaces = tuple(BLOCKS)
     df = L.token_spaces(pool, spaces).groupBy("space", "token").agg(F.count("*").alias("df"))
     weighed = L.token_spaces(rows, spaces).join(df, ["space", "token"], "left").withColumn("w", idf_of(F.coalesce("df", F.lit(0)), size))
     entry = F.struct("token", "w")
-    maps = weighed.groupBy("id").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("space") == s, entry))).alias(f"v_{s}") for s in spaces])
+    of = lambda s, c: F.when(F.col("space") == s, c)
+    w = F.col("w")
+    maps = weighed.groupBy("id").agg(
+        *[F.map_from_entries(F.collect_list(of(s, entry))).alias(f"v_{s}") for s in spaces], *[F.coalesce(F.sum(of(s, w)), F.lit(0.0)).alias(f"w_{s}") for s in spaces], *[F.coalesce(F.sum(of(s, w * w)), F.lit(0.0)).alias(f"w2_{s}") for s in spaces]
+    )
+    grams = rows.select("id", F.explode(T.char_grams(F.col("n_core"))).alias("g")).groupBy("id", "g").agg(F.count("*").cast("double").alias("tf"))
+    grams = grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("g", "tf"))).alias("v_nchar"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
+    grams = grams.select("id", F.transform_values("v_nchar", lambda _, x: x / F.col("_norm")).alias("v_nchar"))
     empty = F.create_map().cast("map<string,double>")
-    out = rows.join(maps, "id", "left").withColumns({f"v_{s}": F.coalesce(f"v_{s}", empty) for s in spaces})
-    grams = T.char_grams(F.col("n_core"))
-    counts = F.transform(F.col("nchar"), lambda g: F.size(F.filter(grams, lambda x: x == g)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return out.withColumn("v_nchar", F.map_from_arrays("nchar", F.transform(counts, lambda x: x / norm)))
+    out = rows.join(maps, "id", "left").join(grams, "id", "left").fillna(0.0, [f"{k}_{s}" for k in ("w", "w2") for s in spaces])
+    return out.withColumns({f"v_{s}": F.coalesce(f"v_{s}", empty) for s in (*spaces, "nchar")})
 
 
 def commonness(rows: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
@@ -44,45 +50,40 @@ def commonness(rows: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFram
     return rows
 
 
-def _sum(tokens: Column, weight: Column, square: bool = False) -> Column:
-    return F.aggregate(tokens, F.lit(0.0), lambda s, t: s + (F.element_at(weight, t) * F.element_at(weight, t) if square else F.element_at(weight, t)))
-
+def token_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame, size: int) -> DataFrame:
+    """A row for each pair and space: q_id, p_id, space and the measures; those of two sets are null if either is empty.
 
-def token_block(space: str, size: int) -> dict[str, Column]:
-    """Measures of one space from both records' vectors; those of two sets are null if either is empty."""
-    q, p = F.col(f"q_v_{space}"), F.col(f"p_v_{space}")
-    a, b = F.map_keys(q), F.map_keys(p)
-    both = F.array_intersect(a, b)
-    n, m, k = F.size(a), F.size(b), F.size(both)
-    some = (n > 0) & (m > 0)
-    wa, wb, wk = _sum(a, q), _sum(b, p), _sum(both, q)
+    Records have ``vectors``. Shared tokens are found once for each pair and space.
+    """
+    columns = [f"{k}_{s}" for s in BLOCKS for k in ("v", "w", "w2")]
+    rows = L.with_records(pairs, queries, pool, columns)
+    each = F.array(*[F.struct(F.lit(s).alias("space"), *[F.col(f"{side}_{k}_{s}").alias(f"{side}_{k}") for side in "qp" for k in ("v", "w", "w2")]) for s in BLOCKS])
+    rows = rows.select("q_id", "p_id", F.explode(each).alias("m")).select("q_id", "p_id", "m.*")
+    q, p, a, b, both = F.col("q_v"), F.col("p_v"), F.map_keys("q_v"), F.map_keys("p_v"), F.col("_both")
+    rows = rows.withColumn("_both", F.array_intersect(a, b))
+    worth = lambda own, weight: F.coalesce(F.array_max(F.transform(F.array_except(own, both), lambda t: F.element_at(weight, t))), F.lit(0.0))
+    rows = rows.withColumns({"n1": F.size(q), "n2": F.size(p), "shared": F.size(both), "_weights": F.transform(both, lambda t: F.element_at(q, t)), "uq_max": worth(a, q), "up_max": worth(b, p)})
+    rows = rows.withColumns({"_w": F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x), "_w2": F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x * x)})
     rare = math.log((size + 1) / 51) + 1 - 1e-9  # the idf of a token in 50 records
-    one = lambda own, weight: F.transform(F.array_except(own, both), lambda t: F.element_at(weight, t))
-    most = lambda own, weight: F.coalesce(F.array_max(one(own, weight)), F.lit(0.0))
-    return {
-        "shared": k, "jacc": F.when(some, k / (n + m - k)), "overlap": F.when(some, k / F.least(n, m)), "wjacc": F.when(some, wk / F.greatest(wa + wb - wk, F.lit(1e-6))),
-        "cos": F.when(some, _sum(both, q, True) / F.sqrt(F.greatest(_sum(a, q, True) * _sum(b, p, True), F.lit(1e-12)))),
-        "rare_shared": F.size(F.filter(both, lambda t: F.element_at(q, t) >= rare)), "n1": n, "n2": m, "set_eq": ((k == n) & (k == m) & (n > 0)).cast("int"),
-        "uq_idf": wa - wk, "up_idf": wb - wk, "uq_max": most(a, q), "up_max": most(b, p),
-        "u_minmax": F.least(most(a, q), most(b, p)), "u_maxmax": F.greatest(most(a, q), most(b, p)),
+    n, m, k, w = F.col("n1"), F.col("n2"), F.col("shared"), F.col("_w")
+    some = (n > 0) & (m > 0)
+    out = {
+        "shared": k, "jacc": F.when(some, k / (n + m - k)), "overlap": F.when(some, k / F.least(n, m)), "wjacc": F.when(some, w / F.greatest(F.col("q_w") + F.col("p_w") - w, F.lit(1e-6))),
+        "cos": F.when(some, F.col("_w2") / F.sqrt(F.greatest(F.col("q_w2") * F.col("p_w2"), F.lit(1e-12)))), "rare_shared": F.size(F.filter("_weights", lambda x: x >= rare)), "n1": n, "n2": m,
+        "set_eq": ((k == n) & (k == m) & (n > 0)).cast("int"), "uq_idf": F.col("q_w") - w, "up_idf": F.col("p_w") - w, "uq_max": F.col("uq_max"), "up_max": F.col("up_max"),
+        "u_minmax": F.least("uq_max", "up_max"), "u_maxmax": F.greatest("uq_max", "up_max"),
     }
-
-
-def token_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame, size: int) -> DataFrame:
-    """A row for each pair and space: q_id, p_id, space and the measures of ``token_block``. Records have ``vectors``."""
-    rows = L.with_records(pairs, queries, pool, [f"v_{s}" for s in BLOCKS])
-    each = F.array(*[F.struct(F.lit(s).alias("space"), *[c.alias(name) for name, c in token_block(s, size).items()]) for s in BLOCKS])
-    return rows.select("q_id", "p_id", F.explode(each).alias("m")).select("q_id", "p_id", "m.*")
+    return rows.select("q_id", "p_id", "space", *[c.alias(name) for name, c in out.items()])
 
 
 def _numbers_in_name(side: str) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(f"{side}_n_basic"), F.lit(r"(\d+)"), 1)))
 
 
-NEEDED = ["name", "addr", "n_basic", "n_core", "n_squash", "n_skel", "n_alt", "a_basic", "a_canon", "num0", "legal", "anum", "apost", "v_nchar", "v_ntok", "v_atok", *ATTRIBUTES]
+NEEDED = ["name", "addr", "n_basic", "n_core", "n_squash", "n_skel", "n_alt", "a_basic", "a_canon", "num0", "legal", "anum", "apost", "v_nchar", "v_ntok", "v_atok", "w2_ntok", "w2_atok", *ATTRIBUTES]
 
 
-def record_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame, size: int) -> DataFrame:
+def record_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
     """Equalities, gram cosine, acronyms, numbers, postal codes, lengths, legal forms and both records' attributes of pairs.
 
     Records have ``vectors`` and ``commonness``; the pool also ``src``.
@@ -98,13 +99,16 @@ def record_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame, size:
     mine, theirs = _numbers_in_name("q"), _numbers_in_name("p")
     named = (F.size(mine) > 0) & (F.size(theirs) > 0)
     acronym = lambda a, b: (F.length(b("n_squash")) >= 2) & (T.acronym(a("n_core")) == b("n_squash"))
-    grams = F.array_intersect(F.map_keys(q("v_nchar")), F.map_keys(p("v_nchar")))
-    cosine = {s: F.coalesce(token_block(s, size)["cos"], F.lit(0.0)) for s in ("ntok", "atok")}
+    rows = rows.withColumns({f"_{s}": F.array_intersect(F.map_keys(q(f"v_{s}")), F.map_keys(p(f"v_{s}"))) for s in ("nchar", "ntok", "atok")})
+    product = lambda s: F.transform(f"_{s}", lambda t: F.element_at(q(f"v_{s}"), t) * F.element_at(p(f"v_{s}"), t))
+    rows = rows.withColumns({f"_{s}_w": product(s) for s in ("nchar", "ntok", "atok")})
+    total = lambda s: F.aggregate(f"_{s}_w", F.lit(0.0), lambda x, y: x + y)
+    cosine = {s: total(s) / F.sqrt(F.greatest(q(f"w2_{s}") * p(f"w2_{s}"), F.lit(1e-12))) for s in ("ntok", "atok")}
     ratio = lambda c: F.least(q(c), p(c)) / F.greatest(q(c), p(c), F.lit(1))
     out = {f"{name}_eq": equal(c) for name, c in (("n_raw", "name"), ("n_basic", "n_basic"), ("n_core", "n_core"), ("n_squash", "n_squash"), ("n_skel", "n_skel"))}
     out |= {f"{name}_eq": F.when(~no_addr, equal(c)) for name, c in (("a_raw", "addr"), ("a_basic", "a_basic"), ("a_canon", "a_canon"))}
     out |= {"n_lev": S.levenshtein_similarity(q("n_core"), p("n_core")), "n_acronym": (acronym(q, p) | acronym(p, q)).cast("int")}
-    out |= {"n_char_cos": F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.element_at(q("v_nchar"), g) * F.element_at(p("v_nchar"), g))}
+    out |= {"n_char_cos": total("nchar")}
     out |= {"a_num_conflict": ((fewest > 0) & (numbers == 0)).cast("int"), "a_num_subset": ((fewest > 0) & (numbers == fewest)).cast("int")}
     out |= {"a_num0_eq": F.when((q("num0") >= 0) & (p("num0") >= 0), equal("num0"))}
     out |= {"a_post_eq": (shared("apost") > 0).cast("int"), "a_post_conflict": ((F.size(q("apost")) > 0) & (F.size(p("apost")) > 0) & (shared("apost") == 0)).cast("int")}
@@ -125,10 +129,10 @@ def fuzzy_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> Dat
     groups: dict[tuple[str, str], dict] = {}
     for name, f, a, b in jobs:
         groups.setdefault((f"q_{a}", f"p_{b}"), {})[name] = f
+    every = rows
     for (a, b), functions in groups.items():
-        given = functions.keys() & {"_alt1", "_alt2", "a_ratio"}
-        texts = rows.select(a, b).distinct()
-        if given:  # undefined where a side is empty
+        texts = every.select(a, b).distinct()
+        if functions.keys() & {"_alt1", "_alt2", "a_ratio"}:  # undefined where a side is empty
             texts = texts.filter((F.col(a) != "") & (F.col(b) != ""))
         rows = rows.join(texts.withColumns({name: f(F.col(a), F.col(b)) for name, f in functions.items()}), [a, b], "left")
     return rows.select("q_id", "p_id", *[name for name, *_ in jobs if not name.startswith("_")], F.greatest("_alt1", "_alt2").alias("n_alt_ratio"), (F.coalesce("n_tset", F.lit(0.0)) * F.coalesce("a_tset", F.lit(0.5))).alias("name_x_addr"))

@@ -255,11 +255,6 @@ def context(pairs: DataFrame, column: str, by: str = "q_id") -> DataFrame:
     return pairs.withColumns({f"{column}_gap": F.max(v).over(w) - v, f"{column}_rank": F.rank().over(w.orderBy(v.desc())), f"{column}_z": z})
 
 
-def in_safe_zone(name: list[str], addr: list[str], least: float = 0.2) -> Column:
-    low = lambda cs: F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in cs]) < least
-    return low(name) & low(addr)
-
-
 def stage_one_cut(pairs: DataFrame, t: float, n_max: int = 0, m_pool: int = 0) -> DataFrame:
     """Pairs with p of at least ``t`` among the query's best ``n_max`` and the pool record's best ``m_pool`` (0: all)."""
     qr = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("p"), "p_id"))
@@ -335,7 +330,11 @@ def auc(rows: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     return total.select(F.round(F.try_divide(F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos"))), 6).alias("auc"))
 
 
-def expected_f05(p: np.ndarray, extra: float = 0.0, power: float = 1.0, most: int = 20) -> tuple[int, float]:
+#: Candidates of a query that the expected F0.5 looks at.
+BEST = 20
+
+
+def expected_f05(p: np.ndarray, extra: float = 0.0, power: float = 1.0, most: int = BEST) -> tuple[int, float]:
     """How many of a query's candidates (by falling probability) to take for the greatest expected F0.5, and that value.
 
     Matches are independent; with probability ``extra`` one more true match isn't among them.
@@ -364,13 +363,21 @@ def expected_f05(p: np.ndarray, extra: float = 0.0, power: float = 1.0, most: in
 
 
 def expected_selection(pairs: DataFrame, extra: float = 0.0, power: float = 1.0) -> DataFrame:
-    """The pairs (q_id, p_id, p) that ``expected_f05`` takes; a query's candidates are few, by the passes' k."""
+    """The pairs (q_id, p_id, p) that ``expected_f05`` takes: by the probabilities of a query's best ``BEST``, then places."""
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["p", "p_id"], ascending=[False, True])
-        return group.head(expected_f05(group["p"].to_numpy(), extra, power)[0])
+    @F.pandas_udf("int")
+    def number(lists: pd.Series) -> pd.Series:
+        known: dict[tuple, int] = {}
+        keys = [tuple(p) for p in lists]
+        for key in keys:
+            if key not in known:
+                known[key] = expected_f05(np.array(key), extra, power, BEST)[0]
+        return pd.Series([known[key] for key in keys])
 
-    return pairs.select("q_id", "p_id", "p").groupBy("q_id").applyInPandas(choose, "q_id long, p_id long, p double")
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("p"), "p_id"))
+    rows = pairs.select("q_id", "p_id", "p").withColumn("_place", place).filter(F.col("_place") <= BEST)
+    taken = rows.groupBy("q_id").agg(F.sort_array(F.collect_list("p"), asc=False).alias("_ps")).select("q_id", number("_ps").alias("_k"))
+    return rows.join(taken, "q_id").filter(F.col("_place") <= F.col("_k")).select("q_id", "p_id", "p")
 
 
 def learned_map(pairs: DataFrame, least: float = 40, share: float = 0.5, most: int = 2) -> dict[str, str]:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave import queries
+from kinweave import queries, reports
 from kinweave.functions import similarity as S
 from kinweave.functions import text as T
 from kinweave.operators import linkage as L
@@ -14,14 +14,17 @@ from kinweave.sources import tables
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+ALL_QUERIES, ALL_SQL = queries.QUERIES | reports.QUERIES, queries.SQL | reports.SQL
+
+
+@pytest.mark.parametrize("name", sorted(ALL_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    found = con.execute(queries.SQL[name])
+    found = con.execute(ALL_SQL[name])
     columns = [c[0] for c in found.description]
-    got = queries.QUERIES[name](spark, SF)
+    got = ALL_QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     text = lambda rows: sorted("|".join("" if v is None else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
     assert text(got.select(*columns).collect()) == text(found.fetchall())
