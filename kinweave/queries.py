@@ -61,7 +61,7 @@ def er_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def er_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = world(spark, sf_dir)
     rows = w.queries.unionByName(w.pool.drop("src"))
-    return rows.select("id", "a_basic", "a_canon", "a_len", "a_ntok", "a_missing", "num0", T.joined(T.token_set(F.col("a_canon"))).alias("a_set"), T.joined("anum").alias("numbers"), T.joined("apost").alias("postal"), T.joined(T.addr_keys(F.col("a_canon"))).alias("keys"))
+    return rows.select("id", "a_basic", "a_canon", "a_len", "a_ntok", "a_missing", "num0", T.joined(T.token_set(F.col("a_canon"))).alias("a_set"), T.joined(F.array_sort("anum")).alias("numbers"), T.joined(F.array_sort("apost")).alias("postal"), T.joined(T.addr_keys(F.col("a_canon"))).alias("keys"))
 
 
 def er_token_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +411,7 @@ _METRICS = """count(*) AS n_queries, round(avg(f05), 6) AS f05, round(avg(prec),
 
 SQL: dict[str, str] = {
     "er_names": f"WITH {WORLD} SELECT id, country, n_basic, n_core, n_squash, n_skel, CASE WHEN len(list_filter(nt, lambda t: NOT regexp_full_match(t, '\\d+'))) >= 2 THEN array_to_string(list_transform(list_filter(nt, lambda t: NOT regexp_full_match(t, '\\d+')), lambda t: substr(t, 1, 1)), '') ELSE '' END AS acronym, length(n_basic)::INT AS n_len, len(nt)::INT AS n_ntok, regexp_matches(name, '[^\\x00-\\x7F]') AS f_nonascii, upper(name) = name AND lower(name) <> name AS f_upper, {_ALT} AS n_alt, regexp_matches(lower(name), '{C.DOMAIN}') AS f_domain, name <> '' AND NOT regexp_matches(name, '^[\\p{{L}}\\p{{N}}]') AS f_junk, {LEGAL_SQL} AS legal FROM rec",
-    "er_addresses": f"WITH {WORLD} SELECT id, a_basic, a_canon, length(a_canon)::INT AS a_len, len(ct)::INT AS a_ntok, a_canon = '' AS a_missing, CASE WHEN regexp_matches(a_canon, '\\d') THEN substr(regexp_extract(a_canon, '\\d+'), 1, 9)::BIGINT ELSE -1 END AS num0, array_to_string(list_sort(list_distinct(ct)), ' ') AS a_set, array_to_string(nums, ' ') AS numbers, array_to_string(posts, ' ') AS postal, array_to_string({ADDR_KEYS}, ' ') AS keys FROM rec",
+    "er_addresses": f"WITH {WORLD} SELECT id, a_basic, a_canon, length(a_canon)::INT AS a_len, len(ct)::INT AS a_ntok, a_canon = '' AS a_missing, CASE WHEN regexp_matches(a_canon, '\\d') THEN substr(regexp_extract(a_canon, '\\d+'), 1, 9)::BIGINT ELSE -1 END AS num0, array_to_string(list_sort(list_distinct(ct)), ' ') AS a_set, array_to_string(list_sort(nums), ' ') AS numbers, array_to_string(list_sort(posts), ' ') AS postal, array_to_string({ADDR_KEYS}, ' ') AS keys FROM rec",
     "er_token_idf": f"WITH {SPACES} SELECT space, token, df, round(idf, 6) AS idf, df <= 50 AS rare, round(wt, 6) AS w FROM stats WHERE space <> 'nskel'",
     "er_commonness": f"WITH {WORLD} SELECT id, round(CASE WHEN n_core = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 0) OVER (PARTITION BY n_core)::DOUBLE) END, 6) AS nf_s1, round(CASE WHEN n_core = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 1) OVER (PARTITION BY n_core)::DOUBLE) END, 6) AS nf_pool, round(CASE WHEN a_canon = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 0) OVER (PARTITION BY a_canon)::DOUBLE) END, 6) AS af_s1, round(CASE WHEN a_canon = '' THEN 0.0 ELSE ln(1 + count(*) FILTER (id % 2 = 1) OVER (PARTITION BY a_canon)::DOUBLE) END, 6) AS af_pool FROM rec",
     "er_tfidf_addresses": f"WITH {SPACES}, {top_sql('d', ADDRESSES)} SELECT q_id, p_id, score, rank FROM d_top",
