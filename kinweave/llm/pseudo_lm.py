@@ -403,7 +403,9 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
     for round_ in range(s.rounds):
         share = windows.filter(F.col("task") % s.rounds == round_)
         if not share.isEmpty():
-            flat = average(share.groupBy("task").applyInArrow(learner(spark.sparkContext.broadcast(flat), s, round_, arrow), parts_schema), s)
+            # a number of its own keeps adaptive execution from joining the small partitions of much work
+            spread = share.repartition(2 * tasks, "task")
+            flat = average(spread.groupBy("task").applyInArrow(learner(spark.sparkContext.broadcast(flat), s, round_, arrow), parts_schema), s)
     return Model(words, flat, s, tail_tokens)
 
 
