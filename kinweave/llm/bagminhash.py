@@ -143,16 +143,23 @@ def signatures(docs: DataFrame, settings: Settings = Settings(), id_col: str = "
     return map_batches(docs, [id_col, text_col], run, "_id long, _copy binary, _keys array<long>")
 
 
-def dealt(rows: DataFrame, keys: list[str], by: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with ``_part``, which divides a key's rows into parts of about ``most``, and the keys with their ``_parts``."""
+def dealt(rows: DataFrame, keys: list[str], by: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with ``_part``, which divides a key's rows into parts of about ``most``, and the keys with their ``_parts``.
+
+    Without a key of more than ``most`` rows there is nothing to deal, and no table of keys.
+    """
     parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
-    own = parts.filter("_parts > 1")
+    own = materialise(parts.filter("_parts > 1"), "hot")
+    if own.isEmpty():
+        return rows.withColumn("_part", F.lit(0)), None
     placed = rows.join(own, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int"))
     return placed.drop("_parts"), own
 
 
-def to_parts(rows: DataFrame, parts: DataFrame, keys: list[str], name: str = "_part") -> DataFrame:
+def to_parts(rows: DataFrame, parts: DataFrame | None, keys: list[str], name: str = "_part") -> DataFrame:
     """Each row once for each part of its key."""
+    if parts is None:
+        return rows.withColumn(name, F.lit(0))
     every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     return rows.join(parts, keys, "left").withColumn(name, F.explode(every)).drop("_parts")
 

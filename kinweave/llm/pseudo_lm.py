@@ -49,7 +49,7 @@ class Settings:
     hidden: int = 32
     rounds: int = 3
     #: Positions a training task handles, over all rounds; the number of tasks follows the corpus.
-    task_examples: int = 9_600_000
+    task_examples: int = 4_800_000
     #: Positions in a run of ids on its way to training.
     run: int = 16_384
     step_size: float = 0.12
