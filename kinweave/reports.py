@@ -34,7 +34,7 @@ def _six(*columns: str) -> list:
 def er_token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, rows, n = featured(spark, sf_dir)
     got = features.token_measures(rows.select("q_id", "p_id"), w.queries, w.pool, n)
-    return got.select("q_id", "p_id", "space", "shared", "rare_shared", "n1", "n2", "set_eq", *_six("jacc", "overlap", "wjacc", "cos", "uq_idf", "up_idf", "uq_max", "up_max", "u_minmax", "u_maxmax"))
+    return got.select("q_id", "p_id", "space", "shared", "rare_shared", "n1", "n2", "set_eq", *[(F.round(c, 6) + 0.0).alias(c) for c in ("uq_idf", "up_idf")], *_six("jacc", "overlap", "wjacc", "cos", "uq_max", "up_max", "u_minmax", "u_maxmax"))
 
 
 def er_record_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +352,7 @@ _REP = " UNION ALL ".join(
 
 SQL: dict[str, str] = {
     "er_token_features": f"""WITH {_FEATURED} SELECT q_id, p_id, space, k::INT AS shared, rare::INT AS rare_shared, n::INT AS n1, m::INT AS n2, (k = n AND k = m AND n > 0)::INT AS set_eq, round(CASE WHEN n > 0 AND m > 0 THEN k::DOUBLE / (n + m - k) END, 6) AS jacc, round(CASE WHEN n > 0 AND m > 0 THEN k::DOUBLE / least(n, m) END, 6) AS overlap,
-        round(CASE WHEN n > 0 AND m > 0 THEN wk / greatest(wa + wb - wk, 1e-6) END, 6) AS wjacc, round({_COS}, 6) AS cos, round(wa - wk, 6) AS uq_idf, round(wb - wk, 6) AS up_idf, round(uqm, 6) AS uq_max, round(upm, 6) AS up_max, round(least(uqm, upm), 6) AS u_minmax, round(greatest(uqm, upm), 6) AS u_maxmax FROM blocks_""",
+        round(CASE WHEN n > 0 AND m > 0 THEN wk / greatest(wa + wb - wk, 1e-6) END, 6) AS wjacc, round({_COS}, 6) AS cos, round(wa - wk, 6) + 0.0::DOUBLE AS uq_idf, round(wb - wk, 6) + 0.0::DOUBLE AS up_idf, round(uqm, 6) AS uq_max, round(upm, 6) AS up_max, round(least(uqm, upm), 6) AS u_minmax, round(greatest(uqm, upm), 6) AS u_maxmax FROM blocks_""",
     "er_record_features": f"WITH {_RECORD_FEATURES}",
     "er_pool_context": f"WITH {Q.SCORED} SELECT q_id, p_id, count(*) OVER (PARTITION BY p_id) AS fe_p_ncand, count(*) OVER (PARTITION BY q_id, src, pc) - 1 AS fe_dup_name_same_src, count(*) OVER (PARTITION BY q_id, pc) - 1 AS fe_dup_name_any_src, "
     + ", ".join(f"row_number() OVER (PARTITION BY p_id ORDER BY coalesce({c}, -1) DESC, q_id) AS fe_p_{c}_rank, round(max(coalesce({c}, -1)) OVER (PARTITION BY p_id) - coalesce({c}, -1), 6) AS fe_p_{c}_gap" for c in ("p", "n_tok_jacc", "a_tok_jacc"))
