@@ -1,10 +1,13 @@
-"""Byte-level BPE by merge replay, and decoding.
+"""Byte-level BPE by merge replay over the words of the whole corpus, and decoding.
 
-The distinct pre-tokens of a batch form a word list. An inverted index leads from a token pair's rank to the word
-positions where the pair stands. A heap gives the ranks in order; each one's merge is applied at all its positions,
-and only the touched neighbours enter the index anew. A word's pieces don't depend on other words, so replaying over
-the new words of each batch gives what one replay over the whole corpus would, without a shuffle and in bounded
-memory; finished words stay in a bounded cache of the worker.
+Documents are read once. Each pack of them gives its distinct pre-tokens, dealt by hash over buckets, and its texts as
+places in that list. A bucket is one shard of the corpus's word list: an inverted index leads from a token pair's rank
+to the word positions where the pair stands, a heap gives the ranks in order, each one's merge is applied at all its
+positions, and only the touched neighbours enter the index anew. The ids of a pack's words travel back to it, where
+they are put together to the ids of its texts. Merges of a word depend on no other word, so shards need no exchange.
+
+Every word is replayed once for each ``list_bytes`` of text (once in all below that), so that a word of every pack
+meets a bounded number of them. Packs and buckets stand for a bounded size of text; a longer text is a pack.
 
 Defined results: null and empty texts have no ids and decode to no bytes; repeated rows give equal rows; an empty
 table gives an empty table; further columns are ignored. Very long texts are handled whole, one at a time. A lone
@@ -18,14 +21,23 @@ import gc
 import hashlib
 from array import array
 from bisect import bisect_right
-from heapq import heapify, heappop, heappush
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinweave.llm.pieces import CACHE_PIECES, PieceEncoder
-from kinweave.llm.shared import map_batches
+from kinweave.llm.shared import arrow_schema, bounded, give_back, map_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,8 +46,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-#: Characters whose new words are replayed together.
-REPLAY_CHARS = 8_000_000
+@dataclass(frozen=True)
+class Settings:
+    #: Text bytes of a pack, of a bucket of words, and of what shares a word list.
+    pack_bytes: int = 8_000_000
+    bucket_bytes: int = 16 << 20
+    list_bytes: int = 512 << 30
 
 
 class PairRanks(dict):
@@ -52,6 +68,41 @@ class PairRanks(dict):
         return found
 
 
+class Numbers(dict):
+    """Numbers from 0 for what is met, in the order of first meetings."""
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        return number
+
+
+class PieceList(PieceEncoder):
+    """Texts as numbers of their pre-tokens."""
+
+    def __init__(self, pattern: str):
+        super().__init__()
+        self.split = regex.compile(pattern).findall
+        self.numbers = Numbers()
+
+    def encode_each(self, chunks: list[str], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        split, number = self.split, self.numbers.__getitem__
+        return [array("I", map(number, split(" " + chunk))).tobytes() for chunk in chunks], [array("I", map(number, split(text))).tobytes() for text in texts]
+
+    def pack(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """How many pieces each text has, their places in the pack's word list, and that list, frequent words first."""
+        if len(self.numbers) > CACHE_PIECES:
+            self.numbers.clear()
+            self.chunks.clear()
+        rows = self.encode_all(texts)
+        found = np.frombuffer(b"".join(rows), np.uint32)
+        counts = np.bincount(found, minlength=len(self.numbers))
+        used = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        places = np.zeros(len(counts), np.uint32)
+        places[used] = np.arange(len(used))
+        names = list(self.numbers)
+        return np.fromiter((len(r) // 4 for r in rows), np.int64, len(rows)), places[found], [names[k].encode() for k in used.tolist()]
+
+
 class MergeReplay(PieceEncoder):
     """Encodes words by replaying merges over a list of words; decodes ids."""
 
@@ -77,18 +128,22 @@ class MergeReplay(PieceEncoder):
         new = [p for p in met if p not in self.known]
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = {p: self.known[p] for p in met if p in self.known}
+        for piece, ids in zip(new, self.replay([p.encode() for p in new]), strict=True):
+            self.known[piece] = array("I", ids).tobytes()
+        ids_of = self.known.__getitem__
+        return tuple([b"".join(map(ids_of, got)) for got in part] for part in pieces)
+
+    def replay(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word."""
         collects = gc.isenabled()
         gc.disable()  # the index is many small lists without cycles
         try:
-            for piece, ids in zip(new, self.replay([p.encode() for p in new]), strict=True):
-                self.known[piece] = array("I", ids).tobytes()
+            return self._replay(words)
         finally:
             if collects:
                 gc.enable()
-        ids_of = self.known.__getitem__
-        return tuple([b"".join(map(ids_of, got)) for got in part] for part in pieces)
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
+    def _replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word.
 
         ``ids`` holds the tokens of all words, one after the other; ``before`` and ``after`` link living positions,
@@ -180,13 +235,95 @@ def replay_of(path: str, pattern: str) -> MergeReplay:
     return _replays[path, pattern]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def numbers_in(data: bytes) -> np.ndarray:
+    """The integers of ``written``."""
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def written(numbers: np.ndarray) -> bytes:
+    """Integers below 2**32, compressed: their lowest bytes, then the next ones."""
+    raw = np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    return zstandard.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts`` and have ``counts`` entries, for each of ``chosen``, joined."""
+    n = counts[chosen]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[chosen] - ends + n, n) + np.arange(n.sum())]
+
+
+def replayed(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, settings: Settings, finish: Callable[[list, list[bytes]], dict], schema: str) -> DataFrame:
+    """Rows of ``schema``, made by ``finish`` of the documents' ids and of their token ids."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    lists = max(1, -(-size // settings.list_bytes))
+    buckets = max(1, -(-size // (lists * settings.bucket_bytes)))
+    # A row with key >= 0 has the documents of the pack ``key``: ids, pieces of each, places of the pieces in the word
+    # list, bucket of each word. A negative key is a bucket's, with the sizes and bytes of words, or their numbers of ids and ids.
+    message = f"key long, pack long, ids array<{dict(docs.dtypes)[id_col]}>, sizes binary, data binary, deal binary"
+    rows, result = arrow_schema(docs.sparkSession, message), arrow_schema(docs.sparkSession, schema)
+
+    def made(columns: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*columns, strict=True), rows, strict=True)], schema=rows)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, pieces = TaskContext.get().partitionId(), PieceList(pattern)
+        for at, (ids, texts) in enumerate(bounded(batches, settings.pack_bytes)):
+            pack = task << 32 | at
+            sizes, places, words = pieces.pack(texts)
+            deal = (np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) % np.uint64(buckets)).astype(np.int64)
+            out = [(pack, pack, ids, written(sizes), written(places), written(deal))]
+            order = np.argsort(deal, kind="stable")
+            words = [words[k] for k in order.tolist()]
+            edges = np.flatnonzero(np.diff(deal[order], prepend=-1, append=buckets))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                bucket = task % lists * buckets + int(deal[order[a]])
+                part = words[a:b]
+                out.append((-1 - bucket, pack, None, written(np.fromiter(map(len, part), np.int64, b - a)), zstandard.compress(b"".join(part), 1), None))
+            for k in range(0, len(out), 2000):
+                yield made(out[k : k + 2000])
+        del pieces
+        give_back()
+
+    def answer(table: pa.Table) -> pa.Table:
+        if table["key"][0].as_py() >= 0:
+            return table.select(rows.names).cast(rows)
+        words, asked = Numbers(), []
+        for sizes, data in zip(table["sizes"].to_pylist(), table["data"].to_pylist(), strict=True):
+            ends, data = np.cumsum(numbers_in(sizes)).tolist(), zstandard.decompress(data)
+            asked.append(np.fromiter((words[data[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)), np.int64, len(ends)))
+        ids = replay_of(ranks_path, pattern).replay(list(words))
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())
+        starts = np.cumsum(counts) - counts
+        del ids
+        out = [(key, pack, None, written(counts[own]), written(gathered(flat, starts, counts, own)), None) for key, pack, own in zip(table["key"].to_pylist(), table["pack"].to_pylist(), asked, strict=True)]
+        return pa.Table.from_batches([made(out)])
+
+    def join(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.greater_equal(table["key"], 0)).to_pylist()[0]
+        found = table.filter(pc.less(table["key"], 0)).sort_by([("key", "descending")])
+        none = np.empty(0, np.int64)
+        order = np.argsort(numbers_in(own["deal"]), kind="stable")
+        given = np.concatenate([none, *map(numbers_in, found["sizes"].to_pylist())])
+        if len(given) != len(order):
+            raise RuntimeError(f"{len(order)} words of a pack have {len(given)} answers")
+        counts, starts = np.empty_like(given), np.empty_like(given)
+        counts[order], starts[order] = given, np.cumsum(given) - given
+        flat = np.concatenate([none, *map(numbers_in, found["data"].to_pylist())]).astype("<u4")
+        places = numbers_in(own["data"])
+        ids = gathered(flat, starts, counts, places)
+        ends = np.concatenate([[0], np.cumsum(counts[places])])[np.cumsum(numbers_in(own["sizes"]))].tolist()
+        return pa.Table.from_pydict(finish(own["ids"], [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]), schema=result)
+
+    asked = docs.select(id_col, text_col).mapInArrow(ask, message)
+    return asked.groupBy("key").applyInArrow(answer, message).groupBy("pack").applyInArrow(join, schema)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """``id_col``, ``ids`` (binary: little-endian unsigned 32-bit). The rank file must exist on every machine."""
-
-    def run(keys: list, texts: list) -> dict:
-        return {id_col: keys, "ids": replay_of(ranks_path, pattern).encode_all(texts)}
-
-    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids binary")
+    return replayed(docs, ranks_path, pattern, id_col, text_col, settings, lambda keys, ids: {id_col: keys, "ids": ids}, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -199,12 +336,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     return map_batches(encoded, [id_col, ids_col], run, f"`{id_col}` {dict(encoded.dtypes)[id_col]}, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of each text's ids and of the bytes that they decode to; encodes and decodes in one step."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """Digests of each text's ids and of the bytes that they decode to."""
 
-    def run(keys: list, texts: list) -> dict:
+    def digests(keys: list, ids: list[bytes]) -> dict:
         replay = replay_of(ranks_path, pattern)
-        ids = replay.encode_all(texts)
         return {
             id_col: keys,
             "n_tokens": [len(x) // 4 for x in ids],
@@ -212,4 +348,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             "decoded_sha256": [hashlib.sha256(replay.decode(x)).hexdigest() for x in ids],
         }
 
-    return map_batches(docs, [id_col, text_col], run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string", REPLAY_CHARS, collect=False)
+    return replayed(docs, ranks_path, pattern, id_col, text_col, settings, digests, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -111,6 +111,17 @@ def test_bpe_equals_tiktoken_and_decodes(spark, odd, docs):
     assert sorted(bytes(r["decoded"]).decode() for r in stored.collect()) == sorted(r[1] or "" for r in ODD)
 
 
+def test_bpe_over_many_packs_buckets_and_lists(spark, odd, docs):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).repartition(5)
+    want = sorted((str(r["doc_id"]), np.array(own.encode_ordinary(r["text"] or ""), "<u4").tobytes()) for r in rows.collect())
+    settings = bpe.Settings(pack_bytes=20_000, bucket_bytes=30_000, list_bytes=150_000)
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in bpe.encode(rows, path, public_tokenizers.PATTERN, settings=settings).collect()) == want
+    assert bpe.round_trip(docs.filter("false"), path, public_tokenizers.PATTERN).count() == 0
+    assert [r["n_tokens"] for r in bpe.round_trip(docs.selectExpr("doc_id", "CAST(NULL AS string) AS text"), path, public_tokenizers.PATTERN).distinct().limit(1).collect()] == [0]
+
+
 def test_merge_replay_on_random_strings():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     replay = bpe.replay_of(path, public_tokenizers.PATTERN)
