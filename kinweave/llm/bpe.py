@@ -49,7 +49,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 @dataclass(frozen=True)
 class Settings:
     #: Text bytes of a pack, of a bucket of words, and of what shares a word list.
-    pack_bytes: int = 8_000_000
+    pack_bytes: int = 16_000_000
     bucket_bytes: int = 16 << 20
     list_bytes: int = 512 << 30
 
