@@ -204,6 +204,23 @@ def test_unknown_country_searches_the_whole_pool(spark):
     assert {(r["q_id"], r["p_id"]): r["score"] for r in got.collect()} == {(1, 10): 1.0, (2, 10): 1.0, (2, 11): 0.5}
 
 
+def test_sparse_top_is_the_ranked_scores(spark):
+    rng = np.random.default_rng(5)
+    own = lambda ids, countries: [(int(i), countries[i % len(countries)], s, f"t{t}", float(rng.uniform(0.1, 1))) for i in ids for s in ("a", "b") for t in sorted({*rng.integers(0, 12, 4).tolist()})]
+    rows = lambda x: spark.createDataFrame(x, "id long, country string, space string, token string, w double")
+    queries, pool = rows(own(range(60), ["us", "fr", None, "zz"])), rows(own(range(100, 190), ["us", "fr", None]))
+    take = lambda df: sorted(map(tuple, df.select("q_id", "p_id", "rank", "score").collect()))
+    scores = L.sparse_scores(queries, pool).withColumn("score", F.round("score", 6))
+    vectors = L.sparse_vectors(queries), L.sparse_vectors(pool)
+    assert take(L.sparse_top(*vectors, 3)) == take(L.sparse_top(*vectors, 3, block=7)) == take(L.ranked(scores, 3))
+    assert take(L.sparse_top(vectors[0].limit(0), vectors[1], 3)) == take(L.sparse_top(vectors[0], vectors[1].limit(0), 3)) == []
+
+
+def test_names_are_matched_without_dealing_pairs(spark):
+    plan = queries._cosine_top(spark, SF, queries.NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "qw" not in plan
+
+
 @pytest.mark.parametrize("name", ["er_fuzzy_features", "er_second_stage_support", "er_error_categories", "er_scripts"])
 def test_rows_only_reports(spark, name):
     assert not reports.QUERIES[name](spark, SF).isEmpty()
