@@ -221,6 +221,32 @@ def test_names_are_matched_without_dealing_pairs(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "qw" not in plan
 
 
+def test_combined_records_come_in_parts(spark):
+    plan = queries.er_tfidf_combined(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "qw" not in plan
+
+
+def test_dense_top_holds_few_scores(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, rng.integers(-3, 4, 4).astype(float).tolist()) for k in range(400)], "id long, vector array<double>")  # ties
+    take = lambda: sorted(map(tuple, L.dense_top(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), 5).select("q_id", "p_id", "rank", "score").collect()))
+    whole = take()
+    monkeypatch.setattr(L, "DENSE_CELLS", 1000)
+    assert take() == whole and len(whole) == 1000
+
+
+def test_pass_plan_counts_key_pairs(spark, monkeypatch, world_and_rows):
+    w, _ = world_and_rows
+    names = queries.er_tfidf_names(spark, SF)
+    keys = L.key_join(L.block_keys(w.queries), L.block_keys(w.pool), max_block=None)
+    ranked = [("C", k, names.filter(F.col("rank") < k)) for k in (1, 5)]
+    formed = L.pass_plan([(k, None, keys.filter(F.col("kind") == k)) for k in "ABK"] + ranked, w.truth, w.queries.count(), most=20, least_gain=0)
+    counted = L.pass_plan([(k, None, None) for k in "ABK"] + ranked, w.truth, w.queries.count(), most=20, least_gain=0, keys=tuple(L.single_keys(df, ("A", "B", "K")) for df in (w.queries, w.pool)))
+    assert formed == counted and counted
+    monkeypatch.setattr(L, "key_join", None)
+    assert not queries.er_pass_plan(spark, SF).isEmpty()
+
+
 @pytest.mark.parametrize("name", ["er_fuzzy_features", "er_second_stage_support", "er_error_categories", "er_scripts"])
 def test_rows_only_reports(spark, name):
     assert not reports.QUERIES[name](spark, SF).isEmpty()
