@@ -121,18 +121,13 @@ def record_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> Da
 
 
 def fuzzy_measures(pairs: DataFrame, queries: DataFrame, pool: DataFrame) -> DataFrame:
-    """Edit-distance measures of names and addresses; each distinct pair of texts is measured once for the whole table."""
+    """Edit-distance measures of names and addresses, all in one pass over the pairs; equal pairs of texts of a batch are measured once."""
     rows = L.with_records(pairs, queries, pool, ["n_basic", "n_core", "n_squash", "n_skel", "n_alt", "a_canon"])
     jobs = [("n_ratio", S.ratio, "n_basic", "n_basic"), ("n_jw", S.jaro_winkler_similarity, "n_core", "n_core"), ("n_tsort", S.token_sort_ratio, "n_core", "n_core"), ("n_tset", S.token_set_ratio, "n_core", "n_core"), ("n_partial", S.partial_ratio, "n_squash", "n_squash")]
     jobs += [("n_sq_ratio", S.ratio, "n_squash", "n_squash"), ("n_skel_ratio", S.ratio, "n_skel", "n_skel"), ("_alt1", S.ratio, "n_core", "n_alt"), ("_alt2", S.ratio, "n_alt", "n_core")]
     jobs += [("a_ratio", S.ratio, "a_canon", "a_canon"), ("a_tset", S.token_set_ratio, "a_canon", "a_canon"), ("a_tsort", S.token_sort_ratio, "a_canon", "a_canon"), ("a_partial", S.partial_ratio, "a_canon", "a_canon")]
-    groups: dict[tuple[str, str], dict] = {}
-    for name, f, a, b in jobs:
-        groups.setdefault((f"q_{a}", f"p_{b}"), {})[name] = f
-    every = rows
-    for (a, b), functions in groups.items():
-        texts = every.select(a, b).distinct()
-        if functions.keys() & {"_alt1", "_alt2", "a_ratio"}:  # undefined where a side is empty
-            texts = texts.filter((F.col(a) != "") & (F.col(b) != ""))
-        rows = rows.join(texts.withColumns({name: f(F.col(a), F.col(b)) for name, f in functions.items()}), [a, b], "left")
+    some = lambda a, b: (F.col(a) != "") & (F.col(b) != "")
+    rows = rows.withColumns({name: f(F.col(f"q_{a}"), F.col(f"p_{b}")) for name, f, a, b in jobs})
+    # undefined where a side is empty
+    rows = rows.withColumns({name: F.when(some(f"q_{a}", f"p_{b}"), F.col(name)) for name, _, a, b in jobs if "alt" in name or name.startswith("a_")})
     return rows.select("q_id", "p_id", *[name for name, *_ in jobs if not name.startswith("_")], F.greatest("_alt1", "_alt2").alias("n_alt_ratio"), (F.coalesce("n_tset", F.lit(0.0)) * F.coalesce("a_tset", F.lit(0.5))).alias("name_x_addr"))

@@ -247,6 +247,23 @@ def test_pass_plan_counts_key_pairs(spark, monkeypatch, world_and_rows):
     assert not queries.er_pass_plan(spark, SF).isEmpty()
 
 
+def test_partials_scan_all_starts_and_ends_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcd é"), n))
+    pairs = [(word(rng.integers(0, 150)), word(rng.integers(0, 150))) for _ in range(60)]
+    expected, single, measured = [S.partial(*p) for p in pairs], S.common_lengths, []
+    monkeypatch.setattr(S, "common_lengths", lambda own: (measured.extend(own), single(own))[1])
+    assert S.partials(pairs).tolist() == expected
+    assert len(measured) < sum(abs(len(a) - len(b)) for a, b in pairs)
+    monkeypatch.setattr(S, "MASKS", 500)
+    assert S.partials(pairs).tolist() == expected
+
+
+def test_fuzzy_features_read_the_pairs_once(spark, world_and_rows):
+    plan = reports.er_fuzzy_features(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 6 and "HashAggregate" not in plan
+
+
 @pytest.mark.parametrize("name", ["er_fuzzy_features", "er_second_stage_support", "er_error_categories", "er_scripts"])
 def test_rows_only_reports(spark, name):
     assert not reports.QUERIES[name](spark, SF).isEmpty()
