@@ -25,18 +25,19 @@ scored whole, in bounded blocks; one text is held at a time.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import CACHE_WORDS, arrow_schema, bounded, map_batches, materialise, words_of
+from kinweave.llm.shared import arrow_schema, bounded, map_batches, materialise, slices, trim, words_of
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,7 @@ class Settings:
     fan_in: int = 16
     #: Counts a task holds before it passes them on.
     counted_words: int = 400_000
+    counted_bytes: int = 64 << 20
     #: Words of tails whose shares every task holds.
     sent_words: int = 150_000
     #: Positions scored together, and those of them whose first softmax is held at a time.
@@ -119,25 +121,38 @@ def listed_ids(words: list[bytes], s: Settings) -> dict[bytes, int]:
     return out
 
 
-class Vocabulary(dict):
-    """Ids of words; those of tails are added as they are met, in bounded number."""
+class Vocabulary:
+    """Ids of words; those of tails are hashed as they are met, which costs less than a cache of them.
 
-    def __init__(self, words: list[bytes], s: Settings):
-        self.fixed, self.s = listed_ids(words, s), s
-        super().__init__(self.fixed)
+    ``sent``: words of tails with the logarithms of their shares, so that one look-up tells both.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-            self.update(self.fixed)
-        found = self[word] = 1 + self.s.frequent + bucket(word, self.s) * self.s.slots
-        return found
+    def __init__(self, words: list[bytes], s: Settings, sent: tuple[list[bytes], np.ndarray] = ([], np.empty(0))):
+        listed, (more, shares), self.s = listed_ids(words, s), sent, s
+        self.known = {w: k for k, w in enumerate(chain(listed, more), 1)}
+        self.of_known = np.r_[0, np.fromiter(listed.values(), np.int32, len(listed)), self.tails(more)].astype(np.int32)
+        self.shares = np.r_[math.nan, np.zeros(len(listed)), shares]
+
+    def tails(self, words: list[bytes]) -> np.ndarray:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        return 1 + self.s.frequent + (hashes % np.uint64(self.s.classes)).astype(np.int32) * self.s.slots
+
+    def joined(self, texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+        """The ids of all texts in one array, ``side`` zeros before and after each; each word's place there, its text's number
+        and its share: 0 for listed words, nan for those neither listed nor sent."""
+        s, words = self.s, list(chain.from_iterable(texts))
+        which = np.fromiter(map(self.known.get, words, repeat(0)), np.int32, len(words))
+        found, new = self.of_known[which], which == 0
+        found[new] = self.tails(list(compress(words, new.tolist())))
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        at = np.arange(len(words)) + s.side * (1 + 2 * text)
+        out = np.zeros(len(words) + 2 * s.side * len(texts), np.int32)
+        out[at] = found
+        return out, at, text, self.shares[which]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids with ``side`` zeros before and after."""
-        out = np.zeros(len(words) + 2 * self.s.side, np.int32)
-        out[self.s.side : self.s.side + len(words)] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return out
+        return self.joined([words])[0]
 
 
 def is_tail(ids: np.ndarray, s: Settings) -> np.ndarray:
@@ -179,12 +194,32 @@ def cuts(classes: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(classes[a]), a, b
 
 
-def softmax(z: np.ndarray, wanted: np.ndarray) -> None:
-    """In place, less 1 at each row's ``wanted`` outcome: the loss's gradient."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z *= 1 / z.sum(1, keepdims=True)
-    z[np.arange(len(z)), wanted] -= 1
+#: Sums of exponentials outside these bounds are taken again, from each row's greatest value.
+SURE = (1e-30, 1e36)
+
+
+def exponentials(logits: Callable[[], object], z: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``z``, which ``logits`` fills: the value at ``wanted`` and the sum of the exponentials, left in ``z``."""
+    rows = np.arange(len(z))
+    logits()
+    own = z[rows, wanted]
+    with np.errstate(over="ignore", under="ignore"):
+        np.exp(z, out=z)
+        total = z @ np.ones(z.shape[1], z.dtype)
+    if not (total.min(initial=1) > SURE[0] and total.max(initial=1) < SURE[1]):
+        logits()
+        z -= z.max(1, keepdims=True)
+        own = z[rows, wanted]
+        np.exp(z, out=z)
+        total = z.sum(1)
+    return own, total
+
+
+def loss_gradient(logits: Callable[[], object], z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Leaves the loss's gradient in ``z`` but for a factor of each row, which it returns."""
+    _, total = exponentials(logits, z, wanted)
+    z[np.arange(len(z)), wanted] -= total
+    return 1 / total[:, None]
 
 
 class Trainer:
@@ -192,51 +227,80 @@ class Trainer:
 
     def __init__(self, flat: np.ndarray, s: Settings):
         self.flat, self.s = flat.copy(), s
-        self.weights = unflatten(self.flat, s)
-        self.squares = [np.full(w.shape if k else (len(w), 1), 1e-8, w.dtype) for k, w in enumerate(self.weights)]
-
-    def step(self, k: int, gradient: np.ndarray, at: object = ...) -> None:
-        seen = self.squares[k][at]
-        seen += (gradient * gradient).mean(1, keepdims=True) if not k else gradient * gradient
-        self.squares[k][at] = seen
-        self.weights[k][at] -= self.s.step_size * gradient / np.sqrt(seen)
+        self.gradient = np.zeros_like(self.flat)
+        self.weights, self.found = unflatten(self.flat, s), unflatten(self.gradient, s)
+        # the first softmax and its bias lie side by side: one matrix, whose last row meets a one beside the hidden layer
+        at = sum(map(math.prod, shapes(s)[:3]))
+        self.outer, self.of_outer = (x[at : at + (s.hidden + 1) * s.heads].reshape(-1, s.heads) for x in (self.flat, self.gradient))
+        self.slots = np.empty((s.classes, s.hidden + 1, s.slots), flat.dtype)
+        self.of_slots = np.empty_like(self.slots)
+        self.squares = np.full_like(self.flat[s.size * s.dims :], 1e-8)
+        self.row_squares = np.full((s.size, 1), 1e-8, flat.dtype)
+
+    def step(self) -> None:
+        """Rows of embeddings without a gradient stay as they are."""
+        n = self.s.size * self.s.dims
+        rows, rest = self.found[0], self.gradient[n:]
+        self.row_squares += (rows * rows).mean(1, keepdims=True)
+        self.weights[0] -= rows * (self.s.step_size / np.sqrt(self.row_squares))
+        room = rest * rest
+        self.squares += room
+        np.sqrt(self.squares, out=room)
+        np.divide(rest, room, out=room)
+        room *= self.s.step_size
+        self.flat[n:] -= room
 
     def batch(self, context: np.ndarray, target: np.ndarray) -> list:
-        """Gradients of the mean loss at the weights as they are; the embeddings' as (rows, gradient)."""
+        """Gradients of the mean loss at the weights as they are, until the next batch; the embeddings' as (rows, gradient)."""
         s = self.s
-        embed, into, inner, outer, bias, slots, slot_bias = self.weights
+        embed, into, inner, outer, _, slots, slot_bias = self.weights
         n = len(target)
         first, class_, slot = outcomes(target, s)
-        order = np.argsort(first, kind="stable")
-        context, first, class_, slot = context[order], first[order], class_[order], slot[order]
-        x = embed[context].reshape(n, -1)
-        h = np.tanh(x @ into + inner)
-        back = np.empty_like(h)
-        found = [np.zeros_like(w) for w in (outer, bias, slots, slot_bias)]
+        order = np.argsort(first.astype(kind(s)), kind="stable")
+        context, first, class_, slot = context.take(order, axis=0), first[order], class_[order], slot[order]
+        x = embed.take(context.ravel(), axis=0).reshape(n, -1)
+        h = np.ones((n, s.hidden + 1), x.dtype)
+        hidden = h[:, :-1]
+        np.tanh(x @ into + inner, out=hidden)
+        back = np.empty((n, s.hidden), x.dtype)
+        self.of_outer[:] = 0
+        room = np.empty((min(n, s.softmax_block), s.heads), x.dtype)
         for a in range(0, n, s.softmax_block):
             b = min(n, a + s.softmax_block)
-            p = h[a:b] @ outer
-            p += bias
-            softmax(p, first[a:b])
+            p = room[: b - a]
+            scale = loss_gradient(lambda: np.matmul(h[a:b], self.outer, out=p), p, first[a:b])  # noqa: B023
             np.matmul(p, outer.T, out=back[a:b])
-            found[0] += h[a:b].T @ p
-            found[1] += p.sum(0)
-        for c, a, b in cuts(class_):
-            q = h[a:b] @ slots[c]
-            q += slot_bias[c]
-            softmax(q, slot[a:b])
-            back[a:b] += q @ slots[c].T
-            found[2][c] = h[a:b].T @ q
-            found[3][c] = q.sum(0)
-        for gradient in found:
-            gradient /= n
-        back *= 1 - h * h
-        back /= n
-        down = (back @ into.T).reshape(-1, s.dims)
-        ids = context.ravel()
-        by = np.argsort(ids, kind="stable")
-        edges = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
-        return [(ids[by][edges], np.add.reduceat(down[by], edges)), x.T @ back, back.sum(0), *found]
+            back[a:b] *= scale
+            self.of_outer += (h[a:b] * scale).T @ p
+        # those with a class come last, class by class
+        begin = int(np.searchsorted(first, 1 + s.frequent))
+        runs_ = [(c, a + begin, b + begin) for c, a, b in cuts(class_[begin:])]
+        self.slots[:, :-1], self.slots[:, -1] = slots, slot_bias
+        q = np.empty((n - begin, s.slots), x.dtype)
+
+        def fill() -> None:
+            for c, a, b in runs_:
+                np.matmul(h[a:b], self.slots[c], out=q[a - begin : b - begin])
+
+        scale = loss_gradient(fill, q, slot[begin:])
+        scaled, more = h[begin:] * scale, np.empty((n - begin, s.hidden), x.dtype)
+        self.of_slots[:] = 0
+        for c, a, b in runs_:
+            at = slice(a - begin, b - begin)
+            np.matmul(scaled[at].T, q[at], out=self.of_slots[c])
+            np.matmul(q[at], slots[c].T, out=more[at])
+        more *= scale
+        back[begin:] += more
+        self.found[5][:], self.found[6][:] = self.of_slots[:, :-1], self.of_slots[:, -1]
+        back *= 1 - hidden * hidden
+        self.found[1][:], self.found[2][:] = x.T @ back, back.sum(0)
+        # sums by row of the embeddings, one dimension of all neighbours at a time
+        down = (into @ back.T).reshape(2 * s.side, s.dims, n)
+        ids = context.T.ravel().astype(np.int64)
+        for d in range(s.dims):
+            self.found[0][:, d] = np.bincount(ids, down[:, d].ravel(), s.size)
+        self.gradient /= n
+        return [(slice(None), self.found[0]), *self.found[1:]]
 
     def learn(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """One pass over the places ``at``, each batch spread evenly over all of them; the weights after it."""
@@ -245,78 +309,86 @@ class Trainer:
         batches = -(-len(at) // min(self.s.batch, max(256, len(at) // 64)))
         for k in range(batches):
             pick = at[k::batches]
-            (rows, of_rows), *dense = self.batch(ids[pick[:, None] + beside], ids[pick])
-            self.step(0, of_rows, rows)
-            for j, gradient in enumerate(dense, 1):
-                self.step(j, gradient)
+            self.batch(ids.take(pick[:, None] + beside), ids.take(pick))
+            self.step()
         return self.flat
 
 
 class Scorer:
     def __init__(self, flat: np.ndarray, s: Settings):
-        embed, into, self.inner, self.outer, self.bias, self.slots, self.slot_bias = unflatten(flat, s)
+        embed, into, self.inner, outer, bias, slots, slot_bias = unflatten(flat, s)
         # what a token at a neighbouring place adds to the hidden layer
         self.tables = [embed @ part for part in into.reshape(2 * s.side, s.dims, s.hidden)]
+        # the last row, the bias, meets a one beside the hidden layer
+        self.outer, self.slots = np.vstack([outer, bias]), np.concatenate([slots, slot_bias[:, None]], 1)
         self.s = s
 
     @staticmethod
-    def chosen(z: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Log-probability of an outcome of each row; ``z`` is overwritten."""
-        z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(z)), which]
-        np.exp(z, out=z)
-        return own - np.log(z.sum(1))
+    def chosen(h: np.ndarray, weights: np.ndarray, which: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Log-probability of an outcome of each row; ``room`` has at least as many rows."""
+        z = room[: len(h)]
+        own, total = exponentials(lambda: np.matmul(h, weights, out=z), z, which)
+        return own - np.log(total)
 
     def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
         """Of each token given its neighbours; ``ids`` may join texts, each with zeros around it."""
         s = self.s
         n = len(ids) - 2 * s.side
         out = np.empty(max(n, 0), np.float32)
+        rows = min(max(n, 0), s.block, s.softmax_block)
+        heads, slots = np.empty((rows, s.heads), self.outer.dtype), np.empty((rows, s.slots), self.outer.dtype)
         for at in range(0, n, s.block):
             m = min(s.block, n - at)
             first, class_, slot = outcomes(ids[at + s.side : at + s.side + m], s)
             order = np.argsort(class_.astype(np.int16), kind="stable")
             sorted_ = np.empty(m, np.float32)
-            h = np.empty((m, s.hidden), np.float32)
-            h[:] = self.inner
-            for table, offset in zip(self.tables, offsets(s), strict=True):
-                h += table[ids[at + s.side + offset + order]]
-            np.tanh(h, out=h)
-            first, class_, slot = first[order], class_[order], slot[order]
+            h = np.ones((m, s.hidden + 1), self.outer.dtype)
+            first, class_, slot, places_ = first[order], class_[order], slot[order], order + at + s.side
             for a in range(0, m, s.softmax_block):
                 b = min(m, a + s.softmax_block)
-                z = h[a:b] @ self.outer
-                z += self.bias
-                sorted_[a:b] = self.chosen(z, first[a:b])
+                inner = np.repeat(self.inner[None], b - a, 0)
+                for table, offset in zip(self.tables, offsets(s), strict=True):
+                    inner += table.take(ids.take(places_[a:b] + offset), axis=0)
+                np.tanh(inner, out=h[a:b, :-1])
+                sorted_[a:b] = self.chosen(h[a:b], self.outer, first[a:b], heads)
             for c, a, b in cuts(class_):
                 for k in range(a, b, s.softmax_block):
                     e = min(b, k + s.softmax_block)
-                    z = h[k:e] @ self.slots[c]
-                    z += self.slot_bias[c]
-                    sorted_[k:e] += self.chosen(z, slot[k:e])
+                    sorted_[k:e] += self.chosen(h[k:e], self.slots[c], slot[k:e], slots)
             out[at : at + m][order] = sorted_
         return out
 
 
 def count_words(docs: DataFrame, s: Settings, text_col: str) -> DataFrame:
-    """word, bucket, n over the whole corpus, counted in each task first."""
+    """word, bucket, n over the whole corpus, counted in each task first. Arrow's white space is that of ``words_of``."""
     schema = "word binary, bucket int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for (texts,) in bounded(batches):
-            for text in texts:
-                counts.update(words_of(text))
-            if len(counts) > s.counted_words:
-                yield from flush(counts)
-                counts = Counter()
-        yield from flush(counts)
-
-    def flush(counts: Counter) -> Iterator[pa.RecordBatch]:
-        words = list(counts)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_pydict({"word": part, "bucket": [bucket(w, s) for w in part], "n": [counts[w] for w in part]}, schema=arrow)
+        held: list[pa.Table] = []
+        for part in slices(batches):
+            found = pc.ascii_split_whitespace(part.column(0)).flatten().value_counts()
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            if sum(x.num_rows for x in held) > 2 * s.counted_words or sum(x.nbytes for x in held) > s.counted_bytes:
+                held = [merged(held)]
+                if held[0].num_rows > s.counted_words or 2 * held[0].nbytes > s.counted_bytes:
+                    yield from flush(held.pop())
+        if held:
+            yield from flush(merged(held))
+        del held
+        trim()  # the worker lives on
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+    def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        # the split leaves an empty word where a text begins or ends in white space
+        for part in table.filter(pc.field("word") != "").to_batches(max_chunksize=50_000):
+            words = part.column("word").cast(pa.binary())
+            _, ends, held = words.buffers()
+            ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+            held = memoryview(held)
+            buckets = [bucket(held[a:b], s) for a, b in pairwise(ends)]
+            yield pa.RecordBatch.from_arrays([words, pa.array(buckets, pa.int32()), part.column("n")], schema=arrow)
 
     arrow = arrow_schema(docs.sparkSession, schema)
     return docs.select(text_col).mapInArrow(run, schema).groupBy("word", "bucket").agg(F.sum("n").alias("n"))
@@ -389,11 +461,13 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, place = Vocabulary(words, s), TaskContext.get().partitionId() << 32
         for (texts,) in bounded(batches):
-            parts = [vocabulary.ids(own) for own in map(words_of, texts) if own]
-            for part in runs(np.concatenate(parts), s) if parts else ():
+            parts = [own for own in map(words_of, texts) if own]
+            for part in runs(vocabulary.joined(parts)[0], s) if parts else ():
                 # the place seeds the hash, so that equal runs don't meet in one task
                 place += 1
                 yield pa.RecordBatch.from_pydict({"slot": [int(xxhash.xxh3_64_intdigest(part.tobytes(), place) >> 1)], "rows": [part.tobytes()]}, schema=drawn)
+        del vocabulary
+        trim()
 
     drawn = arrow_schema(spark, "slot long, rows binary")
     tasks = max(1, math.ceil(total / s.task_examples))
@@ -409,13 +483,6 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text_col: str = "text"
     return Model(words, flat, s, tail_tokens)
 
 
-class Shares(dict):
-    """Log-shares of words in their tails; not a number: to be joined."""
-
-    def __missing__(self, word: bytes) -> float:
-        return math.nan
-
-
 def tails(counted: DataFrame, words: list[bytes]) -> DataFrame:
     """The counts of all words but ``words``."""
     own = counted.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
@@ -442,35 +509,29 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     if counted is not None:
         shares = materialise(word_shares(counted, model), "shares")
         top = shares.orderBy(F.desc("n"), "word").limit(model.settings.sent_words).select("word", "share").collect()
-        head = spark.sparkContext.broadcast({bytes(r["word"]): r["share"] for r in top})
+        head = spark.sparkContext.broadcast(([bytes(r["word"]) for r in top], np.array([r["share"] for r in top], float)))
 
     def run(ids: list, texts: list, rows: list) -> dict:
         model = sent.value
         if id(model) not in _loaded:
             _loaded.clear()
-            _loaded[id(model)] = Vocabulary(model.words, model.settings), Scorer(model.weights, model.settings), Shares(head.value if head else {}), model
-        vocabulary, scorer, known, _ = _loaded[id(model)]
+            _loaded[id(model)] = Vocabulary(model.words, model.settings, *([head.value] if head else [])), Scorer(model.weights, model.settings), model
+        vocabulary, scorer, _ = _loaded[id(model)]
         s = model.settings
-        unseen = -np.log1p(model.tail_tokens) if head else None
-        sums, counts, rest = [], [], []
         words = [words_of(text) for text in texts]
-        parts = [vocabulary.ids(own) for own in words]
         # the texts of a batch in one array: the zeros after a text and before the next keep them apart
-        found = scorer.log_probabilities(np.concatenate(parts)) if parts else np.empty(0)
-        at = 0
-        for own, part in zip(words, parts, strict=True):
-            n = len(own)
-            counts.append(n)
-            sums.append(float(found[at : at + n].sum(dtype=np.float64)))
-            at += len(part)
-            if head:
-                tail = np.flatnonzero(is_tail(part[s.side : s.side + n], s)).tolist()
-                within = np.fromiter((known[own[k]] for k in tail), np.float64, len(tail))
-                lacks = np.isnan(within)
-                sums[-1] += float(within[~lacks].sum())
-                of_class = unseen[outcomes(part[s.side : s.side + n], s)[1]] if lacks.any() else unseen
-                rest.append([(own[tail[k]], of_class[tail[k]]) for k in np.flatnonzero(lacks)])
-        return {id_col: ids, "n_tokens": counts, "log_likelihood": sums, "_row": rows, "_rest": rest if head else [None] * len(ids)}
+        joined, at, text, shares = vocabulary.joined(words)
+        found = scorer.log_probabilities(joined)[at - s.side].astype(np.float64)
+        rest: list[list | None] = [None] * len(ids)
+        if head:
+            rest = [[] for _ in ids]
+            lacks = np.isnan(shares)
+            found += np.where(lacks, 0, shares)
+            # not among the words sent: to be joined
+            of_class = -np.log1p(model.tail_tokens)[outcomes(joined[at[lacks]], s)[1]]
+            for k, word, unseen in zip(text[lacks].tolist(), compress(chain.from_iterable(words), lacks.tolist()), of_class.tolist(), strict=True):
+                rest[k].append((word, unseen))
+        return {id_col: ids, "n_tokens": list(map(len, words)), "log_likelihood": np.bincount(text, found, len(ids)), "_row": rows, "_rest": rest}
 
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens long, log_likelihood double, _row long, _rest array<struct<word: binary, unseen: double>>"
     got = map_batches(docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row")), [id_col, text_col, "_row"], run, schema, collect=False)

@@ -2,7 +2,10 @@
 
 import io
 import math
+import os
 import random
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -318,6 +321,88 @@ def test_gradients_are_right_and_training_lowers_the_loss():
     assert loss(weights) < loss(flat) - 0.3
 
 
+WORK = """
+import time, numpy as np
+from kinweave.llm import pseudo_lm as P
+s, rng = P.Settings(), np.random.default_rng(0)
+words = [b"w%d" % k for k in range(40_000)]
+weight = 1 / np.arange(1, len(words) + 1)
+texts = [[words[k] for k in rng.choice(len(words), 400, p=weight / weight.sum())] for _ in range(700)]
+vocabulary = P.Vocabulary(words[: s.frequent + s.classes * s.listed], s)
+ids = np.concatenate([vocabulary.ids(t) for t in texts])
+flat, at = P.start(s, np.bincount(ids, minlength=s.size).astype(float)), P.places(ids, s)
+h, outer, z = np.zeros((1024, s.hidden), np.float32), flat[: s.hidden * s.heads].reshape(s.hidden, s.heads), np.empty((1024, s.heads), np.float32)
+def plain():
+    for _ in range(len(at) // 1024):
+        np.exp(np.matmul(h, outer, out=z), out=z)
+        z @ outer.T
+        h.T @ z
+def seconds(*work):
+    out = []
+    for f in work:
+        begin = time.process_time()
+        f()
+        out.append(time.process_time() - begin)
+    return out
+rounds = [seconds(plain, lambda: P.Trainer(flat, s).learn(ids, at), lambda: P.Scorer(flat, s).log_probabilities(ids)) for _ in range(5)]
+least = np.min(rounds, 0)
+print(*(least[1:] / least[0]))
+"""
+
+
+def test_pseudo_likelihood_costs_little_more_than_its_matrix_products():
+    """CPU time against the first softmax's products and exponentials alone, in one thread as on executors."""
+    ran = subprocess.run([sys.executable, "-c", WORK], env={**os.environ, "OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1"}, capture_output=True, text=True, check=True, timeout=300)
+    training, scoring = map(float, ran.stdout.split())
+    assert training + scoring < 9
+
+
+def test_pseudo_likelihood_counts_words_as_they_are_split(spark):
+    texts = planted(3, 40) + [None, "", " ", " \t\x0b\f\r\n", " a\tb\x0bc\fd\re  f ", "x\x1cy\x85z\u2003\xa0w \u00e9 \x00", "long" * 50_000]
+    want = Counter(w for t in texts for w in words_of(t))
+    for settings in (pseudo_lm.Settings(), pseudo_lm.Settings(counted_words=20), pseudo_lm.Settings(counted_bytes=300)):
+        rows = pseudo_lm.count_words(frame(spark, texts), settings, "text").collect()
+        assert len(rows) == len(want) and {bytes(r["word"]): r["n"] for r in rows} == want
+        assert all(r["bucket"] == pseudo_lm.bucket(bytes(r["word"]), settings) for r in rows)
+    for none in ([None], [""], [" "], [None, "", " "]):
+        assert pseudo_lm.count_words(frame(spark, none).coalesce(1), pseudo_lm.Settings(), "text").count() == 0
+
+
+def test_joined_texts_have_the_ids_of_each():
+    s = pseudo_lm.Settings(frequent=2, classes=2, listed=1)
+    listed, sent = [b"a", b"b", b"c", b"d"], ([b"e", b"f"], np.array([-1.0, -2.0]))
+    texts = [words_of(t) for t in ("a e zz", "", "f", "", "d c b a new")]
+    out, at, text, shares = pseudo_lm.Vocabulary(listed, s, sent).joined(texts)
+    plain = pseudo_lm.Vocabulary(listed, s)
+    assert out.tolist() == np.concatenate([plain.ids(t) for t in texts]).tolist()
+    assert out[at].tolist() == [int(i) for t in texts for i in plain.ids(t)[s.side : s.side + len(t)]]
+    tail = [1 + s.frequent + pseudo_lm.bucket(w, s) * s.slots for w in (b"e", b"zz", b"f", b"new")]
+    assert out[at][[1, 2, 3, 8]].tolist() == tail and pseudo_lm.is_tail(out[at], s).tolist() == [False, True, True, True, *[False] * 4, True]
+    assert text.tolist() == [0, 0, 0, 2, 4, 4, 4, 4, 4]
+    assert shares.tolist()[:2] == [0, -1] and shares[3] == -2 and np.isnan(shares).tolist() == [False, False, True, *[False] * 5, True]
+
+
+@pytest.mark.parametrize("factor", [15, 40])
+def test_logits_beyond_the_range_of_exponentials(factor):
+    s = pseudo_lm.Settings(frequent=4, classes=3, listed=2, dims=3, hidden=4, batch=8, softmax_block=5)
+    rng = np.random.default_rng(1)
+    flat = rng.normal(0, 1, sum(map(math.prod, pseudo_lm.shapes(s)))).astype(np.float32)
+    for sign in (1, -1):
+        weights = pseudo_lm.unflatten(flat.copy(), s)
+        for k in (3, 4, 5, 6):
+            weights[k] *= factor
+        weights[4] += sign * 5 * factor
+        weights[6] += sign * 5 * factor
+        ids = np.r_[0, 0, rng.integers(1, s.size, 30), 0, 0]
+        big = np.concatenate([w.ravel() for w in weights])
+        want = list(by_hand([w.astype(float) for w in weights], s, ids))
+        assert pseudo_lm.Scorer(big, s).log_probabilities(ids) == pytest.approx(want, rel=1e-3, abs=1e-2)
+        context, target = ids[np.arange(2, 32)[:, None] + pseudo_lm.offsets(s)], ids[2:32]
+        got, exact = pseudo_lm.Trainer(big, s).batch(context, target), pseudo_lm.Trainer(big.astype(float), s).batch(context, target)
+        for (_, a), (_, b) in zip([got[0], *((0, x) for x in got[1:])], [exact[0], *((0, x) for x in exact[1:])], strict=True):
+            assert np.isfinite(a).all() and a == pytest.approx(b.astype(float), rel=1e-2, abs=1e-3 * factor)
+
+
 def test_warc_round_trip_over_splits(spark):
     rng = random.Random(1)
     body = lambda n: "".join(chr(rng.choice([rng.randint(32, 126), rng.randint(161, 900)])) for _ in range(n))
